@@ -200,6 +200,25 @@ def renewed(residuals: DataFrame, objective: objectives.Objective) -> dict[int,
     return {r["leaf"]: float(r["q"]) for r in q.collect()}
 
 
+def dart_scales(k: int, rate: float) -> tuple[float, float]:
+    """Factors of the new tree and of each of the k dropped ones."""
+    return 1.0 / (k + rate), k / (k + rate)
+
+
+class Patience:
+    """Early stopping: a round is better if it is the first or its loss strictly less."""
+
+    def __init__(self, rounds: int):
+        self.rounds, self.best, self.at, self.seen = rounds, float("inf"), -1, -1
+
+    def stop(self, loss: float) -> bool:
+        """Takes the next round's loss; True once ``rounds`` rounds (if any) have not been better."""
+        self.seen += 1
+        if self.at < 0 or loss < self.best:
+            self.best, self.at = loss, self.seen
+        return bool(self.rounds) and self.seen - self.at >= self.rounds
+
+
 class _Scores:
     """A binned table with its running scores: kept in memory and on disk, cut off its past now and then."""
 
@@ -274,7 +293,7 @@ def train(params, data: BinnedDataset | DataFrame, features: Sequence[str] | Non
             raise ValueError("the evaluation set is empty")
         valid = _Scores(eval_set.table, start, trees, b.learning_rate, n_bins)
     history = [float("nan")] * warm if valid else []
-    best, best_round = float("inf"), -1
+    patience = Patience(b.early_stopping_rounds)
     try:
         for i in range(b.n_iters):
             dart = b.dart_drop_rate > 0 and k == 1
@@ -296,13 +315,13 @@ def train(params, data: BinnedDataset | DataFrame, features: Sequence[str] | Non
                     new[0].value[leaf] = values.get(leaf, new[0].value[leaf])
             rate = b.learning_rate
             if dropped:
-                share = 1.0 / (len(dropped) + rate)
+                fresh, old = dart_scales(len(dropped), rate)
                 parts = []
                 for j in dropped:
                     parts.append((0, Tree(**{n: list(x) for n, x in vars(trees[j]).items()}), -rate))
-                    trees[j].value = [v * len(dropped) * share for v in trees[j].value]
+                    trees[j].value = [v * old for v in trees[j].value]
                     parts.append((0, trees[j], rate))
-                new[0].value = [v * share for v in new[0].value]
+                new[0].value = [v * fresh for v in new[0].value]
                 parts.append((0, new[0], rate))
             else:
                 parts = [(c, t, rate) for c, t in enumerate(new)]
@@ -316,13 +335,11 @@ def train(params, data: BinnedDataset | DataFrame, features: Sequence[str] | Non
                 each = objectives.softmax_loss(F.col("score"), y) if k > 1 else objective.loss(F.col("score")[0], y)
                 loss = float(valid.df.agg(F.avg(each)).first()[0])
                 history.append(loss)
-                if loss < best or best_round < 0:
-                    best, best_round = loss, i
             if on_round:
                 on_round(i, loss)
             if b.log_intervals and (i + 1) % b.log_intervals == 0:
                 log.info("round %d of %d, loss %s", i + 1, b.n_iters, loss)
-            if valid and b.early_stopping_rounds and i - best_round >= b.early_stopping_rounds:
+            if valid and patience.stop(loss):
                 break
     finally:
         scores.df.unpersist()
@@ -331,4 +348,4 @@ def train(params, data: BinnedDataset | DataFrame, features: Sequence[str] | Non
         for d in made:
             d.unpersist()
     model = Model(config, ds.cuts, start, trees, history)
-    return model.truncate(warm + best_round + 1) if valid and b.early_stopping_rounds else model
+    return model.truncate(warm + patience.at + 1) if valid and b.early_stopping_rounds else model
