@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_az, text_col, words
+from .common import cut, text_col, words, written
 
 #: The histogram's character classes in order; the last takes what is left over.
 CLASSES = (("lower", "[a-z]+"), ("space", r"[\x20\x09-\x0D]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("mark", r"[.,;:!?'\"()-]+"), ("far", r"[^\x00-\x7F]+"), ("symbol", None))
@@ -22,15 +22,19 @@ def class_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.drop(*[f"_t{i}" for i in range(len(CLASSES) - 1)])
 
 
-def window_hashes(w: Column, size: int = WINDOW) -> Column:
-    """A hash of every window of ``size`` words (a power of two): hashes of halves are paired log2(size) times."""
-    h = F.transform(w, lambda x: F.xxhash64(x))
+def window_hashes(df: DataFrame, w: str, out: str, size: int = WINDOW) -> DataFrame:
+    """Adds a hash of every window of ``size`` words (a power of two): hashes of halves are paired log2(size) times.
+
+    Each step is a column of its own, so that no step's array is built twice.
+    """
+    df = df.withColumn("_w1", F.transform(w, lambda x: F.xxhash64(x)))
     step = 1
     while step < size:
-        n = F.size(h) - step
-        h = F.when(n <= 0, F.array().cast("array<bigint>")).otherwise(F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + step, n), lambda a, b: F.xxhash64(a, b)))
+        h, n = f"_w{step}", F.size(f"_w{step}") - step
+        pair = F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + step, n), lambda a, b: F.xxhash64(a, b))
+        df = df.withColumn(f"_w{2 * step}", F.when(n <= 0, F.array().cast("array<bigint>")).otherwise(pair))
         step *= 2
-    return h
+    return df.withColumnRenamed(f"_w{size}", out).drop(*[f"_w{1 << i}" for i in range(size.bit_length() - 1)])
 
 
 def covered_words(h: Column, size: int = WINDOW) -> Column:
@@ -52,30 +56,34 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lan
     df = class_counts(df.withColumn("words", words(F.col("text"))))
     df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length("text") - F.col("n_space"))
     df = df.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    df = df.withColumn("_h", window_hashes(F.col("words"))).withColumn("n_repeat_words", covered_words(F.col("_h")))
+    df = window_hashes(df, "words", "_h").withColumn("n_repeat_words", covered_words(F.col("_h")))
     return df.drop("_lines", "_h", "text")
 
 
-def references(docs: DataFrame, common: int = 20, least_words: int = 2000, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, chars array<double>, common array<string>, shares array<double>) from all rows of each language.
+#: Slots of the table that finds a word's place among the common ones by its hash.
+SLOTS = 1 << 12
+
+
+def common_words(docs: DataFrame, common: int = 18, least_words: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, common array<string>, shares array<double>, slots array<int>) from all rows of each language.
 
     ``common`` are the language's most frequent words (ties: in order of the word)
     among those that make up a thousandth of its words, at most a thousand; shares
-    are theirs, then all other words'.  Languages with fewer than ``least_words``
-    words have no reference.
+    are theirs, then all other words'.  ``slots`` holds, where a common word's hash falls, its
+    place from 1; of two that fall together the more frequent one stays.  Languages
+    with fewer than ``least_words`` words have no reference.
     """
-    df = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), text_col(text).alias("text"))
-    names = [f"n_{n}" for n, _ in CLASSES]
-    chars = class_counts(df).groupBy("lang").agg(*[F.sum(n).alias(n) for n in names])
-    total = sum(F.col(n) for n in names)
-    chars = chars.select("lang", F.array(*[F.col(n) / F.greatest(total, F.lit(1)) for n in names]).alias("chars"))
-    counts = cut(df.select("lang", F.explode(words(lower_az(F.col("text")))).alias("word")).groupBy("lang", "word").count())
+    df = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.explode(words(text_col(text))).alias("word"))
+    counts = cut(df.groupBy("lang", "word").count())
     sums = counts.groupBy("lang").agg(F.sum("count").alias("total")).where(F.col("total") >= least_words)
     often = counts.join(F.broadcast(sums), "lang").where(F.col("count") * 1000 >= F.col("total"))
-    top = often.groupBy("lang", "total").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "word"))), 1, common).alias("top"))
+    slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
+    first = often.groupBy("lang", "total", slot.alias("slot")).agg(F.min(F.struct((-F.col("count")).alias("c"), "word")).alias("x"))
+    top = first.groupBy("lang", "total").agg(F.slice(F.array_sort(F.collect_list(F.struct("x.c", "x.word", "slot"))), 1, common).alias("top"))
     share = F.transform("top", lambda x: -x["c"] / F.col("total"))
-    shares = F.concat(share, F.array(1.0 - F.aggregate(share, F.lit(0.0), lambda a, x: a + x)))
-    return chars.join(top.select("lang", F.transform("top", lambda x: x["word"]).alias("common"), shares.alias("shares")), "lang")
+    top = top.select("lang", F.transform("top", lambda x: x["word"]).alias("common"), share.alias("_s"), F.transform("top", lambda x: x["slot"]).alias("_at"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.array_position("_at", i).cast("int"))
+    return cut(top.select("lang", "common", F.concat("_s", F.array(1.0 - F.aggregate("_s", F.lit(0.0), lambda a, x: a + x))).alias("shares"), slots.alias("slots")))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -85,23 +93,56 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), d / 2))
 
 
-def judge(docs: DataFrame, refs: DataFrame | None = None, least_words: int = 50, most_char: float = 0.3, most_word: float = 0.45, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+#: Counters in a long, and the bits of each.
+PACK, BITS = 3, 21
+
+
+def with_hits(df: DataFrame, common: int) -> DataFrame:
+    """Adds hits array<long>: how often each of the columns ``common``'s words occurs among ``words``.
+
+    A word's place is found by one look into ``slots``; places are counted in packed longs.
+    """
+    place = F.transform("words", lambda w: F.element_at("slots", (F.pmod(F.xxhash64(w), F.lit(SLOTS)) + 1).cast("int")))
+    found = F.filter(F.zip_with("words", place, lambda w, i: F.when((i > 0) & (F.get("common", i - 1) == w), i).otherwise(0)), lambda i: i > 0)
+    df = df.withColumn("_places", found)
+    groups = -(-common // PACK)
+    unit = F.array(*[F.lit(1 << (BITS * j)).cast("long") for j in range(PACK)])
+
+    def count(g: int) -> Column:
+        own = lambda i: F.when((i > g * PACK) & (i <= (g + 1) * PACK), F.element_at(unit, i - g * PACK)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate("_places", F.lit(0).cast("long"), lambda a, i: a + own(i))
+
+    packed = [count(g) for g in range(groups)]
+    df = df.withColumns({f"_g{g}": x for g, x in enumerate(packed)})
+    mask = F.lit((1 << BITS) - 1).cast("long")
+    hits = [F.shiftright(F.col(f"_g{k // PACK}"), BITS * (k % PACK)).bitwiseAND(mask) for k in range(common)]
+    return df.withColumn("hits", F.array(*hits)).drop("_places", *[f"_g{g}" for g in range(groups)])
+
+
+def judge(docs: DataFrame, least_words: int = 50, most_char: float = 0.3, most_word: float = 0.45, common: int = 18, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, counts, js_char, js_word, base_failed and kept for every row.
 
     Distances are null, and don't count against the text, below ``least_words`` words
     or where its language has no reference.  Null and empty texts have no words and
-    fail.  Repeated rows are judged alike.
+    fail.  Repeated rows are judged alike.  Texts are read twice: for the languages' common
+    words, and for the counts of each row, which go to a table that the character
+    references are summed from.
     """
-    refs = references(docs, id_col=id_col, text=text, lang=lang) if refs is None else refs
-    few = refs.limit(4097).count() <= 4096
+    refs = common_words(docs, common, text=text, lang=lang)
+    few = refs.limit(513).count() <= 512
     df = base_counts(docs, id_col, text, lang).join(F.broadcast(refs) if few else refs, "lang", "left")
     names = [f"n_{n}" for n, _ in CLASSES]
-    total = F.greatest(sum(F.col(n) for n in names), F.lit(1))
+    df = with_hits(df, common).select("doc_id", "lang", *names, "n_symbols", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "hits", "shares")
+    df = written(df)
+    total = lambda f: F.greatest(sum(f(n) for n in names), F.lit(1))
+    chars = df.where("shares is not null").groupBy("lang").agg(F.array(*[F.sum(n) / total(F.sum) for n in names]).alias("chars"))
+    df = df.join(F.broadcast(chars) if few else chars, "lang", "left")
     ok = (F.col("n_words") >= least_words) & F.col("chars").isNotNull()
-    df = df.withColumn("js_char", F.when(ok, js_distance(F.array(*[F.col(n) / total for n in names]), F.col("chars"))))
-    df = df.withColumn("_low", F.transform("words", lambda w: lower_az(w)))
-    df = df.withColumn("_hits", F.transform("common", lambda w: (F.col("n_words") - F.size(F.array_remove("_low", w))) / F.greatest("n_words", F.lit(1))))
-    own = F.concat("_hits", F.array(1.0 - F.aggregate("_hits", F.lit(0.0), lambda a, x: a + x)))
+    df = df.withColumn("js_char", F.when(ok, js_distance(F.array(*[F.col(n) / total(F.col) for n in names]), F.col("chars"))))
+    size = F.size("shares") - 1
+    share = F.transform(F.slice("hits", 1, size), lambda n: n / F.greatest("n_words", F.lit(1)))
+    df = df.withColumn("_own", share)
+    own = F.concat("_own", F.array(1.0 - F.aggregate("_own", F.lit(0.0), lambda a, x: a + x)))
     df = df.withColumn("js_word", F.when(ok, js_distance(own, F.col("shares"))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = F.coalesce((F.col("js_char") > most_char) | (F.col("js_word") > most_word), F.lit(False))
