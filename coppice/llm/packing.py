@@ -12,6 +12,8 @@ filled by one task alone and no token ids are shuffled.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -26,8 +28,21 @@ from pyspark.sql import Window
 
 from .common import cut, slices, written
 
-#: Chunks of text between these characters never share a token of the tokenizers used here.
-_SPLIT = str.maketrans("\t\n\r\v\f", "     ")
+#: Words that are letters alone, perhaps with a stop or comma: letters of Latin blocks, whose lower case is one letter.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]?")
+
+
+def split_words(text: str) -> list[str]:
+    """The text cut at ASCII white space; chunks between it never share a token."""
+    for c in "\n\t\r\v\f":
+        text = text.replace(c, " ")
+    return text.split(" ")
+
+
+@lru_cache(maxsize=2)
+def chunks_of(path: str) -> Chunks:
+    """The memory of this process, kept from task to task."""
+    return Chunks(path)
 
 
 @lru_cache(maxsize=2)
@@ -37,27 +52,96 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _word_ranks(path: str):
+    """The merges of a BPE file with ends of words as ranks of byte strings: an end is a zero byte, which merges first."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that stand for themselves in the file
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    ranks = {}
+    for token, i in vocab.items():
+        body = token.removesuffix("</w>")
+        if all(c in byte for c in body) and not token.startswith("<|"):
+            ranks[bytes(byte[c] for c in body) + b"\0" * (body != token)] = i
+    return tiktoken.Encoding("words", pat_str="[^\x01]+", mergeable_ranks=ranks, special_tokens={})
+
+
 class Chunks:
     """Token ids of a text, remembered by chunk between white space.
 
-    Holds for tokenizers that split at white space and drop it.  The memory is
-    emptied when it holds ``most`` chunks.
+    Holds for tokenizers that split at white space and drop it, and give the control
+    character 1 a token of its own: it separates the chunks that are encoded in one
+    string.  The memory is emptied when it holds ``most`` chunks.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        self.tokenizer, self.most, self.known = _tokenizer(path), most, {}
+    def __init__(self, path: str, most: int = 400_000):
+        self.tokenizer, self.most, self.known = _tokenizer(path), most, {"": b""}
+        marks = self.tokenizer.encode("a \x01 \x01 a", add_special_tokens=False).ids
+        if len(marks) != 4 or marks[1] != marks[2]:
+            raise ValueError("the tokenizer has no token for the separator")
+        self.mark = marks[1]
+        self.ranks = _word_ranks(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.tails = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,"}
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Plain words go through the same merges in a faster engine, everything else through the tokenizer."""
+        plain, rest = {}, []
+        for c in chunks:
+            if _PLAIN.fullmatch(c):
+                plain.setdefault((c[:-1] if c[-1] in ".," else c).lower(), []).append(c)
+            else:
+                rest.append(c)
+        self._encode_rest(rest)
+        words = list(plain)
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            ids = np.array(self.ranks.encode_ordinary("\x01".join(w + "\0" for w in part)), np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            blob, at = ids.tobytes(), 0
+            for w, j in zip(part, (last + 1).tolist()):
+                x, at = blob[4 * at : 4 * j], j
+                for c in plain[w]:
+                    self.known[c] = x + self.tails[c[-1]] if c[-1] in ".," else x
+
+    def _encode_rest(self, chunks: list[str]) -> None:
+        odd = [c for c in chunks if "\x01" in c or "<|" in c]
+        plain = list(set(chunks).difference(odd)) if odd else chunks
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            self.known[c] = np.array(e.ids, np.uint32).tobytes()
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" \x01 ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            blob, at = ids.tobytes(), 0
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer joined chunks")
+            for c, j in zip(part, ends):
+                self.known[c] = blob[4 * at : 4 * j]
+                at = j + 1
+
+    def parts(self, texts: list[str]) -> list[list[bytes]]:
+        """The ids of each chunk of each text, as little-endian unsigned 32-bit numbers."""
+        parts = [split_words(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known = {"": b""}
+        self._learn(list({c for p in parts for c in p}.difference(self.known)))
+        get = self.known.__getitem__
+        return [list(map(get, p)) for p in parts]
+
+    def parts_of_words(self, words: list[str]) -> list[list[bytes]]:
+        """The same for words without white space."""
+        if len(self.known) > self.most:
+            self.known = {"": b""}
+        self._learn(list(set(words).difference(self.known)))
+        return [[self.known[w]] for w in words]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.translate(_SPLIT).split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = list({c for p in parts for c in p} - known.keys())
-        for i in range(0, len(new), 20_000):
-            for c, e in zip(new[i : i + 20_000], self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)):
-                known[c] = np.array(e.ids, np.uint32).tobytes()
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), np.uint32) for p in parts]
+        return [np.frombuffer(b"".join(p), np.uint32) for p in self.parts(texts)]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, own: list[str], end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
@@ -72,7 +156,7 @@ def tokenize(docs: DataFrame, tokenizer: str, own: list[str], end_id: int = 2, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId()
-        memo, ahead = Chunks(tokenizer), {}
+        memo, ahead = chunks_of(tokenizer), {}
         end = np.array([end_id], np.uint32).tobytes()
         for b in slices(batches, size=2 << 20):
             ids = [x.tobytes() + end for x in memo.encode([t or "" for t in b.column("text").to_pylist()])]
