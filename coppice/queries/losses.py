@@ -32,8 +32,14 @@ def init_softmax(spark, d):
 
 
 # Gradients and losses at the score 2000 * q for prices, ``S`` for flags.
-P, YS = F.col("q").cast("double") * 2000.0, F.col("y")
-SC = (F.col("q") - 25.0) / 10.0
+def _price():
+    return F.col("q").cast("double") * 2000.0
+
+
+def _score():
+    return (F.col("q") - 25.0) / 10.0
+
+
 CLIPPED = "greatest(-30.0e0, least(30.0e0, {}))"
 COUNT = "SELECT l_linenumber::DOUBLE AS n, (l_quantity - 25.0) / 10.0 AS s FROM lineitem"
 GRADS = {
@@ -43,11 +49,11 @@ GRADS = {
     "quantile": (J.Objective("quantile", alpha=0.7), "CASE WHEN 2000.0e0 * q > y THEN 0.3e0 ELSE -0.7e0 END", "1.0e0", "CASE WHEN y >= 2000.0e0 * q THEN 0.7e0 * (y - 2000.0e0 * q) ELSE 0.3e0 * (2000.0e0 * q - y) END"),
 }
 for _name, (_o, _g, _h, _l) in GRADS.items():
-    query(SRC + f"round({_g}, 3) AS g, {_h} AS h FROM lines", f"grad_{_name}")(lambda s, d, o=_o: lines(s, d).select(F.round(o.grad(P, YS).cast("double"), 3).alias("g"), o.hess(P, YS).alias("h")))
-    query(SRC + f"round(avg({_l}), 2) AS loss FROM lines", f"loss_{_name}")(lambda s, d, o=_o: lines(s, d).agg(F.round(F.avg(o.loss(P, YS)), 2).alias("loss")))
+    query(SRC + f"round({_g}, 3) AS g, {_h} AS h FROM lines", f"grad_{_name}")(lambda s, d, o=_o: lines(s, d).select(F.round(o.grad(_price(), F.col("y")).cast("double"), 3).alias("g"), o.hess(_price(), F.col("y")).alias("h")))
+    query(SRC + f"round(avg({_l}), 2) AS loss FROM lines", f"loss_{_name}")(lambda s, d, o=_o: lines(s, d).agg(F.round(F.avg(o.loss(_price(), F.col("y"))), 2).alias("loss")))
 LOGIT = J.Objective("logloss")
-query(SRC + f"round({SIGMOID.format(S)} - r, 6) AS g, round({SIGMOID.format(S)} * (1 - {SIGMOID.format(S)}), 6) AS h FROM lines", "grad_logloss")(lambda s, d: lines(s, d).select(F.round(LOGIT.grad(SC, F.col("r")), 6).alias("g"), F.round(LOGIT.hess(SC, F.col("r")), 6).alias("h")))
-query(SRC + f"round(avg(greatest(0, {S}) + ln(1 + exp(-abs({S}))) - r * {S}), 6) AS loss FROM lines", "loss_logloss")(lambda s, d: lines(s, d).agg(F.round(F.avg(LOGIT.loss(SC, F.col("r"))), 6).alias("loss")))
+query(SRC + f"round({SIGMOID.format(S)} - r, 6) AS g, round({SIGMOID.format(S)} * (1 - {SIGMOID.format(S)}), 6) AS h FROM lines", "grad_logloss")(lambda s, d: lines(s, d).select(F.round(LOGIT.grad(_score(), F.col("r")), 6).alias("g"), F.round(LOGIT.hess(_score(), F.col("r")), 6).alias("h")))
+query(SRC + f"round(avg(greatest(0, {S}) + ln(1 + exp(-abs({S}))) - r * {S}), 6) AS loss FROM lines", "loss_logloss")(lambda s, d: lines(s, d).agg(F.round(F.avg(LOGIT.loss(_score(), F.col("r"))), 6).alias("loss")))
 POIS = J.Objective("poisson")
 
 
@@ -57,9 +63,9 @@ def _counts(s, d):
 
 query(f"SELECT round(exp({CLIPPED.format('s')}) - n, 6) AS g, round(exp({CLIPPED.format('s')}), 6) AS h FROM ({COUNT})", "grad_poisson")(lambda s, d: _counts(s, d).select(F.round(POIS.grad(F.col("s"), F.col("n")), 6).alias("g"), F.round(POIS.hess(F.col("s"), F.col("n")), 6).alias("h")))
 query(f"SELECT round(avg(exp({CLIPPED.format('s')}) - n * {CLIPPED.format('s')}), 5) AS loss FROM ({COUNT})", "loss_poisson")(lambda s, d: _counts(s, d).agg(F.round(F.avg(POIS.loss(F.col("s"), F.col("n"))), 5).alias("loss")))
-query(SRC + f"round({SIGMOID.format(S)}, 6) AS p FROM lines", "link_sigmoid")(lambda s, d: lines(s, d).select(F.round(LOGIT.link(SC), 6).alias("p")))
-query(SRC + f"round(exp({S}), 6) AS p FROM lines", "link_exp")(lambda s, d: lines(s, d).select(F.round(POIS.link(SC), 6).alias("p")))
-query(SRC + "round((2000.0e0 * q - y) * w, 3) AS g, round(w, 4) AS h FROM lines", "weighted_grad")(lambda s, d: lines(s, d).select(F.round(GRADS["mse"][0].grad(P, YS) * F.col("w"), 3).alias("g"), F.round(GRADS["mse"][0].hess(P, YS) * F.col("w"), 4).alias("h")))
+query(SRC + f"round({SIGMOID.format(S)}, 6) AS p FROM lines", "link_sigmoid")(lambda s, d: lines(s, d).select(F.round(LOGIT.link(_score()), 6).alias("p")))
+query(SRC + f"round(exp({S}), 6) AS p FROM lines", "link_exp")(lambda s, d: lines(s, d).select(F.round(POIS.link(_score()), 6).alias("p")))
+query(SRC + "round((2000.0e0 * q - y) * w, 3) AS g, round(w, 4) AS h FROM lines", "weighted_grad")(lambda s, d: lines(s, d).select(F.round(GRADS["mse"][0].grad(_price(), F.col("y")) * F.col("w"), 3).alias("g"), F.round(GRADS["mse"][0].hess(_price(), F.col("y")) * F.col("w"), 4).alias("h")))
 
 # Five scores of each event: its k, hour and value on different scales.
 SOFT = f"WITH {EVENTS}, s AS (SELECT *, [k / 50.0e0, h / 12.0e0, ln(1 + value), 1.0e0, (k - h) / 40.0e0] AS z FROM ev), e AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS x FROM s), p AS (SELECT *, list_transform(x, lambda y: y / list_sum(x)) AS p FROM e)"
@@ -95,7 +101,7 @@ def predict_argmax(spark, d):
 
 
 def _m(s, d, agg, digits=6):
-    return lines(s, d).withColumns({"p": P, "s": SC}).agg(F.round(agg, digits).alias("value"))
+    return lines(s, d).withColumns({"p": _price(), "s": _score()}).agg(F.round(agg, digits).alias("value"))
 
 
 query(SRC + "round(sqrt(avg(pow(2000.0e0 * q - y, 2))), 4) AS value FROM lines", "metric_rmse")(lambda s, d: _m(s, d, M.rmse("p", "y"), 4))
