@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 #: Topics by what a text holds, the first that matches; else prose.
 TOPIC_RULES = (
-    ("legal", r"(?i:licen[sc]e|copyright)"),
-    ("contact", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]|\+[0-9]{1,3} ?\("),
+    ("legal", r"[Ll]icen[sc]e|[Cc]opyright"),
+    ("contact", r"@[A-Za-z0-9-]+\.[a-z]|\+[0-9]{1,3} ?\("),
     ("web", r"https?://"),
     ("table", r" \| [^|\n]* \| "),
     ("symbols", r"[#*$%&]{3}"),
@@ -102,27 +102,43 @@ def _rake_far(cells: DataFrame, margins: Sequence[str], targets, budget_share: f
     return out
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget_share: float = 0.5, rounds: int = 20, alpha: float = 0.7, id_col: str = "doc_id", text_col: str = "text", margins: dict[str, Column | Callable] | None = None) -> DataFrame:
-    """Every row's columns and mix_source, mix_lang, mix_topic, mix_tokens, mix_rate, mix_kept.
+KEYS = ("mix_source", "mix_lang", "mix_topic")
 
-    A document is kept if the uniform number of its id is below its cell's rate, so
-    repeated rows share their fate and a rerun draws the same sample.  A null source
-    or language is the value ''.  The cells' tokens are aggregated before any
-    shuffle; rates come back by a broadcast of a checked size, or a join.
-    """
+
+def _named(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    named = docs.withColumns({
+    return docs.withColumns({
         "mix_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
         "mix_topic": topic(text), "mix_tokens": token_count(text),
     })
-    keys = ["mix_source", "mix_lang", "mix_topic"]
-    cells = named.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens"))
-    rates = rake(cells, keys, {f"mix_{k}": v for k, v in (targets or {}).items()}, budget_share, rounds, alpha).select(*keys, F.col("rate").alias("mix_rate"))
+
+
+def _rated(named: DataFrame, cells_of: DataFrame, id_col: str, targets, budget_share: float, rounds: int, alpha: float) -> DataFrame:
+    cells = cells_of.groupBy(*KEYS).agg(F.sum("mix_tokens").alias("tokens"))
+    rates = rake(cells, KEYS, {f"mix_{k}": v for k, v in (targets or {}).items()}, budget_share, rounds, alpha).select(*KEYS, F.col("rate").alias("mix_rate"))
     few = rates.limit(200_001).count() <= 200_000
-    out = named.join(F.broadcast(rates) if few else rates, keys)
+    out = named.join(F.broadcast(rates) if few else rates, list(KEYS))
     return out.withColumn("mix_kept", uniform(F.col(id_col).cast("string")) < F.col("mix_rate"))
 
 
+def decisions(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget_share: float = 0.5, rounds: int = 20, alpha: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row's id and mix_source, mix_lang, mix_topic, mix_tokens, mix_rate, mix_kept; texts are read once."""
+    small = written(_named(docs, text_col).select(id_col, *KEYS, "mix_tokens"))
+    return _rated(small, small, id_col, targets, budget_share, rounds, alpha)
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget_share: float = 0.5, rounds: int = 20, alpha: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row's columns and mix_source, mix_lang, mix_topic, mix_tokens, mix_rate, mix_kept.
+
+    A document is kept if the uniform number of its id is below its cell's rate, so
+    repeated rows share their fate and a rerun draws the same sample.  A null source
+    or language is the value ''.  The cells' tokens are aggregated before any
+    shuffle; rates come back by a broadcast of a checked size, or a join.
+    """
+    named = _named(docs, text_col)
+    return _rated(named, named, id_col, targets, budget_share, rounds, alpha)
+
+
 #: The result of ``mix`` over documents without their texts, as DuckDB SQL.
 def oracle(rounds: int = 20, budget_share: float = 0.5, alpha: float = 0.7) -> str:
     rules = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{name}'" for name, p in TOPIC_RULES)

@@ -20,7 +20,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"))
+    out = mixing.decisions(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_rate", 6).alias("rate"), F.col("mix_kept").alias("kept"))
 
 
