@@ -1,0 +1,21 @@
+"""Gradient-boosted trees as Spark plans."""
+
+from .config import Config, Params, default_config_toml, load_config
+from .operators.encoding import OrderedTargetEncoder
+from .plans import interop
+from .plans.booster import train
+from .plans.dataset import BinnedDataset
+from .plans.estimators import Classifier, Regressor
+from .plans.model import Model
+
+
+def load(path: str) -> Model:
+    return Model.load(path)
+
+
+def cuda_available() -> bool:
+    """Trees are grown by Spark executors; names with a device prefix mean the same growers."""
+    return False
+
+
+__all__ = ["BinnedDataset", "Classifier", "Config", "Model", "OrderedTargetEncoder", "Params", "Regressor", "cuda_available", "default_config_toml", "interop", "load", "load_config", "train"]
