@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,26 @@ def bigrams(w):
     )
 
 
+def anchors(templates=TEMPLATES, least: float = 0.8) -> list[str]:
+    """Words of which every text that matches a template holds one at least.
+
+    A match shares least / (2 - least) of the template's bigrams, so it can't lack all
+    bigrams of a set that is larger than the rest; long words are taken until they touch so many.
+    """
+    chosen: set[str] = set()
+    for _, text in templates:
+        w = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
+        grams = {(a, b) for a, b in zip(w, w[1:])} or {(w[0], w[0])}
+        spare = len(grams) - ceil(len(grams) * least / (2 - least) - 1e-9)
+        own: set[str] = set()
+        for x in sorted(set(w), key=lambda x: (-(x in chosen), -len(x), x)):
+            if sum(bool(own & set(g)) for g in grams) > spare:
+                break
+            own.add(x)
+        chosen |= own
+    return sorted(chosen)
+
+
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(template, license, bigrams, size), a few rows."""
     rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
@@ -60,9 +83,9 @@ def matches(docs: DataFrame, least: float = 0.8, templates=TEMPLATES, id_col: st
     sizes = [r["size"] for r in t.select("size").collect()]
     low, high = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
     posting = F.broadcast(t.select("template", "license", F.col("size").alias("b"), F.explode("bigrams").alias("bigram")))
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col(text), "\n")).alias("line", "text"))
-    # A bigram takes two characters and a space at least; lines beyond the sizes of all templates are left out unsplit.
-    lines = lines.where(F.length("text") >= low).select("doc_id", "line", bigrams(normal_words(F.col("text"))).alias("grams"))
+    likely = "(?i)" + "|".join(re.escape(x) for x in anchors(templates, least))
+    lines = docs.where(F.col(text).rlike(likely)).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col(text), "\n")).alias("line", "text"))
+    lines = lines.where(F.col("text").rlike(likely) & (F.length("text") >= low)).select("doc_id", "line", bigrams(normal_words(F.col("text"))).alias("grams"))
     lines = lines.withColumn("a", F.size("grams")).where((F.col("a") >= low) & (F.col("a") <= high))
     pairs = lines.select("doc_id", "line", "a", F.explode("grams").alias("bigram")).join(posting, "bigram")
     fits = (F.col("a") * (2 - least) + 1e-9 >= F.col("b") * least) & (F.col("b") * (2 - least) + 1e-9 >= F.col("a") * least)
