@@ -48,11 +48,12 @@ def _units(texts: list[str]):
     begins = ~space
     begins[1:] &= space[:-1]
     starts = np.flatnonzero(begins)
-    plain = np.where(space, np.uint32(32), cp).astype(np.uint64)
-    before = np.concatenate([[np.uint64(32)], plain[:-1]])
-    after = np.concatenate([plain[1:], [np.uint64(32)]])
-    h = (before * np.uint64(0x9E3779B185EBCA87) + plain * np.uint64(0xC2B2AE3D27D4EB4F) + after * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)
-    bucket = (h & np.uint64(BUCKETS - 1)).astype(np.int32)
+    plain = np.where(space, np.uint32(32), cp)
+    h = plain * np.uint32(0x85EBCA77)
+    h[1:] ^= plain[:-1] * np.uint32(0x9E3779B1)
+    h[:-1] ^= plain[1:] * np.uint32(0xC2B2AE3D)
+    h *= np.uint32(0x27D4EB2F)
+    bucket = (h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
     script = _scripts(cp)
     ends = np.cumsum([len(x) + 1 for x in low])
     first = np.searchsorted(starts, np.concatenate([[0], ends]))
@@ -211,7 +212,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, size=(16 << 20) // max(4, len(m.languages))):
+        for b in slices(batches, size=(8 << 20) // max(4, len(m.languages))):
             texts = b.column(1).to_pylist()
             lang, score = m.predict(texts) if m.languages else (["und"] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -230,7 +231,7 @@ def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, text_col, size=(16 << 20) // max(4, len(m.languages))):
+        for b in slices(batches, text_col, size=(8 << 20) // max(4, len(m.languages))):
             if m.languages:
                 lang, score = m.predict(b.column(text_col).to_pylist())
                 yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)]))
