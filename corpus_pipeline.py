@@ -23,7 +23,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates."""
+    """Keeps the document with the least id of each group of near-duplicates.
+
+    Rows without an id can't be told apart and go; rows that repeat an id stay together.
+    """
     first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     return kept
