@@ -20,8 +20,8 @@ from ..operators.routing import raw_goes_left
 from . import shap
 from .trees import TABLE, Tree, leaf_of_bins, leaf_of_values
 
-#: Up to so many leaves an ensemble is one generated expression; beyond, trees are walked over Arrow batches.
-EXPRESSION_LEAVES = 400
+#: Up to so many leaves an ensemble is one generated expression; beyond, where compiled code outgrows a method, trees are walked over Arrow batches.
+EXPRESSION_LEAVES = 64
 FORMAT = {"magic": "coppice", "version": 1}
 
 
