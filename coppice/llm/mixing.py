@@ -12,8 +12,8 @@ from .common import cut, written
 
 #: Topics by what a text holds, the first that matches; else prose.
 TOPIC_RULES = (
-    ("legal", r"[Ll]icen[sc]e|[Cc]opyright"),
-    ("contact", r"@[A-Za-z0-9-]+\.[a-z]|\+[0-9]{1,3} ?\("),
+    ("legal", r"[Ll][Ii][Cc][Ee][Nn][SsCc][Ee]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]"),
+    ("contact", r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[a-z]|\+[0-9]{1,3} ?\("),
     ("web", r"https?://"),
     ("table", r" \| [^|\n]* \| "),
     ("symbols", r"[#*$%&]{3}"),
