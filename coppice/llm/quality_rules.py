@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_col, words, written
+from .common import cut, lower_az, text_col, words, written
 
 #: The histogram's character classes in order; the last takes what is left over.
 CLASSES = (("lower", "[a-z]+"), ("space", r"[\x20\x09-\x0D]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("mark", r"[.,;:!?'\"()-]+"), ("far", r"[^\x00-\x7F]+"), ("symbol", None))
@@ -51,38 +51,38 @@ def covered_words(h: Column, size: int = WINDOW) -> Column:
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, lang, words and the counts of the contract for every row."""
+    """doc_id, lang, words, low (words, A-Z in lower case) and the counts of the contract for every row."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), text_col(text).alias("text"))
     df = class_counts(df.withColumn("words", words(F.col("text"))))
     df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length("text") - F.col("n_space"))
     df = df.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     df = window_hashes(df, "words", "_h").withColumn("n_repeat_words", covered_words(F.col("_h")))
-    return df.drop("_lines", "_h", "text")
+    return df.withColumn("low", words(lower_az(F.col("text")))).drop("_lines", "_h", "text")
 
 
 #: Slots of the table that finds a word's place among the common ones by its hash.
 SLOTS = 1 << 12
 
 
-def common_words(docs: DataFrame, common: int = 18, least_words: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
+def common_words(docs: DataFrame, common: int = 20, least_words: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, common array<string>, shares array<double>, slots array<int>) from all rows of each language.
 
-    ``common`` are the language's most frequent words (ties: in order of the word)
+    ``common`` are the language's most frequent words, A-Z in lower case (ties: in order of the word),
     among those that make up a thousandth of its words, at most a thousand; shares
     are theirs, then all other words'.  ``slots`` holds, where a common word's hash falls, its
-    place from 1; of two that fall together the more frequent one stays.  Languages
+    place from 1, or -1 where several fall together.  Languages
     with fewer than ``least_words`` words have no reference.
     """
-    df = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.explode(words(text_col(text))).alias("word"))
+    df = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.explode(words(lower_az(text_col(text)))).alias("word"))
     counts = cut(df.groupBy("lang", "word").count())
     sums = counts.groupBy("lang").agg(F.sum("count").alias("total")).where(F.col("total") >= least_words)
     often = counts.join(F.broadcast(sums), "lang").where(F.col("count") * 1000 >= F.col("total"))
-    slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
-    first = often.groupBy("lang", "total", slot.alias("slot")).agg(F.min(F.struct((-F.col("count")).alias("c"), "word")).alias("x"))
-    top = first.groupBy("lang", "total").agg(F.slice(F.array_sort(F.collect_list(F.struct("x.c", "x.word", "slot"))), 1, common).alias("top"))
+    top = often.groupBy("lang", "total").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "word"))), 1, common).alias("top"))
     share = F.transform("top", lambda x: -x["c"] / F.col("total"))
-    top = top.select("lang", F.transform("top", lambda x: x["word"]).alias("common"), share.alias("_s"), F.transform("top", lambda x: x["slot"]).alias("_at"))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.array_position("_at", i).cast("int"))
+    at = F.transform("top", lambda x: F.pmod(F.xxhash64(x["word"]), F.lit(SLOTS)).cast("int"))
+    top = top.select("lang", F.transform("top", lambda x: x["word"]).alias("common"), share.alias("_s"), at.alias("_at"))
+    several = lambda i: F.size(F.array_remove("_at", i)) < F.size("_at") - 1
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.when(several(i), -1).otherwise(F.array_position("_at", i).cast("int")))
     return cut(top.select("lang", "common", F.concat("_s", F.array(1.0 - F.aggregate("_s", F.lit(0.0), lambda a, x: a + x))).alias("shares"), slots.alias("slots")))
 
 
@@ -93,17 +93,19 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), d / 2))
 
 
-#: Counters in a long, and the bits of each.
-PACK, BITS = 3, 21
+#: Counters in a long, and the bits of each: as many as an array can have elements.
+PACK, BITS = 2, 31
 
 
 def with_hits(df: DataFrame, common: int) -> DataFrame:
-    """Adds hits array<long>: how often each of the columns ``common``'s words occurs among ``words``.
+    """Adds hits array<long>: how often each of the columns ``common``'s words occurs among ``low``, words in lower case.
 
-    A word's place is found by one look into ``slots``; places are counted in packed longs.
+    A word's place is found by one look into ``slots``, and a second into ``common`` where several
+    fall together; places are counted in packed longs.
     """
-    place = F.transform("words", lambda w: F.element_at("slots", (F.pmod(F.xxhash64(w), F.lit(SLOTS)) + 1).cast("int")))
-    found = F.filter(F.zip_with("words", place, lambda w, i: F.when((i > 0) & (F.get("common", i - 1) == w), i).otherwise(0)), lambda i: i > 0)
+    place = F.transform("low", lambda w: F.element_at("slots", (F.pmod(F.xxhash64(w), F.lit(SLOTS)) + 1).cast("int")))
+    look = lambda w, i: F.when(i < 0, F.array_position("common", w).cast("int")).when((i > 0) & (F.get("common", i - 1) == w), i).otherwise(0)
+    found = F.filter(F.zip_with("low", place, look), lambda i: i > 0)
     df = df.withColumn("_places", found)
     groups = -(-common // PACK)
     unit = F.array(*[F.lit(1 << (BITS * j)).cast("long") for j in range(PACK)])
@@ -119,7 +121,7 @@ def with_hits(df: DataFrame, common: int) -> DataFrame:
     return df.withColumn("hits", F.array(*hits)).drop("_places", *[f"_g{g}" for g in range(groups)])
 
 
-def judge(docs: DataFrame, least_words: int = 50, most_char: float = 0.3, most_word: float = 0.45, common: int = 18, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, least_words: int = 50, most_char: float = 0.3, most_word: float = 0.45, common: int = 20, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, counts, js_char, js_word, base_failed and kept for every row.
 
     Distances are null, and don't count against the text, below ``least_words`` words
