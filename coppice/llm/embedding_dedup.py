@@ -53,18 +53,37 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     return rows.drop("v"), one
 
 
-def links(one: DataFrame, least: float = 0.9, cell_size: int = 256, most_cells: int = 4096, sample: int = 20_000, probes: int = 4, block: int = 1024) -> DataFrame:
+def lookups(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell of each row of x, [row, cell] whether a linked vector can have that earlier cell as its home).
+
+    A unit y with x.y >= least has y.w >= 0 for some w of length 1 only if x.w >= -sqrt(1 - least^2).  If y's home
+    is cell i and x's is j, this holds for w along c_i - c_j, so no cell that holds a link is left out.  Of a pair's
+    two cells the later looks up the earlier: each pair is evaluated once.
+    """
+    s = x @ c.T
+    home = s.argmax(1)
+    square = (c * c).sum(1)
+    gap = np.sqrt(np.maximum(square[home][:, None] + square - 2 * (c[home] @ c.T), 0))
+    reach = np.sqrt(max(0.0, 1 - least * least)) * gap if least > 0 else np.inf
+    can = s >= s[np.arange(len(x)), home][:, None] - reach - 1e-6
+    return home, can & (np.arange(len(c)) < home[:, None])
+
+
+def links(one: DataFrame, least: float = 0.9, cell_size: int = 256, most_cells: int = 4096, sample: int = 20_000, block: int = 1024, most_lookups: float = 8.0, lengths: int = 64) -> DataFrame:
     """(rep, n_links, least_linked) rows to be summed: per class and block product, the number of other
     classes' vectors linked, and an edge to the least class of its component within the block.
 
     Centroids are fitted on at most ``sample`` classes, drawn by hash; every class is
-    assigned to its nearest cell and looks up the ``probes`` nearest.  A cell of any size is dealt
+    assigned to its nearest cell and looks up all earlier cells that can hold a link (``lookups``), so no
+    link is lost.  Where the sample looks up more than ``most_lookups`` cells on average, cells are
+    halved in number, down to 16 times their size: the bound rules little out there, and larger cells
+    are met by fewer copies.  A cell of any size is dealt
     into blocks of about ``block`` vectors and the products of all pairs of blocks are
     spread over the tasks; what leaves a task is one row a vector, not the pairs.
-    A pair of two cells is evaluated where either looks up the other's cell, and counted once.
+    Each of the ``lengths`` most common lengths has centroids; a cell of any other length is all of its vectors.
     """
     spark = one.sparkSession
-    dims = [r["d"] for r in one.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count")).limit(64).collect()]
+    dims = [r["d"] for r in one.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(lengths).collect()]
     pieces = []
     for d in dims:
         part = one.where(F.size("v") == d)
@@ -72,41 +91,48 @@ def links(one: DataFrame, least: float = 0.9, cell_size: int = 256, most_cells:
         k = min(most_cells, max(1, total // cell_size))
         drawn = part.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).select("v").toArrow()["v"].combine_chunks()
         x = _unit(drawn)
-        cells = spark.sparkContext.broadcast(spherical_kmeans(x, min(k, len(x))))
-        pieces.append(_cells(part, cells, least, probes, block))
+        fitted = spherical_kmeans(x, min(k, len(x)))
+        fewest = max(1, k // 16)
+        while k > fewest and lookups(x[:1024], fitted, least)[1].sum(1).mean() > most_lookups:
+            k = max(fewest, k // 2)
+            fitted = spherical_kmeans(x, min(k, len(x)))
+        pieces.append(_cells(_assigned(part, spark.sparkContext.broadcast(fitted), least), least, block))
+    if len(dims) == lengths:
+        rest = one.where(~F.size("v").isin(dims)).select("rep", "n", "v", F.array(F.size("v")).alias("near"))
+        pieces.append(_cells(rest, least, block, few=False))
     out = pieces[0] if pieces else spark.createDataFrame([], "rep long, n_links long, least_linked long")
     for p in pieces[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _cells(part: DataFrame, cells, least: float, probes: int, block: int) -> DataFrame:
+def _assigned(part: DataFrame, cells, least: float) -> DataFrame:
+    """rep, n, v and near: the home cell, then the cells looked up."""
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = cells.value
-        t = min(probes, len(c))
         for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                s = b.slice(i, 2048)
-                sim = _unit(s.column("v")) @ c.T
-                near = np.argpartition(-sim, t - 1, axis=1)[:, :t] if t < len(c) else np.tile(np.arange(len(c)), (len(sim), 1))
-                order = np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable")
-                near = np.take_along_axis(near, order, 1)
-                yield pa.RecordBatch.from_arrays([s.column("rep"), s.column("n"), s.column("v"), pa.array(near.tolist(), pa.list_(pa.int32()))], ["rep", "n", "v", "near"])
-
-    kind = dict(part.dtypes)["v"]
-    near = part.select("rep", "n", "v").mapInArrow(assign, f"rep long, n long, v {kind}, near array<int>")
+            for i in range(0, b.num_rows, 1024):
+                s = b.slice(i, 1024)
+                home, can = lookups(_unit(s.column("v")), cells.value, least)
+                near = [[h, *np.flatnonzero(c).tolist()] for h, c in zip(home.tolist(), can)]
+                yield pa.RecordBatch.from_arrays([s.column("rep"), s.column("n"), s.column("v"), pa.array(near, pa.list_(pa.int32()))], ["rep", "n", "v", "near"])
+
+    return part.select("rep", "n", "v").mapInArrow(assign, f"rep long, n long, v {dict(part.dtypes)['v']}, near array<int>")
+
+
+def _cells(near: DataFrame, least: float, block: int, few: bool = True) -> DataFrame:
     near = near.withColumn("home", F.col("near")[0])
-    spread = near.select("rep", "n", "v", "near", "home", F.explode("near").alias("cell"))
+    spread = near.select("rep", "n", "v", "home", F.explode("near").alias("cell"))
     sizes = near.groupBy(F.col("home").alias("cell")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
-    guests = spread.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.sum((F.col("cell") != F.col("home")).cast("int")) / block)).cast("int").alias("guest_blocks"))
-    at = F.broadcast(sizes.join(guests, "cell"))  # a row for each of at most most_cells cells
-    placed = spread.join(at, "cell").withColumn("member", F.col("cell") == F.col("home"))
-    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("member"), F.col("blocks")).otherwise(F.col("guest_blocks"))).cast("int")
+    guests = near.select(F.col("home"), F.explode("near").alias("cell")).groupBy("cell").agg(F.ceil(F.sum((F.col("cell") != F.col("home")).cast("int")) / block).cast("int").alias("guest_blocks"))
+    at = sizes.join(guests, "cell")
+    placed = spread.join(F.broadcast(at) if few else at, "cell").withColumn("member", F.col("cell") == F.col("home"))  # few: a row for each of at most most_cells cells
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("member"), F.col("blocks")).otherwise(F.greatest(F.lit(1), F.col("guest_blocks")))).cast("int")
     placed = placed.withColumn("mine", mine)
-    every = lambda n: F.sequence(F.lit(0), n - 1)
+    every = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
     # A member's block i meets member blocks j >= i, and each guest block; guest blocks are numbered below 0.
     with_members = F.transform(every(F.col("blocks")), lambda j: F.struct(F.least(F.col("mine"), j).alias("i"), F.greatest(F.col("mine"), j).alias("j")))
-    with_guests = F.transform(every(F.col("guest_blocks")), lambda g: F.struct((-1 - g).alias("i"), F.col("mine").alias("j")))
+    with_guests = F.slice(F.transform(every(F.col("guest_blocks")), lambda g: F.struct((-1 - g).alias("i"), F.col("mine").alias("j"))), F.lit(1), F.col("guest_blocks"))
     as_guest = F.transform(every(F.col("blocks")), lambda j: F.struct((-1 - F.col("mine")).alias("i"), j.alias("j")))
     dealt = placed.withColumn("t", F.explode(F.when(F.col("member"), F.concat(with_members, with_guests)).otherwise(as_guest)))
 
@@ -114,28 +140,16 @@ def _cells(part: DataFrame, cells, least: float, probes: int, block: int) -> Dat
         i = table["i"][0].as_py()
         mine, member = table["mine"].to_numpy(), table["member"].to_numpy(zero_copy_only=False)
         x = _unit(table["v"].combine_chunks())
-        rep, n, home = table["rep"].to_numpy(), table["n"].to_numpy(), table["home"].to_numpy()
+        rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
         j = table["j"][0].as_py()
         right = np.flatnonzero(member & (mine == j))
         left = right if i == j else np.flatnonzero(member & (mine == i)) if i >= 0 else np.flatnonzero(~member)
         if not len(left) or not len(right):
             return table.schema.empty_table().select([]).append_column("rep", pa.array([], pa.int64())).append_column("n_links", pa.array([], pa.int64())).append_column("least_linked", pa.array([], pa.int64()))
         m = x[left] @ x[right].T >= least
-        counted = m
         if i == j:
             np.fill_diagonal(m, False)
-        elif i < 0:
-            # The other evaluation of a pair of cells is where the member looks up the guest's home; the smaller cell's counts.
-            cell = home[right][0]
-            nears = table["near"].to_pylist()
-            looks = {}
-            for r, at_ in enumerate(right):
-                for c in nears[at_]:
-                    looks.setdefault(c, np.zeros(len(right), bool))[r] = True
-            none = np.zeros(len(right), bool)
-            again = np.stack([looks.get(h, none) if h < cell else none for h in home[left].tolist()])
-            counted = m & ~again
-        links_l, links_r = counted @ n[right], n[left] @ counted
+        links_l, links_r = m @ n[right], n[left] @ m
         big = np.iinfo(np.int64).max
         lab_l, lab_r = rep[left].copy(), rep[right].copy()
         while True:  # least label over the block's links, until it stands
@@ -153,7 +167,7 @@ def _cells(part: DataFrame, cells, least: float, probes: int, block: int) -> Dat
         some = (count > 0) | (lab != who)
         return pa.table({"rep": pa.array(who[some], pa.int64()), "n_links": pa.array(count[some]), "least_linked": pa.array(lab[some], pa.int64())})
 
-    cols = dealt.select("rep", "n", "v", "near", "home", "cell", "member", "mine", F.col("t.i").alias("i"), F.col("t.j").alias("j"))
+    cols = dealt.select("rep", "n", "v", "cell", "member", "mine", F.col("t.i").alias("i"), F.col("t.j").alias("j"))
     return cols.groupBy("cell", "i", "j").applyInArrow(product, "rep long, n_links long, least_linked long")
 
 
