@@ -281,31 +281,72 @@ def _pieces(s: Schedule, q: int, begin: int, n: int):
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
 
 
+def routes(tokens: list[int], shares: list[float], window: int, most: int = 64) -> list[tuple[tuple[Schedule, int], ...]]:
+    """For each queue the schedules that place it, innermost first, and its place in each.
+
+    The ``most`` - 1 queues with the most tokens have places of their own; all others share one, whose
+    tokens come from a round-robin among them: one schedule, or a tree of them, each over ``most``
+    queues at most.  A pool's window is the least in which each of its queues has a token, so a deficit
+    is carried over that many of the pool's tokens (64 at least, or pieces get too short).  The pool's share is the sum of its queues' shares;
+    when one of them runs dry, its part goes to the others of its schedule first.
+    """
+    out: list[tuple[tuple[Schedule, int], ...]] = [()] * len(tokens)
+
+    def place(groups: list[list[int]], window: int) -> None:
+        s = schedule([sum(tokens[q] for q in g) for g in groups], [sum(shares[q] for q in g) for g in groups], window)
+        for i, g in enumerate(groups):
+            if len(g) > 1:
+                inner = [[q] for q in g] if len(g) <= most else [g[k::most] for k in range(most)]
+                sizes = [sum(shares[q] for q in x) for x in inner]
+                need = 1.1 * max(len(inner), sum(sizes) / min((x for x in sizes if x > 0), default=1.0))
+                place(inner, next((1 << b for b in range(6, 15) if 1 << b >= need), 1 << 15))
+            for q in g:
+                out[q] = (*out[q], (s, i))
+
+    if len(tokens) <= most:
+        place([[q] for q in range(len(tokens))], window)
+    else:
+        order = sorted(range(len(tokens)), key=lambda q: (-tokens[q], q))
+        place([*([q] for q in sorted(order[: most - 1])), order[most - 1 :]], window)
+    return out
+
+
+def _routed(route: tuple[tuple[Schedule, int], ...], begin: int, n: int):
+    """``_pieces`` through the schedules of a route: places in an inner one are positions in the queue of the next."""
+    (s, q), *outer = route
+    got = _pieces(s, q, begin, n)
+    for s2, q2 in outer:
+        parts = []
+        for at, k, w, o in zip(*(x.tolist() for x in got)):
+            start, *rest = _pieces(s2, q2, w * s.window + o, k)
+            parts.append((start + at, *rest))
+        got, s = [np.concatenate(x) for x in zip(*parts)], s2
+    return got
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shares: dict[str, float] | None = None, max_queues: int = 64, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
     """One row per piece: doc_id, queue, start, length, ids (binary), doc_tokens, sequence_id, offset.
 
     ``shares`` are the target token proportions of the queues; by default each queue's
     share of all tokens, so that all run dry together.  Queues that it lacks get the
-    least share given.  The ``max_queues`` - 1 largest sources have queues of their own,
-    all others share one.  Every row is packed, repeated rows too; the last sequence
+    least share given.  Every source is a queue; of more than ``max_queues``, those with the
+    fewest tokens take turns within one (``routes``).  The sources' names and totals are held by the driver.  Every row is packed, repeated rows too; the last sequence
     alone may be short.  No rows give no pieces.
     """
     if window & (window - 1) or window > 1 << 15:
         raise ValueError("a window is a power of two, 32768 at most")
     spark = docs.sparkSession
-    # Large sources keep their own queue; the bounded list of their names is all that reaches the driver.
-    sizes = docs.groupBy(F.coalesce(F.col(queue_col).cast("string"), F.lit("")).alias("queue")).count()
-    own = sorted(r["queue"] for r in sizes.orderBy(F.desc("count"), "queue").limit(max_queues - 1).collect())
+    own = sorted(r["queue"] for r in docs.select(F.coalesce(F.col(queue_col).cast("string"), F.lit("")).alias("queue")).distinct().collect())
     tokens = tokenize(docs, tokenizer, own, end_id, id_col, text_col, queue_col)
     per_chunk = cut(tokens.groupBy("chunk", "no").agg(F.sum("doc_tokens").alias("n")))
     totals = {r["no"]: r["n"] for r in per_chunk.groupBy("no").agg(F.sum("n").alias("n")).collect()}
-    n = [int(totals.get(i, 0)) for i in range(len(own) + 1)]
+    n = [int(totals.get(i, 0)) for i in range(len(own))]
     if shares:
         least = min(shares.values())
-        target = [float(shares.get(name, least)) for name in [*own, None]]
+        target = [float(shares.get(name, least)) for name in own]
     else:
         target = [float(x) for x in n]
-    plan = spark.sparkContext.broadcast(schedule(n, target, window))
+    plan = spark.sparkContext.broadcast(routes(n, target, window, max_queues))
     # A chunk's tokens of a queue follow those of the chunks before it.
     order = Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_chunk.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).select("chunk", "no", "base")
@@ -320,7 +361,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
             starts, counts, nos, bases_ = (b.column(c).to_pylist() for c in ("start", "doc_tokens", "no", "base"))
             blobs = b.column("ids")
             for i in range(b.num_rows):
-                got = _pieces(s, nos[i], bases_[i] + starts[i], counts[i])
+                got = _routed(s[nos[i]], bases_[i] + starts[i], counts[i])
                 for c, x in zip(cols, got):
                     c.append(x)
                 rows.append(np.full(len(got[0]), i))
