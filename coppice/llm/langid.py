@@ -175,18 +175,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, per_language: int = 2000, penalty: float = 6.0, smoothing: float = 0.5, max_languages: int = 512, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns trigram and script counts from rows with a text and a language.
 
-    About ``per_language`` documents of each language, drawn by a hash of the text,
-    are the bounded sample the model is fitted on (small languages are used whole).
+    About ``per_language`` distinct texts of each language, drawn by a hash of the text,
+    are the bounded sample the model is fitted on (languages with fewer are used whole); copies count once.
     Raises ValueError over ``max_languages`` languages; with none, every text is ``und``.
     """
     src = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = src.groupBy("lang").count().limit(max_languages + 1).collect()
+    sizes = src.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("count")).limit(max_languages + 1).collect()
     if len(sizes) > max_languages:
         raise ValueError(f"over {max_languages} languages")
     if not sizes:
         return Model((), np.zeros((BUCKETS + 1, 0), np.float32), np.ones((len(SCRIPT_NAMES) + 1, 0), bool), penalty)
     rate = F.element_at(F.create_map(*[F.lit(y) for r in sizes for y in (r["lang"], min(1.0, per_language / r["count"]))]), F.col("lang"))
-    drawn = src.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20))
+    drawn = src.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20)).dropDuplicates(["lang", "text"])
     counts = drawn.mapInArrow(_count, "lang string, kind int, id int, n long").groupBy("lang", "kind", "id").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(r["lang"] for r in sizes))
     tri = np.zeros((BUCKETS, len(langs)))
