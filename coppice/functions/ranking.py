@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The order key is a bijection on 32-bit ids: an odd multiplier modulo 2**32.
@@ -12,17 +14,40 @@ MULTIPLIER, MODULUS = 2654435761, 1 << 32
 
 
 def order_key(row_id: Column | str, seed: int = 0) -> Column:
-    """A pseudo-random order of ids below 2**31, the same in any engine with 64-bit integers."""
+    """A pseudo-random number below 2**32 of any whole id, the same in any engine with 64-bit integers.
+
+    It is the id modulo 2**32, either sign, times an odd number modulo 2**32.  The factors are multiplied by
+    halves of 16 bits, so that no product overflows.
+    """
     c = F.col(row_id) if isinstance(row_id, str) else row_id
-    return (c.cast("long") * F.lit(MULTIPLIER + 2 * seed)) % F.lit(MODULUS)
+    factor = (MULTIPLIER + 2 * seed) % MODULUS
+    low = F.pmod(c.cast("long"), F.lit(MODULUS))
+    high, rest = F.shiftright(low, 16), low.bitwiseAND(0xFFFF)
+    return F.pmod(F.pmod(high * F.lit(factor), F.lit(1 << 16)) * F.lit(1 << 16) + rest * F.lit(factor), F.lit(MODULUS))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the folder that all executors share."""
-    spark = df.sparkSession
+def whole_id(df: DataFrame, row_id: str) -> Column:
+    """The id as a long: whole numbers are themselves, anything else is hashed; null stays null."""
+    return F.col(row_id).cast("long") if dict(df.dtypes)[row_id] in ("bigint", "int", "smallint", "tinyint") else F.when(F.col(row_id).isNotNull(), F.xxhash64(row_id))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; in a single process, where it may be unset, a private one."""
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(path)
+    return path
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, in the folder that all executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -43,6 +68,8 @@ def running_total(df: DataFrame, order: list[Column], value: Column, name: str,
     totals = ranged.groupBy("_part", *groups).agg(F.sum("_value").alias("_n"))
     ahead = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    if not groups:  # a row a partition; with groups they are joined
+        before = F.broadcast(before)
     return within.join(before, ["_part", *groups]).withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before", "_value")
 
 
@@ -62,6 +89,6 @@ def nearest_rank(df: DataFrame, value: str, alpha: float, groups: list[str] | No
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
     ranked = running_total(counts, [F.col("_v").asc()], F.col("_k"), "_below", groups)
     sizes = counts.groupBy(*groups).agg(F.sum("_k").alias("_c"))
-    hit = ranked.join(F.broadcast(sizes), groups) if groups else ranked.join(F.broadcast(sizes), F.lit(True))
+    hit = ranked.join(sizes, groups) if groups else ranked.join(F.broadcast(sizes), F.lit(True))  # without groups one row
     at = F.least(half_up(F.lit(alpha) * (F.col("_c") - 1)), F.col("_c") - 1)
     return hit.where((F.col("_below") <= at) & (at < F.col("_below") + F.col("_k"))).select(*groups, F.col("_v").alias(out))

@@ -36,7 +36,7 @@ SIGMOID = "(1.0e0 / (1.0e0 + exp(-({}))))"
 
 
 def key(column: str, seed: int = 0) -> str:
-    return f"(({column}::BIGINT * {2654435761 + 2 * seed}) % 4294967296)"
+    return f"(((({column}::HUGEINT % 4294967296 + 4294967296) % 4294967296) * {2654435761 + 2 * seed}) % 4294967296)"
 
 
 class Catalog:

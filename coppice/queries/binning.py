@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BinMapper, Data
-from ..functions.ranking import order_key
+from ..functions.ranking import order_key, shared_dir
 from ..operators import binning as B
 from ..operators import encoding as E
 from ..operators import samplers
@@ -20,8 +19,7 @@ query = Catalog()
 
 
 def _scratch(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="source-")
-    return f"{top}/text-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
 
 
 @query()
@@ -210,7 +208,7 @@ def te_pairs(spark, d):
     return enc.fit_transform(o.select("o_orderkey", "c", "b", "y"), "y", "o_orderkey").select("o_orderkey", F.round("c_b_te", 6).alias("te"))
 
 
-@query(f"SELECT o_orderkey, {key('o_orderkey', 1)} AS k FROM orders")
+@query(f"SELECT o_orderkey, {key('o_orderkey', 1)}::BIGINT AS k FROM orders")
 def order_keys(spark, d):
     return table(spark, d, "orders").select("o_orderkey", order_key("o_orderkey", 1).alias("k"))
 

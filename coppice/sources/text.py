@@ -25,6 +25,14 @@ def _trim(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\r"))
 
 
+def _lines(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """The lines that aren't blank, without the first of each file if that is a header: it goes by its place, not by what it says."""
+    if not header:
+        return spark.read.text(path).where(F.length(_trim(F.col("value"))) > 0)
+    reader = spark.read.schema("value string").options(sep="\x01", quote="", header=True, enforceSchema=True)
+    return reader.csv(path).where(F.length(_trim(F.col("value"))) > 0)
+
+
 def read_csv(spark: SparkSession, path: str, config: Data | None = None) -> DataFrame:
     """label, weight (if any) and the features, by name or f0, f1, ...; all floats.
 
@@ -33,7 +41,7 @@ def read_csv(spark: SparkSession, path: str, config: Data | None = None) -> Data
     that names the line, as does a line of another width.  Ignored columns are checked too.
     """
     cfg = config or Data()
-    lines = spark.read.text(path).where(F.length(_trim(F.col("value"))) > 0)
+    lines = _lines(spark, path)
     head = lines.limit(1).collect()
     if not head:
         raise ValueError(f"{path} has no rows" if not cfg.header else f"{path} has no header")
@@ -43,7 +51,7 @@ def read_csv(spark: SparkSession, path: str, config: Data | None = None) -> Data
     if len(set(names)) != width:
         raise ValueError("column names must be unique")
     if cfg.header:
-        lines = lines.where(F.col("value") != head[0]["value"])
+        lines = _lines(spark, path, header=True)
     keep = roles(width, cfg.label_column, cfg.weight_column, cfg.ignored_columns)
     cells = F.transform(F.split("value", ","), _trim)
     bad = (F.size("c") != width) | F.exists("c", lambda x: ~F.lower(x).rlike(NUMBER))

@@ -48,6 +48,17 @@ def test_bad_edges(edges):
         B.edges_to_cuts(edges)
 
 
+def test_order_keys_of_any_id(spark):
+    from coppice.functions.ranking import order_key
+
+    ids = [0, 1, -1, 7, 2**31, 2**32 - 1, 2**32, 2**40 + 3, 2**63 - 1, -(2**63), -5_000_000_000]
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "i long")
+    for seed in (0, 5, 2**31):
+        got = {r["i"]: r["k"] for r in df.select("i", order_key("i", seed).alias("k")).collect()}
+        assert got.pop(None) is None
+        assert got == {i: (i % 2**32) * ((2654435761 + 2 * seed) % 2**32) % 2**32 for i in ids}
+
+
 def test_bins_agree(spark, df):
     cuts = B.fit_cuts(df, X, Config().bin_mapper)
     one = B.bin_table(df, cuts, ["id"]).toPandas().sort_values("id")
@@ -217,6 +228,11 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "b.csv").write_text("1,,2\n")
     with pytest.raises(Exception, match="malformed"):
         read_csv(spark, str(tmp_path / "b.csv"), Data(header=False)).collect()
+    (tmp_path / "d.csv").write_text("\n1,2,3\n4,5,6\n1,2,3\n \n7,\t8,9\n")  # rows like the header are rows
+    assert sorted(tuple(r) for r in read_csv(spark, str(tmp_path / "d.csv")).collect()) == [(1.0, 2.0, 3.0), (4.0, 5.0, 6.0), (7.0, 8.0, 9.0)]
+    with pytest.raises(Exception, match="malformed"):
+        (tmp_path / "e.csv").write_text('a,b\n"1",2\n')
+        read_csv(spark, str(tmp_path / "e.csv")).collect()
     (tmp_path / "c").write_text("# note\n1 2:0.5\n+1 1:2 3:4\n")
     got = sorted(tuple(r) for r in read_libsvm(spark, str(tmp_path / "c"), 4).collect())
     assert got == [(0.0, 2.0, 0.0, 4.0, 0.0), (1.0, 0.0, 0.5, 0.0, 0.0)]

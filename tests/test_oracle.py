@@ -10,7 +10,9 @@ NAMES = [n for n in engine.ORACLE if not n.startswith(("grad_", "loss_", "init_"
 
 def rows(df):
     cols = sorted(df.columns)
-    return sorted(tuple(round(float(x), 5) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False))
+    plain = df[cols].astype(object).where(df[cols].notna(), None)
+    shown = (tuple(round(float(x), 5) if isinstance(x, (int, float)) and not isinstance(x, bool) else x if x is None else str(x) for x in r) for r in plain.itertuples(index=False))
+    return sorted(shown, key=lambda r: [(x is None, isinstance(x, str), x if x is not None else 0) for x in r])
 
 
 @pytest.mark.parametrize("name", NAMES)
