@@ -12,137 +12,21 @@ filled by one task alone and no token ids are shuffled.
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from . import tokens as T
 from .common import cut, slices, written
 
-#: Words that are letters alone, perhaps with a stop or comma: letters of Latin blocks, whose lower case is one letter.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]?")
-
-
-def split_words(text: str) -> list[str]:
-    """The text cut at ASCII white space; chunks between it never share a token."""
-    for c in "\n\t\r\v\f":
-        text = text.replace(c, " ")
-    return text.split(" ")
-
-
-@lru_cache(maxsize=2)
-def chunks_of(path: str) -> Chunks:
-    """The memory of this process, kept from task to task."""
-    return Chunks(path)
-
-
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-@lru_cache(maxsize=2)
-def _word_ranks(path: str):
-    """The merges of a BPE file with ends of words as ranks of byte strings: an end is a zero byte, which merges first."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that stand for themselves in the file
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    ranks = {}
-    for token, i in vocab.items():
-        body = token.removesuffix("</w>")
-        if all(c in byte for c in body) and not token.startswith("<|"):
-            ranks[bytes(byte[c] for c in body) + b"\0" * (body != token)] = i
-    return tiktoken.Encoding("words", pat_str="[^\x01]+", mergeable_ranks=ranks, special_tokens={})
-
-
-class Chunks:
-    """Token ids of a text, remembered by chunk between white space.
-
-    Holds for tokenizers that split at white space and drop it, and give the control
-    character 1 a token of its own: it separates the chunks that are encoded in one
-    string.  The memory is emptied when it holds ``most`` chunks.
-    """
-
-    def __init__(self, path: str, most: int = 400_000):
-        self.tokenizer, self.most, self.known = _tokenizer(path), most, {"": b""}
-        marks = self.tokenizer.encode("a \x01 \x01 a", add_special_tokens=False).ids
-        if len(marks) != 4 or marks[1] != marks[2]:
-            raise ValueError("the tokenizer has no token for the separator")
-        self.mark = marks[1]
-        self.ranks = _word_ranks(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.tails = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,"}
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Plain words go through the same merges in a faster engine, everything else through the tokenizer."""
-        plain, rest = {}, []
-        for c in chunks:
-            if _PLAIN.fullmatch(c):
-                plain.setdefault((c[:-1] if c[-1] in ".," else c).lower(), []).append(c)
-            else:
-                rest.append(c)
-        self._encode_rest(rest)
-        words = list(plain)
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            ids = np.array(self.ranks.encode_ordinary("\x01".join(w + "\0" for w in part)), np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            blob, at = ids.tobytes(), 0
-            for w, j in zip(part, (last + 1).tolist()):
-                x, at = blob[4 * at : 4 * j], j
-                for c in plain[w]:
-                    self.known[c] = x + self.tails[c[-1]] if c[-1] in ".," else x
-
-    def _encode_rest(self, chunks: list[str]) -> None:
-        odd = [c for c in chunks if "\x01" in c or "<|" in c]
-        plain = list(set(chunks).difference(odd)) if odd else chunks
-        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, np.uint32).tobytes()
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" \x01 ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            blob, at = ids.tobytes(), 0
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer joined chunks")
-            for c, j in zip(part, ends):
-                self.known[c] = blob[4 * at : 4 * j]
-                at = j + 1
-
-    def parts(self, texts: list[str]) -> list[list[bytes]]:
-        """The ids of each chunk of each text, as little-endian unsigned 32-bit numbers."""
-        parts = [split_words(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        self._learn(list({c for p in parts for c in p}.difference(self.known)))
-        get = self.known.__getitem__
-        return [list(map(get, p)) for p in parts]
-
-    def parts_of_words(self, words: list[str]) -> list[list[bytes]]:
-        """The same for words without white space."""
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        self._learn(list(set(words).difference(self.known)))
-        return [[self.known[w]] for w in words]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(p), np.uint32) for p in self.parts(texts)]
-
 
 def tokenize(docs: DataFrame, tokenizer: str, own: list[str], end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
     """(doc_id, queue, no, chunk, start, doc_tokens, ids) of every row, in a table in the shared folder.
@@ -152,22 +36,22 @@ def tokenize(docs: DataFrame, tokenizer: str, own: list[str], end_id: int = 2, i
     it there, ids the token ids and ``end_id`` as little-endian unsigned 32-bit
     numbers.  Null texts are empty; a null queue is ''.
     """
-    places = {name: i for i, name in enumerate(own)}
+    names = pa.array(own, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId()
-        memo, ahead = chunks_of(tokenizer), {}
-        end = np.array([end_id], np.uint32).tobytes()
-        for b in slices(batches, size=2 << 20):
-            ids = [x.tobytes() + end for x in memo.encode([t or "" for t in b.column("text").to_pylist()])]
-            n = [len(x) // 4 for x in ids]
-            starts = []
-            queues = b.column("queue").to_pylist()
-            nos = [places.get(q, len(places)) for q in queues]
-            for q, k in zip(nos, n):
-                starts.append(ahead.get(q, 0))
-                ahead[q] = starts[-1] + k
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(queues, pa.string()), pa.array(nos, pa.int32()), pa.array([chunk] * len(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "queue", "no", "chunk", "start", "doc_tokens", "ids"])
+        chunk, encoder = TaskContext.get().partitionId(), T.encoder_of(tokenizer)
+        ahead = np.zeros(len(own) + 1, np.int64)
+        for b in slices(batches, size=4 << 20):
+            coded = T.encode(b.column("text"), encoder, end_id)
+            n = np.diff(coded.edge)
+            nos = pc.fill_null(pc.index_in(b.column("queue"), names), len(own)).to_numpy()
+            starts = np.empty(len(n), np.int64)
+            for q in np.unique(nos):
+                at = np.flatnonzero(nos == q)
+                ends = ahead[q] + np.cumsum(n[at])
+                starts[at] = ends - n[at]
+                ahead[q] = ends[-1]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("queue"), pa.array(nos, pa.int32()), pa.array(np.full(len(n), chunk, np.int32)), pa.array(starts), pa.array(n), T.lists(coded)], ["doc_id", "queue", "no", "chunk", "start", "doc_tokens", "ids"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(queue_col).cast("string"), F.lit("")).alias("queue"))
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -324,14 +208,42 @@ def _routed(route: tuple[tuple[Schedule, int], ...], begin: int, n: int):
     return got
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shares: dict[str, float] | None = None, max_queues: int = 64, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
-    """One row per piece: doc_id, queue, start, length, ids (binary), doc_tokens, sequence_id, offset.
+def place(routed: list[tuple[tuple[Schedule, int], ...]], nos: np.ndarray, begin: np.ndarray, n: np.ndarray):
+    """(document, start, length, sequence, offset) arrays of the pieces of documents, by document and start.
 
-    ``shares`` are the target token proportions of the queues; by default each queue's
-    share of all tokens, so that all run dry together.  Queues that it lacks get the
-    least share given.  Every source is a queue; of more than ``max_queues``, those with the
-    fewest tokens take turns within one (``routes``).  The sources' names and totals are held by the driver.  Every row is packed, repeated rows too; the last sequence
-    alone may be short.  No rows give no pieces.
+    Document k holds the positions [begin[k], begin[k] + n[k]) of queue nos[k].  Documents that follow one
+    another in a queue are placed as one run and cut apart afterwards.
+    """
+    order = np.lexsort((begin, nos))
+    q, at, size = nos[order], begin[order], n[order]
+    heads = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (at[1:] != at[:-1] + size[:-1])])) if len(q) else np.zeros(0, int)
+    out = []
+    for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(q)]):
+        first = int(at[i])
+        piece, _, seq, off = _routed(routed[q[i]], first, int(at[j - 1] + size[j - 1]) - first)
+        doc = at[i:j] - first
+        cuts = np.union1d(piece, doc)
+        d, p = np.searchsorted(doc, cuts, side="right") - 1, np.searchsorted(piece, cuts, side="right") - 1
+        length = np.diff(np.append(cuts, doc[-1] + size[j - 1]))
+        out.append((order[i + d], cuts - doc[d], length, seq[p], off[p] + cuts - piece[p]))
+    if not out:
+        return [np.zeros(0, np.int64)] * 5
+    got = [np.concatenate(x).astype(np.int64) for x in zip(*out)]
+    by = np.lexsort((got[1], got[0]))
+    return [x[by] for x in got]
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shares: dict[str, float] | None = None, alpha: float = 0.7, max_queues: int = 64, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
+    """One row per piece: doc_id, queue, target, start, length, ids (binary), doc_tokens, sequence_id, offset.
+
+    ``shares`` are the target token proportions of the queues; those that it lacks get the least share
+    given.  By default they are the queues' tokens to the power ``alpha``: small queues are
+    ahead of their part until they run dry, and 1 makes all run dry together.  target is the
+    queue's share of the sum.  Every source is a queue; of more than ``max_queues``, those with the
+    fewest tokens take turns within one (``routes``).  The driver holds the sources' names and totals.
+    Every row is packed, repeated rows too; the last sequence alone may be short.  No rows give no
+    pieces.  Token ids stay in the partition that they were made in, unless partitions and queues make
+    over 500,000 pairs: then the ids are shuffled once, to meet their partition's place.
     """
     if window & (window - 1) or window > 1 << 15:
         raise ValueError("a window is a power of two, 32768 at most")
@@ -345,31 +257,38 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
         least = min(shares.values())
         target = [float(shares.get(name, least)) for name in own]
     else:
-        target = [float(x) for x in n]
-    plan = spark.sparkContext.broadcast(routes(n, target, window, max_queues))
+        target = [float(x) ** alpha for x in n]
+    whole = sum(target) or 1.0
+    plan = spark.sparkContext.broadcast((routes(n, target, window, max_queues), np.array([x / whole for x in target])))
     # A chunk's tokens of a queue follow those of the chunks before it.
     order = Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_chunk.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).select("chunk", "no", "base")
-    # One row a chunk and queue: broadcast while that is small, else joined on both.
     placed = tokens.join(F.broadcast(bases) if per_chunk.count() <= 500_000 else bases, ["chunk", "no"])
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = plan.value
-        for b in slices(batches, "ids", rows=512, size=2 << 20):
-            rows, cols, ids = [], [[], [], [], []], []
-            starts, counts, nos, bases_ = (b.column(c).to_pylist() for c in ("start", "doc_tokens", "no", "base"))
-            blobs = b.column("ids")
-            for i in range(b.num_rows):
-                got = _routed(s[nos[i]], bases_[i] + starts[i], counts[i])
-                for c, x in zip(cols, got):
-                    c.append(x)
-                rows.append(np.full(len(got[0]), i))
-                blob = blobs[i].as_py()
-                ids += [blob[4 * a : 4 * (a + k)] for a, k in zip(got[0].tolist(), got[1].tolist())]
-            at = pa.array(np.concatenate(rows))
-            start, length, seq, off = (pa.array(np.concatenate(c), pa.int64()) for c in cols)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("queue").take(at), start, length, pa.array(ids, pa.binary()), b.column("doc_tokens").take(at), seq, off], ["doc_id", "queue", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    cols = placed.select("doc_id", "queue", "start", "doc_tokens", "no", "base", "ids")
-    return cols.mapInArrow(run, f"doc_id {kind}, queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        routed, part = plan.value
+        for b in slices(batches, "ids", rows=4096, size=4 << 20):
+            begin, size, nos = (b.column(c).to_numpy() for c in ("begin", "doc_tokens", "no"))
+            doc, start, length, seq, off = place(routed, nos, begin, size)
+            blob = b.column("ids")
+            edge = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset]
+            # Pieces by document and start are the column's bytes in their order.
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((edge + np.concatenate([[0], 4 * np.cumsum(length)])).astype(np.int32)), blob.buffers()[2]])
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("queue").take(at), pa.array(part[nos[doc]]), pa.array(start), pa.array(length), ids, pa.array(size[doc]), pa.array(seq), pa.array(off)], ["doc_id", "queue", "target", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    cols = placed.select("doc_id", "queue", (F.col("base") + F.col("start")).alias("begin"), "doc_tokens", "no", "ids")
+    return cols.mapInArrow(run, f"doc_id {kind}, queue string, target double, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def attained(pieces: DataFrame, last: int | None = None) -> DataFrame:
+    """(queue, target, share, worst): each queue's share of the tokens in sequences up to ``last`` (all), and how far
+    the share of any one of them is from its target at most; a queue without a piece in one has nothing there."""
+    some = pieces if last is None else pieces.where(F.col("sequence_id") <= last)
+    per = some.groupBy("sequence_id", "queue", "target").agg(F.sum("length").alias("n"))
+    size = per.groupBy("sequence_id").agg(F.sum("n").alias("size"))
+    n_windows, tokens = size.agg(F.count("*"), F.sum("size")).first()
+    far = F.max(F.abs(F.col("n") / F.col("size") - F.col("target")))
+    by = per.join(size, "sequence_id").groupBy("queue", "target").agg((F.sum("n") / F.lit(tokens)).alias("share"), far.alias("far"), F.count("*").alias("_in"))
+    return by.select("queue", "target", "share", F.when(F.col("_in") < n_windows, F.greatest("far", "target")).otherwise(F.col("far")).alias("worst"))
