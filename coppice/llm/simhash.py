@@ -47,20 +47,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(_fingerprints, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def links(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b) for distinct fingerprints ``fp`` that differ in 1 to ``distance`` bits (at most 3).
+def links(fps: DataFrame, distance: int = 3, crowd: int = 1024) -> DataFrame:
+    """(a, b) for distinct fingerprints ``fp`` that differ in 1 to ``distance`` bits (at most 3); pairs may repeat.
 
     The 64 bits make two segments of 32.  Two fingerprints within three bits differ
     by at most one bit in one of the segments, so the ball of radius one around each
     segment value meets the other's table entry.  Of two values one bit apart, only
     the one whose bit is 0 looks up the other: half the lookups find every pair.
+    Values that more than ``crowd`` fingerprints share are split by the other segment: of its
+    four bytes one at least is equal within three bits, so entries and lookups meet by each byte.
     Candidates are verified in the join condition; only links become rows.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with balls of radius one cover 0 to 3 bits")
     low = F.lit((1 << 32) - 1).cast("long")
-    seg = lambda i: F.shiftright("fp", 32 * i).bitwiseAND(low) if i == 0 else F.shiftrightunsigned("fp", 32)
-    key = lambda i: seg(i).bitwiseOR(F.lit(i << 32).cast("long"))
+    seg = lambda fp, i: F.col(fp).bitwiseAND(low) if i == 0 else F.shiftrightunsigned(fp, 32)
+    key = lambda i: seg("fp", i).bitwiseOR(F.lit(i << 32).cast("long"))
     bits = F.array(*[F.lit(1 << b).cast("long") for b in range(32)])
 
     def ball(i: int):
@@ -69,9 +71,23 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
 
     entries = fps.select(F.col("fp").alias("b"), F.explode(F.array(key(0), key(1))).alias("k"))
     probes = fps.select(F.col("fp").alias("a"), F.explode(F.concat(ball(0), ball(1))).alias("k"))
+    crowded = cut(entries.groupBy("k").count().where(F.col("count") > crowd).select("k"))
+    on = ["k"]
+    if n := crowded.count():
+        mark = crowded.withColumn("split", F.lit(True))
+        mark = F.broadcast(mark) if n <= 100_000 else mark
+
+        def parts(df: DataFrame, fp: str) -> DataFrame:
+            other = F.when(F.col("k") < F.lit(1 << 32), seg(fp, 1)).otherwise(seg(fp, 0))
+            by_byte = F.array(*[F.shiftright(other, 8 * j).bitwiseAND(0xFF) + (256 * j + 1) for j in range(4)])
+            return df.join(mark, "k", "left").select(fp, "k", F.explode(F.when(F.col("split"), by_byte).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
+
+        entries, probes, on = parts(entries, "b"), parts(probes, "a"), ["k", "part"]
     ok = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     e, p = entries.alias("e"), probes.alias("p")
-    return p.join(e, (F.col("p.k") == F.col("e.k")) & ok).select("a", "b")
+    for c in on:
+        ok = (F.col(f"p.{c}") == F.col(f"e.{c}")) & ok
+    return p.join(e, ok).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
