@@ -76,7 +76,7 @@ def common_words(docs: DataFrame, common: int = 20, least_words: int = 2000, tex
     df = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.explode(words(lower_az(text_col(text)))).alias("word"))
     counts = cut(df.groupBy("lang", "word").count())
     sums = counts.groupBy("lang").agg(F.sum("count").alias("total")).where(F.col("total") >= least_words)
-    often = counts.join(F.broadcast(sums), "lang").where(F.col("count") * 1000 >= F.col("total"))
+    often = counts.join(_few(sums), "lang").where(F.col("count") * 1000 >= F.col("total"))
     top = often.groupBy("lang", "total").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "word"))), 1, common).alias("top"))
     share = F.transform("top", lambda x: -x["c"] / F.col("total"))
     at = F.transform("top", lambda x: F.pmod(F.xxhash64(x["word"]), F.lit(SLOTS)).cast("int"))
@@ -86,6 +86,24 @@ def common_words(docs: DataFrame, common: int = 20, least_words: int = 2000, tex
     return cut(top.select("lang", "common", F.concat("_s", F.array(1.0 - F.aggregate("_s", F.lit(0.0), lambda a, x: a + x))).alias("shares"), slots.alias("slots")))
 
 
+#: Languages whose references are broadcast; more are joined, each language's rows dealt to SALTS tasks.
+MOST_LANGUAGES, SALTS = 512, 32
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A hint to broadcast a table of a row for each language, if its size allows."""
+    return F.broadcast(df) if df.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES else df
+
+
+def with_language(df: DataFrame, refs: DataFrame) -> DataFrame:
+    """``df`` with the columns of its language's row of ``refs``, null where there is none."""
+    if refs.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
+        return df.join(F.broadcast(refs), "lang", "left")
+    dealt = refs.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, ["lang", "_salt"], "left").drop("_salt")
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance (base 2) of two arrays of shares."""
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
@@ -131,14 +149,13 @@ def judge(docs: DataFrame, least_words: int = 50, most_char: float = 0.3, most_w
     references are summed from.
     """
     refs = common_words(docs, common, text=text, lang=lang)
-    few = refs.limit(513).count() <= 512
-    df = base_counts(docs, id_col, text, lang).join(F.broadcast(refs) if few else refs, "lang", "left")
+    df = with_language(base_counts(docs, id_col, text, lang), refs)
     names = [f"n_{n}" for n, _ in CLASSES]
     df = with_hits(df, common).select("doc_id", "lang", *names, "n_symbols", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "hits", "shares")
     df = written(df)
     total = lambda f: F.greatest(sum(f(n) for n in names), F.lit(1))
     chars = df.where("shares is not null").groupBy("lang").agg(F.array(*[F.sum(n) / total(F.sum) for n in names]).alias("chars"))
-    df = df.join(F.broadcast(chars) if few else chars, "lang", "left")
+    df = with_language(df, chars)
     ok = (F.col("n_words") >= least_words) & F.col("chars").isNotNull()
     df = df.withColumn("js_char", F.when(ok, js_distance(F.array(*[F.col(n) / total(F.col) for n in names]), F.col("chars"))))
     size = F.size("shares") - 1
