@@ -86,7 +86,7 @@ class Model:
         z = self.embed(features(texts))
         for i in range(0, len(z), 256):
             sim = z[i : i + 256] @ self.vectors.T
-            near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+            near = nearest(sim, k)
             w = np.maximum(np.take_along_axis(sim, near, 1), 0).astype(np.float64) ** self.power
             total = w.sum(1)
             vote = (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1)
@@ -94,6 +94,14 @@ class Model:
         return np.clip(out, 0, 1)
 
 
+def nearest(sim: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest values of each row, in order; of equal ones at the border, the first."""
+    least = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k, None]
+    above, equal = sim > least, sim == least
+    taken = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(taken)[1].reshape(len(sim), k)
+
+
 def latent_basis(x: np.ndarray, rank: int, seed: int = 0, rounds: int = 4) -> np.ndarray:
     """The leading right singular vectors of x by subspace iteration, scaled by their values' inverse roots."""
     q = np.random.default_rng(seed).standard_normal((x.shape[1], rank + 16)).astype(np.float32)
@@ -106,12 +114,15 @@ def latent_basis(x: np.ndarray, rank: int, seed: int = 0, rounds: int = 4) -> np
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, rank: int = 64, neighbours: int = 15, power: float = 24.0, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns from at most ``most_labelled`` labelled documents, drawn by a hash of the id from ``labels``.
 
-    Labels that are null or contradict one another within an id (the greater counts),
-    and ids without a document, are left out.  Without labels every score is 0.5.
+    Null labels, null ids and ids without a document are left out; of labels that contradict one
+    another within an id the greater counts, of documents that repeat an id the one whose
+    text has the least hash.  Of neighbours that are equally near, those whose id has the least hash
+    count.  Without labels every score is 0.5.
     """
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
-    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("text", "label", F.xxhash64("id").alias("h"))
+    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")  # at most ``most_labelled`` rows
+    drawn = drawn.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label", F.xxhash64("id").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, rows=512):
