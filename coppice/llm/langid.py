@@ -7,6 +7,7 @@ switching penalty then labels every word, and runs of one label are spans.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import fold, slices
 
-BUCKET_BITS = 16
-BUCKETS = 1 << BUCKET_BITS
+#: Trigrams fall into 2**BITS buckets; into fewer, in halves, where the scores of many languages would outgrow MOST_SCORES numbers.
+BITS, MOST_SCORES = 16, 1 << 25
 #: First code point of each block of letters, and the script it starts ("" ends one).
 SCRIPTS = (
     (0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xAA, "latin"), (0xAB, ""), (0xB5, "latin"), (0xB6, ""), (0xBA, "latin"), (0xBB, ""), (0xC0, "latin"), (0xD7, ""), (0xD8, "latin"), (0xF7, ""), (0xF8, "latin"), (0x250, "latin"), (0x2B0, ""),
@@ -26,21 +27,27 @@ SCRIPTS = (
     (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, ""), (0x31F0, "kana"), (0x3200, ""), (0x3400, "han"), (0x4DC0, ""), (0x4E00, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, ""), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "other"), (0xFE00, ""), (0x20000, "han"), (0x32000, ""),
 )
 SCRIPT_NAMES = tuple(sorted({s for _, s in SCRIPTS if s}))
-_STARTS = np.array([c for c, _ in SCRIPTS])
-_OF = np.array([-1, *[SCRIPT_NAMES.index(s) if s else -1 for _, s in SCRIPTS]], np.int8)
-_SCRIPT = _OF[np.searchsorted(_STARTS, np.arange(0x3000), side="right")]
+
+
+def _script_table() -> np.ndarray:
+    """Script number of each code point: letters are those of Unicode's categories L, "other" where no range names a script; else -1."""
+    n = 0x33480  # no letters are assigned beyond
+    names = np.array([SCRIPT_NAMES.index(s or "other") for _, s in SCRIPTS], np.int8)
+    at = np.searchsorted([c for c, _ in SCRIPTS], np.arange(n), side="right") - 1
+    script = np.where(at >= 0, names[np.maximum(at, 0)], SCRIPT_NAMES.index("other"))
+    letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(n)), bool, n)
+    return np.append(np.where(letter, script, -1), -1).astype(np.int8)
+
+
+_SCRIPT = _script_table()
 
 
 def _scripts(cp: np.ndarray) -> np.ndarray:
     """Script number of each code point, -1 for what is no letter."""
-    out = _SCRIPT[np.minimum(cp, 0x2FFF)]
-    far = np.flatnonzero(cp >= 0x3000)
-    if len(far):
-        out[far] = _OF[np.searchsorted(_STARTS, cp[far], side="right")]
-    return out
+    return _SCRIPT[np.minimum(cp, len(_SCRIPT) - 1)]
 
 
-def _units(texts: list[str]):
+def _units(texts: list[str], bits: int = BITS):
     """(trigram bucket of each character, starts of words, script of each word, letters of each word, first word of each text)."""
     low = [t.lower() for t in texts]
     cp = np.frombuffer("".join(x + "\n" for x in low).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -53,7 +60,7 @@ def _units(texts: list[str]):
     h[1:] ^= plain[:-1] * np.uint32(0x9E3779B1)
     h[:-1] ^= plain[1:] * np.uint32(0xC2B2AE3D)
     h *= np.uint32(0x27D4EB2F)
-    bucket = (h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
+    bucket = (h >> np.uint32(32 - bits)).astype(np.int32)
     script = _scripts(cp)
     ends = np.cumsum([len(x) + 1 for x in low])
     first = np.searchsorted(starts, np.concatenate([[0], ends]))
@@ -67,12 +74,13 @@ def _units(texts: list[str]):
 
 @dataclass(frozen=True)
 class Model:
-    """``scores`` is float32 [BUCKETS + 1, languages]; the last bucket is white space and scores 0."""
+    """``scores`` is float32 [2**bits + 1, languages]; the last bucket is white space and scores 0."""
 
     languages: tuple[str, ...]
     scores: np.ndarray
     allowed: np.ndarray  # bool [scripts + 1, languages]; the last row is for words without letters
     penalty: float
+    bits: int = BITS
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Runs (first word, end word, language) of each text."""
@@ -86,16 +94,19 @@ class Model:
 
     def label(self, texts: list[str]):
         """(language of each word, log-probabilities, letters of each word, first word of each text)."""
-        bucket, space, starts, script, letters, first = _units(texts)
+        bucket, space, starts, script, letters, first = _units(texts, self.bits)
         if not len(starts):
             return np.zeros(0, np.int16), np.zeros((0, len(self.languages)), np.float32), letters, first
-        e = np.add.reduceat(self.scores[np.where(space, BUCKETS, bucket)], starts)
+        e = np.add.reduceat(self.scores[np.where(space, 1 << self.bits, bucket)], starts)
         e += np.where(self.allowed[script], np.float32(0), np.float32(-1e4))
         e[letters == 0] = 0
         return _viterbi(e, first, self.penalty), e, letters, first
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language with the most letters in its spans, and its share of them tempered by its certainty."""
+        """The language with the most letters in its spans, and its share of them tempered by its certainty.
+
+        Ties go to the first language by name, in the spans as in the choice.
+        """
         labels, e, letters, first = self.label([t or "" for t in texts])
         n, k = len(texts), len(self.languages)
         doc = np.repeat(np.arange(n), np.diff(first))
@@ -151,58 +162,55 @@ def _viterbi(e: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, id, n): trigrams (kind 0) and letters by script (kind 1) of each language in the partition."""
-    tri: dict[str, np.ndarray] = {}
-    scr: dict[str, np.ndarray] = {}
+def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(lang, kind, id, n): trigrams (kind 0) and letters by script (kind 1) of each language in a slice of the partition."""
     for b in slices(batches):
         langs = b.column("lang").to_pylist()
         texts = b.column("text").to_pylist()
-        for lang in set(langs):
-            own = [t for t, x in zip(texts, langs) if x == lang and t]
-            bucket, space, starts, script, letters, _ = _units(own)
-            tri.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            scr.setdefault(lang, np.zeros(len(SCRIPT_NAMES), np.int64))
-            tri[lang] += np.bincount(bucket[~space], minlength=BUCKETS)
+        for lang in sorted(set(langs)):
+            bucket, space, _, script, letters, _ = _units([t for t, x in zip(texts, langs) if x == lang and t], bits)
             has = script >= 0
-            scr[lang] += np.bincount(script[has].astype(np.int64), weights=letters[has], minlength=len(SCRIPT_NAMES)).astype(np.int64)
-    for lang in tri:
-        for kind, x in ((0, tri[lang]), (1, scr[lang])):
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], ["lang", "kind", "id", "n"])
+            tri = np.bincount(bucket[~space], minlength=1 << bits)
+            scr = np.bincount(script[has].astype(np.int64), weights=letters[has], minlength=len(SCRIPT_NAMES)).astype(np.int64)
+            for kind, x in ((0, tri), (1, scr)):
+                at = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], ["lang", "kind", "id", "n"])
 
 
-def train(docs: DataFrame, per_language: int = 2000, penalty: float = 6.0, smoothing: float = 0.5, max_languages: int = 512, text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, per_language: int = 2000, penalty: float = 6.0, smoothing: float = 0.5, most_scores: int = MOST_SCORES, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns trigram and script counts from rows with a text and a language.
 
     About ``per_language`` distinct texts of each language, drawn by a hash of the text,
     are the bounded sample the model is fitted on (languages with fewer are used whole); copies count once.
-    Raises ValueError over ``max_languages`` languages; with none, every text is ``und``.
+    The driver holds a score for each language and bucket of trigrams: up to ``most_scores`` with 2**16
+    buckets (512 languages), beyond with half as many, and so on.  Without languages every text is ``und``.
     """
     src = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = src.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("count")).limit(max_languages + 1).collect()
-    if len(sizes) > max_languages:
-        raise ValueError(f"over {max_languages} languages")
-    if not sizes:
-        return Model((), np.zeros((BUCKETS + 1, 0), np.float32), np.ones((len(SCRIPT_NAMES) + 1, 0), bool), penalty)
-    rate = F.element_at(F.create_map(*[F.lit(y) for r in sizes for y in (r["lang"], min(1.0, per_language / r["count"]))]), F.col("lang"))
-    drawn = src.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20)).dropDuplicates(["lang", "text"])
-    counts = drawn.mapInArrow(_count, "lang string, kind int, id int, n long").groupBy("lang", "kind", "id").agg(F.sum("n").alias("n")).toPandas()
-    langs = tuple(sorted(r["lang"] for r in sizes))
-    tri = np.zeros((BUCKETS, len(langs)))
-    scr = np.zeros((len(SCRIPT_NAMES), len(langs)))
-    for j, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang]
-        for kind, x in ((0, tri), (1, scr)):
-            part = own[own["kind"] == kind]
-            x[part["id"].to_numpy(), j] = part["n"].to_numpy()
+    sizes = src.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("count"))
+    langs = tuple(sorted(r["lang"] for r in sizes.select("lang").collect()))
+    if not langs:
+        return Model((), np.zeros(((1 << BITS) + 1, 0), np.float32), np.ones((len(SCRIPT_NAMES) + 1, 0), bool), penalty)
+    bits = BITS
+    while len(langs) << bits > most_scores and bits > 8:
+        bits -= 1
+    rate = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")) * (1 << 20)
+    rated = src.join(F.broadcast(sizes) if len(langs) <= 100_000 else sizes, "lang")
+    drawn = rated.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate).dropDuplicates(["lang", "text"]).select("text", "lang")
+    counts = drawn.mapInArrow(lambda b: _count(b, bits), "lang string, kind int, id int, n long").groupBy("lang", "kind", "id").agg(F.sum("n").alias("n")).toPandas()
+    place = counts["lang"].map({x: j for j, x in enumerate(langs)}).to_numpy()
+    tables = []
+    for kind, height in ((0, 1 << bits), (1, len(SCRIPT_NAMES))):
+        x, own = np.zeros((height, len(langs))), (counts["kind"] == kind).to_numpy()
+        x[counts["id"].to_numpy()[own], place[own]] = counts["n"].to_numpy()[own]
+        tables.append(x)
+    tri, scr = tables
     used = max(1, int((tri.sum(1) > 0).sum()))
-    scores = np.zeros((BUCKETS + 1, len(langs)), np.float32)
+    scores = np.zeros(((1 << bits) + 1, len(langs)), np.float32)
     scores[:-1] = np.log((tri + smoothing) / (tri.sum(0) + smoothing * used))
     allowed = np.ones((len(SCRIPT_NAMES) + 1, len(langs)), bool)
     allowed[:-1] = scr >= 0.002 * np.maximum(scr.sum(0), 1)
     allowed[~allowed.any(1)] = True  # a script no language uses rules none out
-    return Model(langs, scores, allowed, penalty)
+    return Model(langs, scores, allowed, penalty, bits)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
