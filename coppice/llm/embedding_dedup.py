@@ -69,7 +69,7 @@ def lookups(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.
     return home, can & (np.arange(len(c)) < home[:, None])
 
 
-def links(one: DataFrame, least: float = 0.9, cell_size: int = 256, most_cells: int = 4096, sample: int = 20_000, block: int = 1024, most_lookups: float = 8.0, lengths: int = 64) -> DataFrame:
+def links(one: DataFrame, least: float = 0.9, cell_size: int = 256, most_cells: int = 4096, sample: int = 20_000, block: int = 4096, most_lookups: float = 8.0, lengths: int = 64) -> DataFrame:
     """(rep, n_links, least_linked) rows to be summed: per class and block product, the number of other
     classes' vectors linked, and an edge to the least class of its component within the block.
 
@@ -78,7 +78,8 @@ def links(one: DataFrame, least: float = 0.9, cell_size: int = 256, most_cells:
     link is lost.  Where the sample looks up more than ``most_lookups`` cells on average, cells are
     halved in number, down to 16 times their size: the bound rules little out there, and larger cells
     are met by fewer copies.  A cell of any size is dealt
-    into blocks of about ``block`` vectors and the products of all pairs of blocks are
+    into blocks of about ``block`` vectors, as few as memory allows, since every pair of blocks needs a
+    copy of both; their products are made a strip of rows at a time and
     spread over the tasks; what leaves a task is one row a vector, not the pairs.
     Each of the ``lengths`` most common lengths has centroids; a cell of any other length is all of its vectors.
     """
@@ -120,6 +121,52 @@ def _assigned(part: DataFrame, cells, least: float) -> DataFrame:
     return part.select("rep", "n", "v").mapInArrow(assign, f"rep long, n long, v {dict(part.dtypes)['v']}, near array<int>")
 
 
+#: Rows of a block that are multiplied with all of the other's at once.
+STRIP = 512
+
+
+def _linked(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float, same: bool):
+    """(whether a row of ``a`` links with one of ``b``, the vectors that each links with on the other side)."""
+    m = np.empty((len(a), len(b)), bool)
+    links_a, links_b = np.zeros(len(a)), np.zeros(len(b))
+    for i in range(0, len(a), STRIP):
+        strip = m[i : i + STRIP]
+        np.greater_equal(a[i : i + STRIP] @ b.T, least, out=strip)
+        if same:
+            strip[np.arange(len(strip)), np.arange(i, i + len(strip))] = False
+        if strip.any():
+            weight = strip.astype(np.float64)
+            links_a[i : i + STRIP] = weight @ n_b
+            links_b += n_a[i : i + STRIP] @ weight
+    return m, links_a, links_b
+
+
+def _labels(m: np.ndarray, rep_a: np.ndarray, rep_b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The least label over the links of a block pair, for both sides."""
+    lab_a, lab_b = rep_a.copy(), rep_b.copy()
+    rows, cols = np.flatnonzero(m.any(1)), np.flatnonzero(m.any(0))
+    if not len(rows):
+        return lab_a, lab_b
+    m = m[np.ix_(rows, cols)]
+    big = np.iinfo(np.int64).max
+    a, b = lab_a[rows], lab_b[cols]
+    while True:
+        before = a, b
+        new_b = b.copy()
+        new_a = a.copy()
+        for i in range(0, len(a), STRIP):
+            strip = m[i : i + STRIP]
+            new_b = np.minimum(new_b, np.where(strip, a[i : i + STRIP, None], big).min(0))
+        for i in range(0, len(a), STRIP):
+            new_a[i : i + STRIP] = np.minimum(new_a[i : i + STRIP], np.where(m[i : i + STRIP], new_b[None, :], big).min(1))
+        if same:
+            new_a = new_b = np.minimum(new_a, new_b)  # rows and columns are the same vectors
+        a, b = new_a, new_b
+        if (a == before[0]).all() and (b == before[1]).all():
+            lab_a[rows], lab_b[cols] = a, b
+            return lab_a, lab_b
+
+
 def _cells(near: DataFrame, least: float, block: int, few: bool = True) -> DataFrame:
     near = near.withColumn("home", F.col("near")[0])
     spread = near.select("rep", "n", "v", "home", F.explode("near").alias("cell"))
@@ -146,20 +193,8 @@ def _cells(near: DataFrame, least: float, block: int, few: bool = True) -> DataF
         left = right if i == j else np.flatnonzero(member & (mine == i)) if i >= 0 else np.flatnonzero(~member)
         if not len(left) or not len(right):
             return table.schema.empty_table().select([]).append_column("rep", pa.array([], pa.int64())).append_column("n_links", pa.array([], pa.int64())).append_column("least_linked", pa.array([], pa.int64()))
-        m = x[left] @ x[right].T >= least
-        if i == j:
-            np.fill_diagonal(m, False)
-        links_l, links_r = m @ n[right], n[left] @ m
-        big = np.iinfo(np.int64).max
-        lab_l, lab_r = rep[left].copy(), rep[right].copy()
-        while True:  # least label over the block's links, until it stands
-            new_r = np.minimum(lab_r, np.where(m, lab_l[:, None], big).min(0))
-            new_l = np.minimum(lab_l, np.where(m, new_r[None, :], big).min(1))
-            if i == j:
-                new_l = new_r = np.minimum(new_l, new_r)
-            if (new_l == lab_l).all() and (new_r == lab_r).all():
-                break
-            lab_l, lab_r = new_l, new_r
+        m, links_l, links_r = _linked(x[left], x[right], n[left], n[right], least, i == j)
+        lab_l, lab_r = _labels(m, rep[left], rep[right], i == j)
         parts = [(left, links_l, lab_l)] if i == j else [(left, links_l, lab_l), (right, links_r, lab_r)]
         who = np.concatenate([rep[a] for a, _, _ in parts])
         count = np.concatenate([b for _, b, _ in parts]).astype(np.int64)
