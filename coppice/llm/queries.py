@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention_lm, embedding_dedup, langid, licenses, mixing, packing, quality_model, quality_rules, secrets, simhash
-from .common import fold, table
+from .common import fold, shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,7 +22,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.decisions(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_rate", 6).alias("rate"), F.col("mix_kept").alias("kept"))
+    met = [F.round(f"met_{m}", 6).alias(f"met_{m}") for m in mixing.KEYS]
+    return out.select("doc_id", "topic", F.col("tokens").alias("n_tokens"), F.round("rate", 6).alias("rate"), "kept", *met)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,12 @@ def joined(spans: Column) -> Column:
 
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, sf_dir, "documents"), path="doc_id", content="text")
+    """All documents go into a new ledger; a second run over them meets a ledger that has seen every blob."""
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    secrets.create_ledger(spark, path)
+    for _ in range(2):
+        secrets.append(docs, path, path="doc_id", content="text")
+    found = secrets.findings(docs, secrets.read_ledger(spark, path), "doc_id", "text")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind_no"] < 3)
     return found.select(F.col("path").alias("doc_id"), of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
@@ -58,11 +65,12 @@ def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return out.select("doc_id", "queue", F.round("target", 6).alias("target"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "license", F.round("dice", 6).alias("dice"), F.array_join("licenses", ",").alias("licenses"))
 
 
 def op9_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from coppice.llm import attention_lm, components, embedding_dedup, langid, licenses, mixing, packing, quality_model, quality_rules, queries, secrets, simhash
+from coppice.llm import attention_lm, components, embedding_dedup, langid, licenses, mixing, packing, quality_model, quality_rules, queries, secrets, simhash, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -92,6 +93,24 @@ def test_links_lose_nothing(spark):
     assert got == {frozenset((fps[i], fps[j])) for i in range(len(u)) for j in range(i) if bin(u[i] ^ u[j]).count("1") <= 3}
 
 
+def test_crowded_segments_lose_nothing(spark):
+    """Five hundred fingerprints share a segment: split by the other's bytes they link as before."""
+    rng = np.random.default_rng(10)
+    base = int(rng.integers(0, 1 << 31)) << 32
+    fps = sorted({base | int(x) for x in rng.integers(0, 1 << 12, 500)} | {(base ^ (1 << 40)) | int(x) for x in rng.integers(0, 1 << 12, 100)})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = {frozenset((x, y)) for i, x in enumerate(fps) for y in fps[:i] if bin(x ^ y).count("1") <= 3}
+    for crowd in (10, 10_000):
+        assert {frozenset((r["a"], r["b"])) for r in simhash.links(df, crowd=crowd).collect()} == want
+
+
+def test_unfinished_components_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.connected_components(path, max_rounds=2)
+    assert components.connected_components(path).where("component <> 0").count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(500, 560)] + [(7, 7), (None, 1)]
@@ -123,6 +142,52 @@ def test_quality_rules(docs, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def plain_js(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+KINDS = ("[a-z]", r"[\x20\x09-\x0D]", "[A-Z]", "[0-9]", r"[.,;:!?'\"()-]", r"[^\x00-\x7F]")
+
+
+@pytest.mark.parametrize("most", [512, 0])
+def test_divergence_against_brute_force(docs, most, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MOST_LANGUAGES", most)
+    rows = [(r["doc_id"], r["text"] or "", r["lang"] or "") for r in docs.collect()]
+    refs = {}
+    for lang in {x for *_, x in rows}:
+        c = collections.Counter(w for _, t, x in rows if x == lang for w in words(lower(t)))
+        total = sum(c.values())
+        if total < 2000:
+            continue
+        top = sorted((w for w in c if c[w] * 1000 >= total), key=lambda w: (-c[w], w))[:20]
+        shares = [c[w] / total for w in top]
+        kinds = np.sum([[len(re.findall(k, t)) for k in KINDS] + [len(t)] for _, t, x in rows if x == lang], axis=0)
+        refs[lang] = top, [*shares, 1 - sum(shares)], [*(kinds[:6] / kinds[6]), 1 - kinds[:6].sum() / kinds[6]]
+    assert refs
+    got = collections.defaultdict(list)
+    for r in quality_rules.judge(docs).collect():
+        got[r["doc_id"]].append(r)
+    judged = 0
+    for i, t, lang in rows:
+        n, _, _, _, again = plain_base(t)
+        failed, js_char, js_word = n < 20 or 100 * again > 30 * n, None, None
+        if n >= 50 and lang in refs:
+            top, shares, kinds = refs[lang]
+            c = collections.Counter(words(lower(t)))
+            own = [c[w] / n for w in top]
+            mine = [len(re.findall(k, t)) / len(t) for k in KINDS]
+            js_char, js_word = plain_js([*mine, 1 - sum(mine)], kinds), plain_js([*own, 1 - sum(own)], shares)
+            judged += 1
+        kept = not failed and not (js_char is not None and (js_char > 0.3 or js_word > 0.45))
+        for r in got[i]:
+            assert (r["js_char"] is None) == (js_char is None) and r["kept"] == kept, i
+            if js_char is not None:
+                assert r["js_char"] == pytest.approx(js_char, abs=1e-7) and r["js_word"] == pytest.approx(js_word, abs=1e-7), i
+    assert judged > 20
+
+
 def test_js_distance(spark):
     p, q = [0.5, 0.25, 0.25, 0.0], [0.1, 0.2, 0.3, 0.4]
     m = [(a + b) / 2 for a, b in zip(p, q)]
@@ -131,26 +196,43 @@ def test_js_distance(spark):
     assert got == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2))
 
 
-def plain_spans(t):
+def plain_spans(t, more=False):
     t = t or ""
     a = re.compile(secrets.RULES[0].pattern)
     s = [(m.start(), 0, "assign", m.end()) for m in a.finditer(t) if len(m[2]) >= 6]
     s += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
-    return sorted(s + [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
-
-
-def test_secrets(spark, docs, empty):
-    found, ledger = secrets.scan(docs, path="doc_id", content="text")
-    got = sorted((r["path"], [tuple(s)[:4] for s in r["spans"] if s["kind_no"] < 3]) for r in found.collect())
-    assert got == sorted((i, [(a, n, k, e) for a, n, k, e in plain_spans(t)]) for i, t in texts(docs))
-    # A second run with the ledger scans nothing, and finds the same.
-    ledger = ledger.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,kind_no:int,kind:string,end:int>>)"))).cache()
-    again, new = secrets.scan(docs, ledger, "doc_id", "text")
-    assert new.count() == 0
-    assert sorted((r["path"], len(r["spans"])) for r in again.collect()) == sorted((r["path"], len(r["spans"])) for r in found.collect())
-    _, other = secrets.scan(docs, ledger, "doc_id", "text", rule_version="2")
-    assert other.count() == ledger.count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
-    assert secrets.scan(empty, path="doc_id", content="text")[0].count() == 0
+    s += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    if more:
+        s += [(m.start(), 3, "pem", m.end()) for m in re.finditer("-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", t)]
+        s += [(m.start(), 4, "forge", m.end()) for m in re.finditer("gh[opsu]_[A-Za-z0-9]{36,}", t)]
+        s += [(m.start(), 5, "jwt", m.end()) for m in re.finditer(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", t)]
+    return sorted(s)
+
+
+@pytest.mark.parametrize("most_broadcast", [200_000, 0])
+def test_secrets(spark, docs, empty, tmp_path, most_broadcast):
+    pem, forge, jwt = "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1B2" * 9, "eyJhbGciOiJI.eyJzdWIiOiIx_.c2lnbmF0dXJl"
+    odd = [(920, f"x {pem}\nMII\n é {forge}! token={jwt}"), (921, f"{forge}{forge} {jwt}.{jwt} -----BEGIN PRIVATE KEY-----"), (None, f"no path: {forge}"), (None, "password=hunter22"), (922, forge[:30])]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    path = str(tmp_path / "ledger")
+    secrets.create_ledger(spark, path)
+    how = {"path": "doc_id", "content": "text", "most_broadcast": most_broadcast}
+    secrets.append(docs, path, **how)
+    ledger = secrets.read_ledger(spark, path)
+    n = ledger.count()
+    assert n == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    found = secrets.findings(docs, ledger, "doc_id", "text").collect()
+    got = sorted(((r["path"], [tuple(s)[:4] for s in r["spans"]]) for r in found), key=key)
+    assert got == sorted(((i, plain_spans(t, True)) for i, t in texts(docs)), key=key)
+    # A second run scans nothing; new contents and new rules are scanned, and nothing else is.
+    secrets.append(docs, path, **how)
+    assert secrets.read_ledger(spark, path).count() == n
+    later = docs.unionByName(spark.createDataFrame([(1, "a new version: token=abcdef99"), (1, "a new version: token=abcdef99")], "doc_id long, text string"))
+    new = secrets.scan(later, secrets.read_ledger(spark, path), **how).collect()
+    assert [len(r["spans"]) for r in new] == [1]
+    assert secrets.scan(docs, secrets.read_ledger(spark, path), rule_version="2", **how).count() == n
+    assert secrets.scan(empty, path="doc_id", content="text").count() == 0 and secrets.findings(empty, ledger, "doc_id", "text").count() == 0
 
 
 def test_redaction(spark):
@@ -209,16 +291,58 @@ def test_encoder_equals_tokenizer(sf, spark):
     t = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(80).collect()]
     t += ["a\x85b \xa0x　y İstanbul ΣΑΣ ﬁ é é <|endoftext|> <|startoftext|>x \x01 a\x01b \x1cq z", "", "  ", "don't 123abc !!!*** \x00 a\x00 Ǆ ŉ, ẞ.", "..,, a., é, ß. ªº Ünïcode,"]
     want = Tokenizer.from_file(TOKENIZER).encode_batch(t, add_special_tokens=False)
-    assert [x.tolist() for x in packing.Chunks(TOKENIZER).encode(t)] == [e.ids for e in want]
+    t.append(None)
+    t += ["", " x\n\ny\t", "can't I'LL 'S x's'd'tt", " ~!@#$%^&*()_+{}|:\"<>?`-=[]\\;',./ 4.5e3 a1b2", "é" * 3000, "×÷ a×b Ĳ ǅ Ⱥ ſ"]
+    want += Tokenizer.from_file(TOKENIZER).encode_batch([x or "" for x in t[len(want) :]], add_special_tokens=False)
+    for column in (pa.array(t), pa.array(["off", None, *t]).slice(2), pa.array(t, pa.large_string())):
+        got = tokens.encode(column, tokens.encoder_of(TOKENIZER), 2)
+        assert [got.ids[a:b].tolist() for a, b in zip(got.edge, got.edge[1:])] == [[*e.ids, 2] for e in want]
+        assert tokens.lists(got).to_pylist() == [np.array([*e.ids, 2], "<u4").tobytes() for e in want]
+    for column in (pa.array([], pa.string()), pa.array([None, "", " "])):
+        assert tokens.encode(column, tokens.encoder_of(TOKENIZER), 2).ids.tolist() == [2] * len(column)
+
+
+def plain_license(text, least=0.8):
+    """{template: dice} by every window and the whole text."""
+    out = {}
+    g = licenses.bigrams(text.translate({c: c + 32 for c in range(65, 91)}))
+    for i, (_, x) in enumerate(licenses.TEMPLATES):
+        t = collections.Counter(licenses.bigrams(x))
+        m = sum(t.values())
+        runs = [g] + [g[k : k + m] for k in range(len(g)) if g[k] in t]
+        best = max((2 * sum((collections.Counter(r) & t).values()) / (len(r) + m) for r in runs), default=0)
+        if best >= least:
+            out[i] = best
+    return out
+
+
+def wrapped(text, width=60, mark="// "):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
 
 
 def test_licenses(spark, duck, sf, docs, empty):
-    got = licenses.scan(spark.read.parquet(f"{sf}/documents.parquet")).withColumn("dice", F.round("dice", 6)).toPandas().sort_values("doc_id")
+    got = queries.op8_license_dice(spark, sf).toPandas().sort_values("doc_id")
     want = duck.sql(licenses.oracle()).df().sort_values("doc_id")
     assert got.fillna("").astype(str).values.tolist() == want[got.columns.tolist()].fillna("").astype(str).values.tolist()
-    rows = [(1, "x\nReleased under the MIT License.\n"), (2, None), (3, "Released, under the MIT licenses"), (3, "Released, under the MIT licenses"), (None, "Released under the MIT License.")]
+    full = dict(reversed(licenses.TEMPLATES))
+    filler = "these are other words about nothing at all and more of them in this file "
+    rows = [(k, f"Copyright 2020 Some One\n\n{wrapped(x)}\n\n{filler * 5}") for k, (_, x) in enumerate(licenses.TEMPLATES)]
+    rows += [(100, "In this sentence: all is Released under the MIT License. " + filler), (101, None), (102, ""), (103, "Released, under the MIT licenses"), (103, "Released, under the MIT licenses"), (None, "Released under the MIT License.")]
+    rows += [(104, " ".join(w for i, w in enumerate(full["BSD-3-Clause"].split()) if i % 12)), (105, (full["MIT"] + " ") * 30), (106, "license"), (107, wrapped(full["MIT"][:600], 40, " * "))]
+    rows += [(200 + i, " ".join(np.random.default_rng(i).permutation(full["Zlib"].split()).tolist())) for i in range(3)]
     out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(out) == 5 and {r["doc_id"]: r["license"] for r in out} == {1: "MIT", 2: None, 3: None, None: None}
+    assert len(out) == len(rows)
+    got = {r["doc_id"]: r for r in out}
+    for i, x in rows:
+        m = plain_license(x or "")
+        best = min(m, key=lambda t: (-m[t], t), default=None)
+        assert got[i]["license"] == (None if best is None else licenses.TEMPLATES[best][0]), i
+        assert got[i]["dice"] == pytest.approx(m.get(best, 0.0)) and got[i]["licenses"] == sorted({licenses.TEMPLATES[t][0] for t in m})
+    for k, (name, _) in enumerate(licenses.TEMPLATES):
+        assert name in got[k]["licenses"] and got[k]["dice"] > 0.99
+    assert got[100]["license"] == "MIT" and got[104]["license"] == "BSD-3-Clause"
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == docs.count()
 
 
@@ -227,13 +351,36 @@ def test_mixing(spark, duck, sf, docs, empty):
     want = duck.sql(mixing.oracle()).df().sort_values("doc_id")
     assert got.astype(str).values.tolist() == want[got.columns.tolist()].astype(str).values.tolist()
     cells = spark.createDataFrame([(s, lang, float(10 * (i + 1) + 7 * j)) for i, s in enumerate("abc") for j, lang in enumerate("xy")], "s string, l string, tokens double")
-    near = {(r["s"], r["l"]): r["rate"] for r in mixing.rake(cells, ["s", "l"], rounds=5).collect()}
-    far = {(r["s"], r["l"]): r["rate"] for r in mixing.rake(cells, ["s", "l"], rounds=5, most_local=2).collect()}
-    assert near == pytest.approx(far)
+    for share in (0.5, 0.9):
+        near = {(r["s"], r["l"]): r["rate"] for r in mixing.rake(cells, ["s", "l"], budget_share=share, rounds=15).collect()}
+        far = {(r["s"], r["l"]): r["rate"] for r in mixing.rake(cells, ["s", "l"], budget_share=share, rounds=15, most_local=2).collect()}
+        assert near == pytest.approx(far)
     many = mixing.rake(cells, ["s", "l"], {"s": {"a": 1, "b": 1, "c": 1}, "l": {"x": 1, "y": 1}}, budget_share=0.3, rounds=60).toPandas()
     mass = (many.rate * many.tokens).groupby(many.l).sum()
     assert mass["x"] == pytest.approx(mass["y"], rel=1e-6)
-    assert mixing.mix(docs).count() == docs.count() and mixing.mix(empty).count() == 0
+    assert mixing.decisions(docs).count() == docs.count() and mixing.decisions(empty).count() == 0 and mixing.sample(empty).count() == 0
+
+
+def test_saturated_cells_pass_their_share_on(spark):
+    """A source that can't fill its target keeps every document; the others make up for it and the budget is spent."""
+    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 100), ("b", "x", 4000), ("b", "y", 3000), ("c", "x", 2000), ("c", "y", 5000)], "s string, l string, tokens long")
+    targets = {"s": {"a": 0.4, "b": 0.3, "c": 0.3}, "l": {"x": 0.5, "y": 0.5}}
+    for most in (200_000, 2):
+        rated = mixing.rake(cells, ["s", "l"], targets, 0.5, 200, most_local=most)
+        got = {(r["margin"], r["value"]): r for r in mixing.attained(rated, ["s", "l"], targets, 0.5).collect()}
+        assert got["s", "a"]["got"] == pytest.approx(200) and got["s", "a"]["asked"] == pytest.approx(0.4 * 7100)
+        for k, want in ((("s", "b"), 3450), (("s", "c"), 3450), (("l", "x"), 3550), (("l", "y"), 3550)):
+            assert got[k]["want"] == pytest.approx(want) and got[k]["got"] == pytest.approx(want, rel=0.01)
+        assert all(0 <= r["rate"] <= 1 for r in rated.collect())
+
+
+def test_sample_keeps_columns_of_any_name(spark, docs):
+    extra = docs.withColumns({"rate": F.lit(1.0), "Topic": F.lit("t"), "tokens": F.lit(0), "mix_rate": F.lit(2), "kept": F.lit(False)})
+    got = mixing.sample(extra)
+    assert got.columns == extra.columns
+    kept = sorted((r["id"] if "id" in r else r["doc_id"]) for r in mixing.decisions(docs).where("kept").collect())
+    assert sorted(r["doc_id"] for r in got.collect()) == kept
+    assert got.where("rate = 1.0 and Topic = 't' and tokens = 0 and mix_rate = 2 and not kept").count() == len(kept)
 
 
 def test_embeddings(spark):
@@ -288,6 +435,21 @@ def test_language_identification(spark, sf, docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_letters_are_unicodes(spark, sf):
+    """``und`` where there is no letter, and nowhere else; many languages take fewer buckets."""
+    import unicodedata
+
+    model = langid.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    t = ["ⵜⴰⵎⴰⵣⵉⵖⵜ", "ＡＢＣ", "𞤀𞤣𞤤𞤢𞤥", "ⲁⲃⲅ", "ｱｲｳ", "𝒜𝒷𝒸", "١٢٣", "१२३", "12 345", "²³", "ª", "_-!", "Ⅷ", "한국어", "漢字", "\u0301", "ʰ", "a1"]
+    got, score = model.predict(t)
+    for x, lang, s in zip(t, got, score):
+        letter = any(unicodedata.category(c)[0] == "L" for c in x)
+        assert (lang != "und") == letter and (s == 0) == (not letter), x
+    many = spark.createDataFrame([(f"wort{i} text{i % 7} und {chr(97 + i % 26) * 5}", f"l{i:03d}") for i in range(600)], "text string, lang string")
+    small = langid.train(many, most_scores=600 << 10)
+    assert small.bits == 10 and len(small.languages) == 600 and small.predict(["wort3 ddddd"])[0][0] in small.languages
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(4)
     lengths = [0, 1, 2, 5, 3, 1, 6]
@@ -310,6 +472,29 @@ def test_mixed_text_has_spans(spark, sf):
     assert [x for *_, x in spans] == ["en", "de"] and spans[0][1] == spans[1][0]
 
 
+def test_votes_against_brute_force(spark, docs):
+    """Ties at the border go to the first, repeated labelled ids count once, contradictions to the greater label."""
+    rng = np.random.default_rng(11)
+    sim = rng.integers(0, 4, (50, 30)).astype(np.float32)
+    for k in (1, 5, 30):
+        want = [sorted(sorted(range(30), key=lambda j: (-row[j], j))[:k]) for row in sim.tolist()]
+        assert quality_model.nearest(sim, k).tolist() == want
+    ids = [r[0] for r in docs.select("doc_id").collect() if r[0] < 800]
+    labels = spark.createDataFrame([(i, int(i) % 2) for i in ids[:40]] + [(ids[0], 1), (ids[0], 0), (None, 1), (ids[1], None), (12345, 1)], "doc_id long, quality int")
+    model = quality_model.train(docs.union(docs).union(docs.where(f"doc_id = {ids[0]}")), labels, neighbours=7)
+    again = quality_model.train(docs, labels, neighbours=7)
+    assert len(model.labels) == 40 and (model.vectors == again.vectors).all() and model.labels.sum() == len({i for i in ids[:40] if i % 2} | {ids[0]})
+    own = [t for _, t in texts(docs)]
+    x = quality_model.features(own) @ model.basis
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    for t, z, got in zip(own, x, model.score(own)):
+        cosine = model.vectors @ z
+        near = sorted(range(40), key=lambda j: (-cosine[j], j))[:7]
+        weight = [max(float(cosine[j]), 0.0) ** 24 for j in near]
+        want = sum(w * model.labels[j] for w, j in zip(weight, near)) / sum(weight) if sum(weight) > 1e-9 else model.prior
+        assert got == pytest.approx(want, abs=1e-3)
+
+
 def test_quality_classifier(spark, sf, docs, empty):
     d, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = quality_model.train(d, quality_model.training_labels(lab))
@@ -322,32 +507,77 @@ def test_quality_classifier(spark, sf, docs, empty):
     assert quality_model.score(empty, model).count() == 0
 
 
-def test_language_model_base(spark, docs, empty):
-    got = {}
-    for r in attention_lm.score(docs, TOKENIZER, steps=20).collect():
-        got[r["doc_id"]] = r
+def plain_class_scores(net, ids, stride):
+    """One text's class log-probabilities, a position at a time."""
+    t, total = net.context, 0.0
+    x = [attention_lm.BOUNDARY, *ids]
+    for i, y in enumerate([*ids, attention_lm.BOUNDARY]):
+        start = 0 if i < t else -(-(i - t + 1) // stride) * stride
+        row = np.full((1, t), attention_lm.BOUNDARY)
+        row[0, : i - start + 1] = x[start : i + 1]
+        total += net.log_class(row, np.full((1, t), net.class_of[y]), slice(0, t))[0, i - start]
+    return total
+
+
+@pytest.mark.parametrize("most_pairs", [2_000_000, 10])
+def test_language_model_against_brute_force(docs, empty, most_pairs, monkeypatch):
+    """Every column, the score too: classes by a position at a time, ids within them by counts of pairs in all training words."""
+    from tokenizers import Tokenizer
+
+    kept = {}
+    fit = attention_lm.fit
+    monkeypatch.setattr(attention_lm, "fit", lambda *a, **k: kept.setdefault("net", fit(*a, **k)))
+    got = {r["doc_id"]: r for r in attention_lm.score(docs, TOKENIZER, most_pairs=most_pairs, rounds=1, least_windows=50, rows=64, often=1e-2).collect()}
+    net, tok = kept["net"], Tokenizer.from_file(TOKENIZER)
     rows = texts(docs)
     train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     c = collections.Counter(w for _, t in train for w in words(lower(t)))
     n, v = sum(c.values()) + len(train), len(c) + 1
+    of = {w: tok.encode(w, add_special_tokens=False).ids for _, t in rows for w in words(lower(t))}
+    pair, by_id = collections.Counter(), collections.Counter({attention_lm.BOUNDARY: len(train)})
+    for w, k in c.items():
+        for a, b in zip([attention_lm.BOUNDARY, *of[w]], of[w]):
+            pair[a, b] += k
+            by_id[b] += k
+    mass = np.array([by_id[i] + 0.1 for i in range(attention_lm.VOCABULARY)])
+    in_class = np.bincount(net.class_of, weights=mass)
+    size = np.bincount(net.class_of)
+    totals = collections.Counter()
+    for (a, b), k in pair.items():
+        totals[a, net.class_of[b]] += k
+    within = lambda a, b: 0.0 if size[net.class_of[b]] == 1 else math.log((pair[a, b] + 20 * mass[b] / in_class[net.class_of[b]]) / (totals[a, net.class_of[b]] + 20))
     for i, t in rows:
         r, w = got[i], words(lower(t))
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["train_tokens"] == n
         assert (r["n_tokens"], r["n_known"]) == (len(w) + 1, sum(c[x] > 0 for x in w) + 1)
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2) and r["score"] < 0
-    assert attention_lm.score(empty, TOKENIZER, steps=2).count() == 0
+        if len(w) < 300:
+            score = plain_class_scores(net, tok.encode(t or "", add_special_tokens=False).ids, 36) + sum(within(a, b) for x in w for a, b in zip([attention_lm.BOUNDARY, *of[x]], of[x]))
+            assert r["score"] == pytest.approx(score / math.log(10), rel=1e-4), i
+    assert attention_lm.score(empty, TOKENIZER, rounds=1).count() == 0
+
+
+def random_net(rng, n_ids, texts, context=8, **how):
+    """A small model trained on random texts, without a table."""
+    ids, edge = np.concatenate(texts).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    w, first = attention_lm.windows_of(ids, edge, np.full(len(texts), 30), rng.integers(0, 1 << 40, len(texts)), context)
+    by_id = np.bincount(ids, minlength=attention_lm.VOCABULARY).astype(float)
+    cells, n = attention_lm.neighbours(w, attention_lm.sides_of(by_id))
+    class_of, order = attention_lm.classes_of(by_id, (cells // (2 * attention_lm.SIDES), cells % (2 * attention_lm.SIDES), n.astype(float)), **({"singles": 10, "groups": 5} | how))
+    net = attention_lm.begin(by_id, class_of, order, lambda row, r, c: attention_lm.follows(w, row, r, class_of, c), context, rows=64)
+    return attention_lm.passes(net, w, first, 1), by_id, w, first
 
 
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(5)
-    seqs = [rng.integers(0, 300, 60).astype(np.uint32) for _ in range(20)]
-    net = attention_lm.fit(seqs, context=8, steps=5, singles=10, groups=5)
-    by_id = np.bincount(np.concatenate(seqs), minlength=attention_lm.VOCABULARY).astype(float)
-    pairs = np.unique(np.concatenate([s[:-1].astype(np.int64) * attention_lm.VOCABULARY + s[1:] for s in seqs]), return_counts=True)
-    within = attention_lm.Within.of(by_id, pairs[0], pairs[1], net.class_of)
+    seqs = [rng.integers(0, 300, 60) for _ in range(20)]
+    net, by_id, _, _ = random_net(rng, 300, seqs)
+    within = attention_lm.Within.of(by_id, net.class_of)
+    keys, n = np.unique(np.concatenate([s[:-1] * attention_lm.VOCABULARY + s[1:] for s in seqs]), return_counts=True)
+    pairs = attention_lm.Pairs.of(keys, n, net.class_of)
     every = np.arange(attention_lm.VOCABULARY)
-    p = np.exp(within.log(np.full(len(every), int(seqs[0][0])), every))
+    p = np.exp(within.log(every, *pairs.look(int(seqs[0][0]) * attention_lm.VOCABULARY + every, net.class_of)))
     assert np.allclose(np.bincount(net.class_of, weights=p), 1)
     x = np.full((net.class_of.max() + 1, 8), 5)
     assert np.exp(net.log_class(x, np.repeat(np.arange(len(x))[:, None], 8, 1), slice(0, 8)))[:, 3].sum() == pytest.approx(1, abs=1e-4)
@@ -355,21 +585,26 @@ def test_language_model_is_a_distribution():
 
 def test_windows_score_each_id_once_and_causally():
     rng = np.random.default_rng(6)
-    seqs = [rng.integers(0, 50, n).astype(np.uint32) for n in (0, 1, 7, 8, 9, 40)]
-    net = attention_lm.fit(seqs, context=8, steps=10, singles=20, groups=5)
-    by_id = np.bincount(np.concatenate(seqs), minlength=attention_lm.VOCABULARY).astype(float)
-    within = attention_lm.Within.of(by_id, np.zeros(0, np.int64), np.zeros(0), net.class_of)
-    chunks = [[s[k : k + 1].tobytes() for k in range(len(s))] for s in seqs]
-    got = attention_lm.score_sequences(net, within, chunks, 6)
+    net, *_ = random_net(rng, 50, [rng.integers(0, 50, 60) for _ in range(20)], singles=20)
+    seqs = [rng.integers(0, 50, n) for n in (0, 1, 7, 8, 9, 40)]
+    with_end = [np.append(s, attention_lm.BOUNDARY) for s in seqs]
+    got = attention_lm.class_scores(net, np.concatenate(with_end), np.concatenate([[0], np.cumsum([len(s) for s in with_end])]), 6)
     for s, g in zip(seqs, got):
-        x, total = [attention_lm.BOUNDARY, *s.tolist()], 0.0
-        for i, y in enumerate([*s.tolist(), attention_lm.BOUNDARY]):
-            start = 0 if i < 8 else -(-(i - 7) // 6) * 6
-            row = np.full((1, 8), attention_lm.BOUNDARY)
-            row[0, : i - start + 1] = x[start : i + 1]
-            target = np.full((1, 8), net.class_of[y])
-            total += net.log_class(row, target, slice(0, 8))[0, i - start] + within.log(np.array([attention_lm.BOUNDARY]), np.array([y]))[0]
-        assert g == pytest.approx(total / math.log(10), rel=1e-4)
+        assert g == pytest.approx(plain_class_scores(net, s.tolist(), 6), rel=1e-4)
+
+
+def test_attention_adds_to_the_score(spark, sf):
+    """Held-out texts lose 0.02 per token and more (log10) without the attention's output."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", (queries.fold("doc_id", 7) == 2).alias("held_out"))
+    counts = attention_lm.word_counts(docs).cache()
+    pairs = attention_lm.pair_counts(counts, TOKENIZER).toPandas()
+    by_id = np.bincount(pairs["pair"] % attention_lm.VOCABULARY, weights=pairs["n"], minlength=attention_lm.VOCABULARY)
+    net = attention_lm.fit(docs.where("not held_out").select("text"), TOKENIZER, by_id, rounds=3)
+    held = tokens.encode(pa.array([r[0] for r in docs.where("held_out").collect()], pa.string()), tokens.encoder_of(TOKENIZER), attention_lm.BOUNDARY)
+    with_it = attention_lm.class_scores(net, held.ids, held.edge, 36).sum()
+    blind = attention_lm.Net(net.p | {"wo": net.p["wo"] * 0}, net.row_of, net.class_of, net.context)
+    without = attention_lm.class_scores(blind, held.ids, held.edge, 36).sum()
+    assert (with_it - without) / math.log(10) > 0.02 * len(held.ids)
 
 
 def test_base_digest_of_query(spark, sf):
@@ -377,3 +612,4 @@ def test_base_digest_of_query(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         s = ",".join(f"{k}:{a}:{e}" for a, _, k, e in plain_spans(r["text"]))
         assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(s.encode()).hexdigest()
+        assert got[r["doc_id"]]["spans"] == ",".join(f"{k}:{a}:{e}" for a, _, k, e in plain_spans(r["text"], True))
