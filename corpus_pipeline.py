@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm import langid, mixing, packing, secrets, simhash
-from coppice.llm.common import shared_dir, table
+from coppice.llm.common import fresh, shared_dir, table
 from coppice.llm.queries import tokenizer_path
 
 #: Documents whose language is less certain than this go.
@@ -22,29 +22,39 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good.select(docs.columns)
 
 
+def _key(docs: DataFrame) -> Column:
+    """What tells documents apart: the id, or the text where there is none."""
+    none = F.col("doc_id").isNull()
+    return F.struct(none.alias("none"), F.when(none, 0).otherwise(F.col("doc_id")).alias("id"), F.when(none, F.md5(F.coalesce("text", F.lit("")).cast("binary"))).otherwise("").alias("text"))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates.
+    """Keeps the document with the least id of each group of near-duplicates, one without an id only where no other has one.
 
-    Rows without an id can't be told apart and go; rows that repeat an id stay together.
+    Rows that repeat an id, or lack one and repeat a text, are one document and stay together.
     """
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-    return kept
+    (key,) = fresh(docs, "key")
+    keyed = docs.withColumn(key, _key(docs))
+    first = simhash.near_duplicates(keyed, key).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(first, key, "left_semi").select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets; no document goes."""
-    _, ledger = secrets.scan(docs, path="doc_id", content="text")
-    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    marked = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits.hint("shuffle_hash"), "_blob", "left")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("_spans")))
-    out = marked.withColumn("text", clean)
-    return out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+    blob, spans = fresh(docs, "blob", "spans")
+    ledger = secrets.scan(docs, path="doc_id", content="text")
+    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    marked = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits, blob, "left")
+    found = F.col(spans).isNotNull()
+    clean = {"text": F.when(found, secrets.redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        clean["n_chars"] = F.when(found, F.length(clean["text"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return marked.withColumns(clean).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by rates raked to tempered source, language and topic shares."""
-    return mixing.mix(docs).where("mix_kept").select(docs.columns)
+    return mixing.sample(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
