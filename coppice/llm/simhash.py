@@ -47,15 +47,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(_fingerprints, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def links(fps: DataFrame, distance: int = 3, crowd: int = 1024) -> DataFrame:
-    """(a, b) for distinct fingerprints ``fp`` that differ in 1 to ``distance`` bits (at most 3); pairs may repeat.
+def links(fps: DataFrame, distance: int = 3, crowd: int = 4096) -> DataFrame:
+    """(a, b) for distinct fingerprints ``fp`` that differ in 1 to ``distance`` bits (at most 3); a pair may come twice.
 
     The 64 bits make two segments of 32.  Two fingerprints within three bits differ
     by at most one bit in one of the segments, so the ball of radius one around each
     segment value meets the other's table entry.  Of two values one bit apart, only
     the one whose bit is 0 looks up the other: half the lookups find every pair.
     Values that more than ``crowd`` fingerprints share are split by the other segment: of its
-    four bytes one at least is equal within three bits, so entries and lookups meet by each byte.
+    four bytes one at least is equal within three bits, so entries and lookups meet by each byte, and a
+    pair is taken at the first byte that is equal.
     Candidates are verified in the join condition; only links become rows.
     """
     if not 0 <= distance <= 3:
@@ -80,11 +81,15 @@ def links(fps: DataFrame, distance: int = 3, crowd: int = 1024) -> DataFrame:
         def parts(df: DataFrame, fp: str) -> DataFrame:
             other = F.when(F.col("k") < F.lit(1 << 32), seg(fp, 1)).otherwise(seg(fp, 0))
             by_byte = F.array(*[F.shiftright(other, 8 * j).bitwiseAND(0xFF) + (256 * j + 1) for j in range(4)])
-            return df.join(mark, "k", "left").select(fp, "k", F.explode(F.when(F.col("split"), by_byte).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
+            return df.join(mark, "k", "left").select(fp, "k", other.alias("other"), F.explode(F.when(F.col("split"), by_byte).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
 
         entries, probes, on = parts(entries, "b"), parts(probes, "a"), ["k", "part"]
     ok = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     e, p = entries.alias("e"), probes.alias("p")
+    if n:
+        differ = F.col("p.other").bitwiseXOR(F.col("e.other"))
+        for j in range(3):  # a byte before the part's own that is equal has found the pair already
+            ok &= (F.col("p.part") <= 256 * (j + 1)) | (F.shiftright(differ, 8 * j).bitwiseAND(0xFF) != 0)
     for c in on:
         ok = (F.col(f"p.{c}") == F.col(f"e.{c}")) & ok
     return p.join(e, ok).select("a", "b")
