@@ -73,10 +73,12 @@ def lower_az(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Array of the words of a text; empty for a text without any."""
-    trimmed = F.btrim(c, F.lit(SPACE))
-    return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, r"[\x20\x09-\x0D]+")
-    )
+    return F.array_remove(F.split(F.regexp_replace(c, r"[\x09-\x0D]", " "), " "), "")
+
+
+def lower_words(w: Column) -> Column:
+    """The words with A-Z in lower case: words of ASCII alone take the faster way."""
+    return F.transform(w, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(lower_az(x)))
 
 
 def fold(id_col: str, folds: int) -> Column:

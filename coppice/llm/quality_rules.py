@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_az, text_col, words, written
+from .common import cut, lower_az, lower_words, text_col, words, written
 
 #: The histogram's character classes in order; the last takes what is left over.
 CLASSES = (("lower", "[a-z]+"), ("space", r"[\x20\x09-\x0D]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("mark", r"[.,;:!?'\"()-]+"), ("far", r"[^\x00-\x7F]+"), ("symbol", None))
@@ -57,33 +57,26 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lan
     df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length("text") - F.col("n_space"))
     df = df.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     df = window_hashes(df, "words", "_h").withColumn("n_repeat_words", covered_words(F.col("_h")))
-    return df.withColumn("low", words(lower_az(F.col("text")))).drop("_lines", "_h", "text")
-
-
-#: Slots of the table that finds a word's place among the common ones by its hash.
-SLOTS = 1 << 12
+    return df.withColumn("low", lower_words(F.col("words"))).drop("_lines", "_h", "text")
 
 
 def common_words(docs: DataFrame, common: int = 20, least_words: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, common array<string>, shares array<double>, slots array<int>) from all rows of each language.
+    """(lang, common array<string>, shares array<double>) from all rows of each language.
 
     ``common`` are the language's most frequent words, A-Z in lower case (ties: in order of the word),
     among those that make up a thousandth of its words, at most a thousand; shares
-    are theirs, then all other words'.  ``slots`` holds, where a common word's hash falls, its
-    place from 1, or -1 where several fall together.  Languages
-    with fewer than ``least_words`` words have no reference.
+    are theirs, then all other words'.  Words are counted as they are written, and put into lower case
+    once a distinct one.  Languages with fewer than ``least_words`` words have no reference.
     """
-    df = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.explode(words(lower_az(text_col(text)))).alias("word"))
-    counts = cut(df.groupBy("lang", "word").count())
+    df = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.explode(words(text_col(text))).alias("written"))
+    counts = df.groupBy("lang", "written").count()
+    counts = cut(counts.groupBy("lang", lower_az(F.col("written")).alias("word")).agg(F.sum("count").alias("count")))
     sums = counts.groupBy("lang").agg(F.sum("count").alias("total")).where(F.col("total") >= least_words)
     often = counts.join(_few(sums), "lang").where(F.col("count") * 1000 >= F.col("total"))
     top = often.groupBy("lang", "total").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "word"))), 1, common).alias("top"))
     share = F.transform("top", lambda x: -x["c"] / F.col("total"))
-    at = F.transform("top", lambda x: F.pmod(F.xxhash64(x["word"]), F.lit(SLOTS)).cast("int"))
-    top = top.select("lang", F.transform("top", lambda x: x["word"]).alias("common"), share.alias("_s"), at.alias("_at"))
-    several = lambda i: F.size(F.array_remove("_at", i)) < F.size("_at") - 1
-    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.when(several(i), -1).otherwise(F.array_position("_at", i).cast("int")))
-    return cut(top.select("lang", "common", F.concat("_s", F.array(1.0 - F.aggregate("_s", F.lit(0.0), lambda a, x: a + x))).alias("shares"), slots.alias("slots")))
+    top = top.select("lang", F.transform("top", lambda x: x["word"]).alias("common"), share.alias("_s"))
+    return cut(top.select("lang", "common", F.concat("_s", F.array(1.0 - F.aggregate("_s", F.lit(0.0), lambda a, x: a + x))).alias("shares")))
 
 
 #: Languages whose references are broadcast; more are joined, each language's rows dealt to SALTS tasks.
@@ -111,32 +104,23 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), d / 2))
 
 
-#: Counters in a long, and the bits of each: as many as an array can have elements.
-PACK, BITS = 2, 31
+#: The character before the first common word's; there is one for each of MOST_COMMON words.
+ZERO, MOST_COMMON = ord("@"), 60
 
 
-def with_hits(df: DataFrame, common: int) -> DataFrame:
+def with_hits(df: DataFrame, common: int, known: list[str] | None = None) -> DataFrame:
     """Adds hits array<long>: how often each of the columns ``common``'s words occurs among ``low``, words in lower case.
 
-    A word's place is found by one look into ``slots``, and a second into ``common`` where several
-    fall together; places are counted in packed longs.
+    Words that are common are spelt as a string of a character each, the place in ``common``; what
+    is gone when a character is taken out is its count.  ``known``, if given, are all words that any row has in ``common``.
     """
-    place = F.transform("low", lambda w: F.element_at("slots", (F.pmod(F.xxhash64(w), F.lit(SLOTS)) + 1).cast("int")))
-    look = lambda w, i: F.when(i < 0, F.array_position("common", w).cast("int")).when((i > 0) & (F.get("common", i - 1) == w), i).otherwise(0)
-    found = F.filter(F.zip_with("low", place, look), lambda i: i > 0)
-    df = df.withColumn("_places", found)
-    groups = -(-common // PACK)
-    unit = F.array(*[F.lit(1 << (BITS * j)).cast("long") for j in range(PACK)])
-
-    def count(g: int) -> Column:
-        own = lambda i: F.when((i > g * PACK) & (i <= (g + 1) * PACK), F.element_at(unit, i - g * PACK)).otherwise(F.lit(0).cast("long"))
-        return F.aggregate("_places", F.lit(0).cast("long"), lambda a, i: a + own(i))
-
-    packed = [count(g) for g in range(groups)]
-    df = df.withColumns({f"_g{g}": x for g, x in enumerate(packed)})
-    mask = F.lit((1 << BITS) - 1).cast("long")
-    hits = [F.shiftright(F.col(f"_g{k // PACK}"), BITS * (k % PACK)).bitwiseAND(mask) for k in range(common)]
-    return df.withColumn("hits", F.array(*hits)).drop("_places", *[f"_g{g}" for g in range(groups)])
+    if common > MOST_COMMON:
+        raise ValueError(f"at most {MOST_COMMON} common words")
+    some = F.filter("low", lambda w: w.isin(known)) if known else F.col("low")
+    spelt = F.array_join(F.transform(some, lambda w: F.chr(F.array_position("common", w) + ZERO)), "")
+    df = df.withColumn("_spelt", F.coalesce(spelt, F.lit("")))
+    hits = [(F.length("_spelt") - F.length(F.replace(F.col("_spelt"), F.lit(chr(ZERO + k)), F.lit("")))).cast("long") for k in range(1, common + 1)]
+    return df.withColumn("hits", F.array(*hits)).drop("_spelt")
 
 
 def judge(docs: DataFrame, least_words: int = 50, most_char: float = 0.3, most_word: float = 0.45, common: int = 20, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -149,9 +133,11 @@ def judge(docs: DataFrame, least_words: int = 50, most_char: float = 0.3, most_w
     references are summed from.
     """
     refs = common_words(docs, common, text=text, lang=lang)
+    few = refs.limit(MOST_LANGUAGES + 1).collect()  # MOST_LANGUAGES * common words at most
+    known = sorted({w for r in few for w in r["common"]}) if len(few) <= MOST_LANGUAGES else None
     df = with_language(base_counts(docs, id_col, text, lang), refs)
     names = [f"n_{n}" for n, _ in CLASSES]
-    df = with_hits(df, common).select("doc_id", "lang", *names, "n_symbols", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "hits", "shares")
+    df = with_hits(df, common, known).select("doc_id", "lang", *names, "n_symbols", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "hits", "shares")
     df = written(df)
     total = lambda f: F.greatest(sum(f(n) for n in names), F.lit(1))
     chars = df.where("shares is not null").groupBy("lang").agg(F.array(*[F.sum(n) / total(F.sum) for n in names]).alias("chars"))

@@ -101,7 +101,8 @@ def test_crowded_segments_lose_nothing(spark):
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
     want = {frozenset((x, y)) for i, x in enumerate(fps) for y in fps[:i] if bin(x ^ y).count("1") <= 3}
     for crowd in (10, 10_000):
-        assert {frozenset((r["a"], r["b"])) for r in simhash.links(df, crowd=crowd).collect()} == want
+        got = [frozenset((r["a"], r["b"])) for r in simhash.links(df, crowd=crowd).collect()]
+        assert set(got) == want and max(collections.Counter(got).values()) <= 4  # a lookup from either side by either segment
 
 
 def test_unfinished_components_are_an_error(spark):
