@@ -117,13 +117,16 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
 
 
 def _report(model, df, names, M, F, out) -> None:
+    from .plans.model import fresh
+
+    p = fresh(df, "prediction")
     for name in names:
         M.resolve(name, model.objective.task)
         raw = name in ("logloss", "auc") or model.objective.task == "regression"
-        scored = model.raw(df, "_p") if raw and model.n_classes == 1 else model.predict(df, "_p")
+        scored = model.raw(df, p) if raw and model.n_classes == 1 else model.predict(df, p)
         if model.objective.name == "poisson":
-            scored = scored.withColumn("_p", F.exp("_p"))
-        print(f"{name}\t{M.evaluate(scored, name, '_p', 'label').first()['value']:.6f}", file=out)
+            scored = scored.withColumn(p, F.exp(p))
+        print(f"{name}\t{M.evaluate(scored, name, p, 'label').first()['value']:.6f}", file=out)
 
 
 if __name__ == "__main__":

@@ -258,3 +258,31 @@ def as_config(params: Config | Params | Mapping[str, Any] | Iterable[tuple[str,
     if isinstance(params, Params):
         return params.config()
     return Params.from_dict(params if isinstance(params, Mapping) else dict(params)).config()
+
+
+def given_keys(params: Params | Mapping[str, Any] | Iterable[tuple[str, Any]] | None) -> list[str]:
+    """The dotted keys that a partial set of parameters names."""
+    if params is None:
+        return []
+    return list((params if isinstance(params, Params) else Params.from_dict(params if isinstance(params, Mapping) else dict(params))).to_dict())
+
+
+MONOTONE = "tree.monotone_constraints"
+
+
+def by_position(params: Any, names: list[str]) -> Any:
+    """``params`` with constraints that map feature names to -1, 0 or 1 as a list in the features' order."""
+    if not isinstance(params, Mapping):
+        return params
+    nested = isinstance(params.get("tree"), Mapping) and isinstance(params["tree"].get("monotone_constraints"), Mapping)
+    given = params["tree"]["monotone_constraints"] if nested else params.get(MONOTONE)
+    if not isinstance(given, Mapping):
+        return params
+    unknown = sorted(set(given) - set(names))
+    if unknown:
+        raise ValueError(f"{MONOTONE} names no features: {', '.join(unknown)}")
+    odd = [k for k, v in given.items() if isinstance(v, bool) or v not in (-1, 0, 1)]
+    if odd:
+        raise ValueError(f"{MONOTONE} is -1, 0 or 1, not so for {', '.join(odd)}")
+    signs = [int(given.get(n, 0)) for n in names]
+    return {**params, "tree": {**params["tree"], "monotone_constraints": signs}} if nested else {**params, MONOTONE: signs}

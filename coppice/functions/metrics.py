@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,19 +50,29 @@ def mc_accuracy(p: str, y: str) -> Column:
     return F.avg((F.round(_d(p)) == F.round(_d(y))).cast("double"))
 
 
-def auc(df: DataFrame, p: str, y: str, one_class: float = 1.0, name: str = "value") -> DataFrame:
-    """Rank-sum AUC with ties averaged.
+def auc(df: DataFrame, p: str, y: str, one_class: float = 1.0, name: str = "value", positive: Callable[[Column], Column] = lambda y: y >= 0.5) -> DataFrame:
+    """Rank-sum AUC with ties averaged; ``one_class`` where labels are all positive or all not.
 
     Rows are first summed by score, then ranges of scores are summed, so that the
     running count of what lies below needs neither all rows nor all scores in a task.
     """
-    ties = df.groupBy(_d(p).alias("s")).agg(F.sum((_d(y) >= 0.5).cast("long")).alias("pos"), F.count("*").alias("n"))
+    ties = df.groupBy(_d(p).alias("s")).agg(F.sum(positive(_d(y)).cast("long")).alias("pos"), F.count("*").alias("n"))
     below = running_total(ties, [F.col("s").asc()], F.col("n"), "below")
     ranked = below.withColumn("rank_sum", F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0))
     got = ranked.agg(F.sum("rank_sum").alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return got.select(F.when((F.col("p") == 0) | (F.col("q") == 0), F.lit(one_class)).otherwise((F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p").cast("double") * F.col("q"))).alias(name))
 
 
+def bench_auc(df: DataFrame, p: str, y: str) -> DataFrame:
+    """AUC as the benchmarks have it: labels above 0 are positive, and one class has none."""
+    return auc(df, p, y, float("nan"), positive=lambda y: y > 0)
+
+
+def bench_r2(p: str, y: str) -> Column:
+    """R squared as the benchmarks have it: none of constant labels."""
+    return r2(p, y, constant=float("nan"))
+
+
 _AGG = {"rmse": rmse, "mae": mae, "r2": r2, "logloss": logloss, "accuracy": accuracy, "mc_accuracy": mc_accuracy}
 
 

@@ -1,4 +1,4 @@
-"""Losses as column expressions: initial score, gradient, hessian, evaluation, renewal."""
+"""Objectives: initial scores and links as plans, gradients and losses of a block of rows."""
 
 from __future__ import annotations
 
@@ -19,17 +19,9 @@ def sigmoid(s: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-s))
 
 
-def clipped_exp(s: Column) -> Column:
-    return F.exp(F.greatest(F.lit(-SCORE_CLIP), F.least(F.lit(SCORE_CLIP), s)))
-
-
-def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
-
-
 @dataclass(frozen=True)
 class Objective:
-    """``p`` is the raw score, ``y`` the label; both double columns."""
+    """``p`` is the raw score, ``y`` the label."""
 
     name: str
     delta: float = 1.0
@@ -52,48 +44,37 @@ class Objective:
     def renews(self) -> bool:
         return self.name in ("mae", "huber", "quantile")
 
-    def grad(self, p: Column, y: Column) -> Column:
-        d = p - y
-        if self.name == "mse":
-            return d
+    def grad_hess(self, p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and hessian of each row at raw score ``p``; of several classes, arrays [rows, classes]."""
+        if self.name == "softmax":
+            q = np.exp(p - p.max(1, keepdims=True))
+            q /= q.sum(1, keepdims=True)
+            return q - (y.astype(int)[:, None] == np.arange(p.shape[1])), np.maximum(q * (1 - q), 1e-6)
         if self.name == "logloss":
-            return sigmoid(p) - y
-        if self.name == "mae":
-            return F.signum(d)
-        if self.name == "huber":
-            return clamp(d, -self.delta, self.delta)
-        if self.name == "quantile":
-            return F.when(p > y, F.lit(1.0 - self.alpha)).otherwise(F.lit(-self.alpha))
+            s = 1 / (1 + np.exp(-p))
+            return s - y, s * (1 - s)
         if self.name == "poisson":
-            return clipped_exp(p) - y
-        raise ValueError(f"{self.name} has a gradient for each class")
-
-    def hess(self, p: Column, y: Column) -> Column:
+            e = np.exp(np.clip(p, -SCORE_CLIP, SCORE_CLIP))
+            return e - y, e
+        d = p - y
+        grad = {"mse": lambda: d, "mae": lambda: np.sign(d), "huber": lambda: np.clip(d, -self.delta, self.delta), "quantile": lambda: np.where(d > 0, 1 - self.alpha, -self.alpha)}[self.name]()
+        return grad, np.ones_like(d)
+
+    def loss(self, p: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The loss of each row; the evaluation is its mean."""
+        if self.name == "softmax":
+            top = p.max(1)
+            return top + np.log(np.exp(p - top[:, None]).sum(1)) - p[np.arange(len(p)), y.astype(int)]
         if self.name == "logloss":
-            s = sigmoid(p)
-            return s * (1.0 - s)
+            return np.maximum(0, p) + np.log1p(np.exp(-np.abs(p))) - y * p
         if self.name == "poisson":
-            return clipped_exp(p)
-        return F.lit(1.0)
-
-    def loss(self, p: Column, y: Column) -> Column:
-        """The loss of a row; the evaluation is its mean."""
+            f = np.clip(p, -SCORE_CLIP, SCORE_CLIP)
+            return np.exp(f) - y * f
         d = p - y
-        if self.name == "mse":
-            return d * d
-        if self.name == "logloss":
-            return F.greatest(F.lit(0.0), p) + F.log1p(F.exp(-F.abs(p))) - y * p
-        if self.name == "mae":
-            return F.abs(d)
+        a = np.abs(d)
         if self.name == "huber":
-            a = F.abs(d)
-            return F.when(a <= self.delta, 0.5 * a * a).otherwise(self.delta * (a - 0.5 * self.delta))
-        if self.name == "quantile":
-            return F.when(y >= p, self.alpha * (y - p)).otherwise((1.0 - self.alpha) * (p - y))
-        if self.name == "poisson":
-            f = clamp(p, -SCORE_CLIP, SCORE_CLIP)
-            return F.exp(f) - y * f
-        raise ValueError(self.name)
+            return np.where(a <= self.delta, 0.5 * a * a, self.delta * (a - 0.5 * self.delta))
+        return {"mse": lambda: d * d, "mae": lambda: a, "quantile": lambda: np.where(d <= 0, self.alpha * a, (1 - self.alpha) * a)}[self.name]()
 
     def link(self, p: Column) -> Column:
         return sigmoid(p) if self.name == "logloss" else F.exp(p) if self.name == "poisson" else p
@@ -118,32 +99,6 @@ class Objective:
             raise ValueError("no rows to train on")
         return float(rows[0]["q"])
 
-    # The same in numpy, for the Arrow plane.
-    def np_grad_hess(self, p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        one = np.ones_like(p)
-        if self.name == "mse":
-            return p - y, one
-        if self.name == "logloss":
-            s = 1 / (1 + np.exp(-p))
-            return s - y, s * (1 - s)
-        if self.name == "mae":
-            return np.sign(p - y), one
-        if self.name == "huber":
-            return np.clip(p - y, -self.delta, self.delta), one
-        if self.name == "quantile":
-            return np.where(p > y, 1 - self.alpha, -self.alpha), one
-        e = np.exp(np.clip(p, -SCORE_CLIP, SCORE_CLIP))
-        return e - y, e
-
-
-def softmax_grad_hess(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For scores [rows, classes] and class ids."""
-    e = np.exp(p - p.max(1, keepdims=True))
-    q = e / e.sum(1, keepdims=True)
-    g = q.copy()
-    g[np.arange(len(y)), y.astype(int)] -= 1
-    return g, np.maximum(q * (1 - q), 1e-6)
-
 
 def softmax(scores: Column) -> Column:
     """Probabilities of an array of scores."""
@@ -162,12 +117,6 @@ def softmax_init(df: DataFrame, n_classes: int, label: str = "label") -> list[fl
     return [log(max(by.get(k, 0), 1) / max(n, 1)) for k in range(n_classes)]
 
 
-def softmax_loss(scores: Column, y: Column) -> Column:
-    top = F.array_max(scores)
-    total = F.aggregate(F.transform(scores, lambda s: F.exp(s - top)), F.lit(0.0), lambda a, b: a + b)
-    return top + F.ln(total) - F.element_at(scores, y.cast("int") + 1)
-
-
 def of(config: Config) -> Objective:
     o = config.objective
     return Objective(config.dispatch.objective_name, o.huber_delta, o.quantile_alpha, o.n_classes if config.dispatch.objective_name == "softmax" else 1)

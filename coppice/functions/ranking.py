@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,11 @@ def order_key(row_id: Column | str, seed: int = 0) -> Column:
     return F.pmod(F.pmod(high * F.lit(factor), F.lit(1 << 16)) * F.lit(1 << 16) + rest * F.lit(factor), F.lit(MODULUS))
 
 
+def order_keys(ids: np.ndarray, seed: int = 0) -> np.ndarray:
+    """``order_key`` of an array of ids."""
+    return (ids.astype(np.int64).view(np.uint64) & np.uint64(MODULUS - 1)) * np.uint64((MULTIPLIER + 2 * seed) % MODULUS) & np.uint64(MODULUS - 1)
+
+
 def whole_id(df: DataFrame, row_id: str) -> Column:
     """The id as a long: whole numbers are themselves, anything else is hashed; null stays null."""
     return F.col(row_id).cast("long") if dict(df.dtypes)[row_id] in ("bigint", "int", "smallint", "tinyint") else F.when(F.col(row_id).isNotNull(), F.xxhash64(row_id))
@@ -51,6 +60,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows from a table in the shared folder, and its path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``written`` made, in whatever store it is."""
+    jvm, context = spark._jvm, spark.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def running_total(df: DataFrame, order: list[Column], value: Column, name: str, groups: list[str] | None = None) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows before each, in the order, or within its group.
 
@@ -92,3 +116,87 @@ def nearest_rank(df: DataFrame, value: str, alpha: float, groups: list[str] | No
     hit = ranked.join(sizes, groups) if groups else ranked.join(F.broadcast(sizes), F.lit(True))  # without groups one row
     at = F.least(half_up(F.lit(alpha) * (F.col("_c") - 1)), F.col("_c") - 1)
     return hit.where((F.col("_below") <= at) & (at < F.col("_below") + F.col("_k"))).select(*groups, F.col("_v").alias(out))
+
+
+def sortable(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers of the same order; -0.0 counts as 0.0."""
+    u = (x.astype(np.float64) + 0.0).view(np.uint64)
+    return np.where(u >> np.uint64(63), ~u, u | np.uint64(1 << 63))
+
+
+def unsorted(u: np.ndarray) -> np.ndarray:
+    """The doubles that ``sortable`` made these of."""
+    u = np.asarray(u, np.uint64)
+    return np.where(u >> np.uint64(63), u ^ np.uint64(1 << 63), ~u).view(np.float64)
+
+
+#: Counts that a pass may send from a partition, and keys that are few enough to be sorted by the driver.
+MOST_COUNTS, FEW_KEYS = 1 << 20, 50_000
+
+
+def select(df: DataFrame, emit: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], rank: Callable[[np.ndarray], np.ndarray], n_groups: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, keys below it, keys equal to it) at a rank of each group's ascending keys, without sorting or shuffling rows.
+
+    ``emit`` turns a batch into groups below ``n_groups`` and unsigned 64-bit keys; ``rank`` turns
+    the groups' sizes into 0-based ranks.  Each pass counts the keys that share the digits
+    found so far by their next one, so a partition sends a bounded number of counts; once few
+    keys are left, they are sorted.  A group without keys has key 0.
+    """
+    found, below, size, want = np.zeros(n_groups, np.uint64), np.zeros(n_groups, np.int64), np.zeros(n_groups, np.int64), None
+    digit, done = int(np.clip((MOST_COUNTS // n_groups).bit_length() - 1, 4, 16)), 64
+
+    def alike(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        group, key = emit(b)
+        if done < 64:
+            same = key >> np.uint64(done) == found[group] >> np.uint64(done)
+            group, key = group[same], key[same]
+        return group.astype(np.int64), key
+
+    while done:
+        if want is not None and size.sum() <= FEW_KEYS:
+            return _few_left(df, alike, found, below, size, want)
+        bits = min(digit, done)
+        shift = done - bits
+
+        def run(batches: Iterator[pa.RecordBatch], bits: int = bits, shift: int = shift) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(n_groups << bits, np.int64)
+            for b in batches:
+                group, key = alike(b)
+                part = (key >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+                total += np.bincount((group << bits) + part.astype(np.int64), minlength=len(total))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+        got = df.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(n_groups << bits, np.int64)
+        counts[got["cell"].to_numpy()] = got["n"].to_numpy()
+        counts = counts.reshape(n_groups, -1)
+        if want is None:
+            want = np.asarray(rank(counts.sum(1)), np.int64)
+        ends = below[:, None] + counts.cumsum(1)
+        at = np.minimum((ends <= want[:, None]).sum(1), counts.shape[1] - 1)
+        rows = np.arange(n_groups)
+        size = counts[rows, at]
+        below = ends[rows, at] - size
+        found = found | at.astype(np.uint64) << np.uint64(shift)
+        done = shift
+    return found, below, size
+
+
+def _few_left(df: DataFrame, alike, found: np.ndarray, below: np.ndarray, size: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group, key = alike(b)
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(key.view(np.int64))], ["group", "key"])
+
+    got = df.mapInArrow(run, "group long, key long").toArrow()
+    group, key = got["group"].to_numpy(), got["key"].to_numpy().view(np.uint64)
+    order = np.lexsort((key, group))
+    group, key = group[order], key[order]
+    found, below, size = found.copy(), below.copy(), size.copy()
+    for g in np.unique(group).tolist():
+        own = key[slice(*np.searchsorted(group, [g, g + 1]))]
+        found[g] = own[want[g] - below[g]]
+        first, last = np.searchsorted(own, found[g], side="left"), np.searchsorted(own, found[g], side="right")
+        below[g], size[g] = below[g] + first, last - first
+    return found, below, size

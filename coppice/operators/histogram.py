@@ -1,37 +1,39 @@
-"""Histograms of gradients: one grouped sum per (node, feature, bin)."""
+"""Histograms: cells of gradient, hessian and row sums by node, feature and bin."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import numpy as np
 
 
-def long_bins(df: DataFrame, n_features: int, keep: tuple[str, ...]) -> DataFrame:
-    """One row per (row, feature) from columns b0..b<n-1>."""
-    return df.select(*keep, F.posexplode(F.array(*[F.col(f"b{i}").cast("int") for i in range(n_features)])).alias("fid", "bin"))
+def add(out: np.ndarray, bins: np.ndarray, features: np.ndarray, width: int, slot: np.ndarray, rows: np.ndarray | None, g: np.ndarray, h: np.ndarray | None) -> None:
+    """Adds rows to ``out`` [3, features, slots * width]; ``rows`` (none: all) have a slot, a gradient and a hessian each.
 
+    Without ``h`` every hessian is 1, and its sums are the counts: see ``finish``.
+    """
+    size = out.shape[2]
+    base = slot.astype(np.intp) * width
+    for j, f in enumerate(features):
+        at = base + (bins[f] if rows is None else bins[f][rows])
+        out[0, j] += np.bincount(at, g, size)
+        out[2, j] += np.bincount(at, minlength=size)
+        if h is not None:
+            out[1, j] += np.bincount(at, h, size)
 
-def build(df: DataFrame, n_features: int, unit_hess: bool = False) -> DataFrame:
-    """(node, fid, bin, sg, sh, cnt) from columns node, g, h and b<i>; partial sums precede the shuffle.
 
-    With a unit hessian its sum is the count.
-    """
-    keep = ("node", "g") if unit_hess else ("node", "g", "h")
-    cells = long_bins(df, n_features, keep).groupBy("node", "fid", "bin")
-    if unit_hess:
-        return cells.agg(F.sum("g").alias("sg"), F.count("*").alias("cnt")).withColumn("sh", F.col("cnt").cast("double")).select("node", "fid", "bin", "sg", "sh", "cnt")
-    return cells.agg(F.sum("g").alias("sg"), F.sum("h").alias("sh"), F.count("*").alias("cnt"))
+def finish(out: np.ndarray, unit: bool) -> np.ndarray:
+    if unit:
+        out[1] = out[2]
+    return out
 
 
-def totals(hist: DataFrame) -> DataFrame:
-    """(node, g, h, cnt): the sums over any one feature's cells."""
-    return hist.where("fid = 0").groupBy("node").agg(F.sum("sg").alias("tg"), F.sum("sh").alias("th"), F.sum("cnt").alias("n"))
+def subtract(parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """The sibling's cells as parent minus child, without reading its rows; what rounding leaves in empty cells goes."""
+    rest = parent - child
+    rest[rest[..., 2] < 0.5] = 0
+    return rest
 
 
-def subtract(parent: DataFrame, child: DataFrame, sibling: int) -> DataFrame:
-    """The sibling's histogram as parent minus child, without reading its rows; empty cells stay out."""
-    c = child.select("fid", "bin", F.col("sg").alias("cg"), F.col("sh").alias("ch"), F.col("cnt").alias("cc"))
-    out = parent.join(c, ["fid", "bin"], "left").select(
-        F.lit(sibling).alias("node"), "fid", "bin", (F.col("sg") - F.coalesce("cg", F.lit(0.0))).alias("sg"), (F.col("sh") - F.coalesce("ch", F.lit(0.0))).alias("sh"), (F.col("cnt") - F.coalesce("cc", F.lit(0))).alias("cnt")
-    )
-    return out.where("cnt > 0")
+def totals(cells: np.ndarray, feature: int = 0) -> tuple[float, float, int]:
+    """A node's sums, from any one feature's cells."""
+    g, h, n = cells[feature].sum(0)
+    return float(g), float(h), int(round(n))

@@ -1,78 +1,14 @@
-"""Split search: prefix sums over bins, both directions for missing values, and a total order of candidates."""
+"""Split search over a node's cells: prefix sums over bins, both directions for missing values, and a total order of candidates."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
 
 from ..config import Tree
 
 
-def soft(g: Column, l1: float) -> Column:
-    return g if l1 == 0 else F.when(g > l1, g - l1).when(g < -l1, g + l1).otherwise(F.lit(0.0))
-
-
-def score(g: Column, h: Column, l1: float, l2: float) -> Column:
-    t = soft(g, l1)
-    return F.when(h + l2 > 0, t * t / (h + l2)).otherwise(F.lit(0.0))
-
-
-def leaf_weight(g: Column, h: Column, l1: float, l2: float, lo: Column | None = None, hi: Column | None = None) -> Column:
-    w = F.when(h + l2 > 0, -soft(g, l1) / (h + l2)).otherwise(F.lit(0.0))
-    return w if lo is None else F.least(hi, F.greatest(lo, w))
-
-
-def prefixes(hist: DataFrame, n_bins: DataFrame) -> DataFrame:
-    """Cells of real bins with running sums gl, hl, cl and the feature's missing cell mg, mh, mc and totals tg, th, tc.
-
-    ``n_bins`` is (fid, n_bins), its last bin the missing one.  A window holds one feature's
-    bins of one node, so it is bounded by the bins, never by rows.
-    """
-    every = Window.partitionBy("node", "fid")
-    run = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    h = hist.join(F.broadcast(n_bins), "fid")
-    missing = F.col("bin") == F.col("n_bins") - 1
-    take = lambda c: F.sum(F.when(missing, F.col(c))).over(every)
-    h = h.withColumns({"mg": F.coalesce(take("sg"), F.lit(0.0)), "mh": F.coalesce(take("sh"), F.lit(0.0)), "mc": F.coalesce(take("cnt"), F.lit(0)), "tg": F.sum("sg").over(every), "th": F.sum("sh").over(every), "tc": F.sum("cnt").over(every)})
-    return h.where(~missing).withColumns({"gl": F.sum("sg").over(run), "hl": F.sum("sh").over(run), "cl": F.sum("cnt").over(run)})
-
-
-def candidates(prefix: DataFrame, tree: Tree) -> DataFrame:
-    """A row per (node, fid, bin, default_left) with the sums of both sides and the gain; only feasible ones."""
-    both = F.when((F.col("mg") == 0) & (F.col("mh") == 0) & (F.col("mc") == 0), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
-    c = prefix.where(F.col("bin") <= F.col("n_bins") - 3).withColumn("default_left", F.explode(both))
-    left = lambda a, m: F.col(a) + F.when(F.col("default_left"), F.col(m)).otherwise(F.lit(0))
-    c = c.withColumns({"GL": left("gl", "mg"), "HL": left("hl", "mh"), "CL": left("cl", "mc")})
-    c = c.withColumns({"GR": F.col("tg") - F.col("GL"), "HR": F.col("th") - F.col("HL"), "CR": F.col("tc") - F.col("CL")})
-    ok = (F.col("HL") >= tree.min_child_hess) & (F.col("HR") >= tree.min_child_hess) & (F.col("CL") >= 1) & (F.col("CR") >= 1) & (F.col("tc") >= 2 * tree.min_data_in_leaf)
-    s = lambda g, h: score(F.col(g), F.col(h), tree.lambda_l1, tree.lambda_l2)
-    return c.where(ok).withColumn("gain", s("GL", "HL") + s("GR", "HR") - s("tg", "th"))
-
-
-def monotone(cand: DataFrame, constraints: list[int], tree: Tree) -> DataFrame:
-    """Drops candidates whose weights, bounded by columns lo and hi, run against their feature's sign."""
-    sign = F.element_at(F.array(*[F.lit(c) for c in constraints]), F.col("fid") + 1)
-    w = lambda g, h: leaf_weight(F.col(g), F.col(h), tree.lambda_l1, tree.lambda_l2, F.col("lo"), F.col("hi"))
-    return cand.withColumns({"wl": w("GL", "HL"), "wr": w("GR", "HR")}).where(sign * (F.col("wr") - F.col("wl")) >= 0)
-
-
-def best(cand: DataFrame, tree: Tree) -> DataFrame:
-    """Each node's candidate of the greatest positive gain; ties go to the lowest feature, then bin, then left."""
-    order = Window.partitionBy("node").orderBy(F.desc("gain"), "fid", "bin", F.desc("default_left"))
-    return cand.where((F.col("gain") > 0) & (F.col("gain") >= tree.min_gain_to_split)).withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
-
-
-def best_of_level(prefix: DataFrame, tree: Tree) -> DataFrame:
-    """One split for all nodes: the greatest sum of gains, where a node that can't split adds nothing."""
-    frame = candidates(prefix, Tree(lambda_l1=tree.lambda_l1, lambda_l2=tree.lambda_l2, min_child_hess=tree.min_child_hess, min_data_in_leaf=0))
-    sums = frame.groupBy("fid", "bin", "default_left").agg(F.sum("gain").alias("gain"), F.count("*").alias("n_nodes"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("gain"), "fid", "bin", F.desc("default_left"))
-    return sums.where(F.col("gain") > 0).withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
-
-
 @dataclass
 class Split:
     """A node's split on the driver; sums of its two sides."""
@@ -99,58 +35,69 @@ def np_weight(g, h, l1: float, l2: float, lo: float = -np.inf, hi: float = np.in
     return np.clip(np.where(d > 0, -np_soft(g, l1) / np.where(d > 0, d, 1.0), 0.0), lo, hi)
 
 
-def _sides(cells: np.ndarray, n_bins: np.ndarray):
-    """(left, right) sums [F, B, 2, 3] of all candidates of a node's cells [F, B, 3], the node's sums, and which exist."""
-    f = np.arange(len(n_bins))
-    miss = cells[f, n_bins - 1]
-    real = cells.copy()
-    real[f, n_bins - 1] = 0
-    run = real.cumsum(1)
-    total = run[:, -1] + miss
-    left = np.stack([run + miss[:, None], run], axis=2)
-    right = total[:, None, None] - left
-    exists = np.repeat((np.arange(cells.shape[1])[None, :] <= n_bins[:, None] - 3)[:, :, None], 2, axis=2)
-    exists[:, :, 1] &= (miss != 0).any(1)[:, None]
-    return left, right, total, exists
-
-
-def find(cells: np.ndarray, n_bins: np.ndarray, tree: Tree, allowed: np.ndarray | None = None, lo: float = -np.inf, hi: float = np.inf) -> Split | None:
-    """The node's best split by the order of ``best``, from its cells [F, B, 3] of grad, hess and count."""
-    left, right, total, ok = _sides(cells, n_bins)
-    if total[0, 2] < 2 * tree.min_data_in_leaf:
-        return None
-    l1, l2 = tree.lambda_l1, tree.lambda_l2
-    ok = ok & (left[..., 1] >= tree.min_child_hess) & (right[..., 1] >= tree.min_child_hess) & (left[..., 2] >= 0.5) & (right[..., 2] >= 0.5)
-    if allowed is not None:
-        ok &= allowed[:, None, None]
-    if any(tree.monotone_constraints):
-        sign = np.array([*tree.monotone_constraints, *[0] * len(n_bins)][: len(n_bins)])
-        wl, wr = (np_weight(x[..., 0], x[..., 1], l1, l2, lo, hi) for x in (left, right))
-        ok &= sign[:, None, None] * (wr - wl) >= 0
-    gain = np_score(left[..., 0], left[..., 1], l1, l2) + np_score(right[..., 0], right[..., 1], l1, l2) - np_score(total[:, 0], total[:, 1], l1, l2)[:, None, None]
-    gain = np.where(ok, gain, -np.inf)
+@dataclass
+class Candidates:
+    """All candidates of a node's cells [features, bins, (grad, hess, count)], last axis of two: missing values left, right."""
+
+    left: np.ndarray  # [features, bins, 2, 3] sums of the left side
+    total: np.ndarray  # [features, 3] sums of the node, as each feature's cells give them
+    ok: np.ndarray  # [features, bins, 2] which exist and may be taken
+    gain: np.ndarray
+
+    @classmethod
+    def of(cls, cells: np.ndarray, n_bins: np.ndarray, tree: Tree, allowed: np.ndarray | None = None, lo: float = -np.inf, hi: float = np.inf, sign: np.ndarray | None = None, gate: bool = True) -> Candidates:
+        """A cut is at every bin but the last real one and the missing one; the second direction only where values are missing.
+
+        ``gate``: nodes of fewer than twice ``min_data_in_leaf`` rows have none.
+        """
+        f = np.arange(len(n_bins))
+        miss = cells[f, n_bins - 1]
+        real = cells.copy()
+        real[f, n_bins - 1] = 0
+        run = real.cumsum(1)
+        total = run[:, -1] + miss
+        left = np.stack([run + miss[:, None], run], axis=2)
+        right = total[:, None, None] - left
+        ok = np.repeat((np.arange(cells.shape[1])[None, :] <= n_bins[:, None] - 3)[:, :, None], 2, axis=2)
+        ok[:, :, 1] &= (miss != 0).any(1)[:, None]
+        ok &= (left[..., 1] >= tree.min_child_hess) & (right[..., 1] >= tree.min_child_hess)
+        l1, l2 = tree.lambda_l1, tree.lambda_l2
+        if gate:
+            ok &= (total[:, 2] >= 2 * tree.min_data_in_leaf)[:, None, None] & (left[..., 2] >= 0.5) & (right[..., 2] >= 0.5)
+        if allowed is not None:
+            ok &= allowed[:, None, None]
+        if sign is not None and sign.any():
+            wl, wr = (np_weight(x[..., 0], x[..., 1], l1, l2, lo, hi) for x in (left, right))
+            ok &= sign[:, None, None] * (wr - wl) >= 0
+        gain = np_score(left[..., 0], left[..., 1], l1, l2) + np_score(right[..., 0], right[..., 1], l1, l2) - np_score(total[:, 0], total[:, 1], l1, l2)[:, None, None]
+        return cls(left, total, ok, gain)
+
+    def sides(self, f: int, b: int, d: int) -> tuple[tuple[float, float, int], tuple[float, float, int]]:
+        left, right = self.left[f, b, d], self.total[f] - self.left[f, b, d]
+        return tuple((float(x[0]), float(x[1]), int(round(x[2]))) for x in (left, right))
+
+
+def find(cells: np.ndarray, n_bins: np.ndarray, tree: Tree, allowed: np.ndarray | None = None, lo: float = -np.inf, hi: float = np.inf, sign: np.ndarray | None = None, first: int = 0) -> Split | None:
+    """The node's candidate of the greatest positive gain; ties go to the lowest feature, then bin, then missing left.
+
+    ``first`` is the number of the cells' first feature.
+    """
+    c = Candidates.of(cells, n_bins, tree, allowed, lo, hi, sign)
+    gain = np.where(c.ok, c.gain, -np.inf)
     at = int(gain.argmax())
     if not gain.flat[at] > 0 or gain.flat[at] < tree.min_gain_to_split:
         return None
     f, b, d = np.unravel_index(at, gain.shape)
-    side = lambda x: (float(x[f, b, d, 0]), float(x[f, b, d, 1]), int(round(x[f, b, d, 2])))
-    return Split(float(gain.flat[at]), int(f), int(b), d == 0, side(left), side(right))
+    left, right = c.sides(f, b, d)
+    return Split(float(gain.flat[at]), first + int(f), int(b), bool(d == 0), left, right)
 
 
-def find_level(nodes: list[np.ndarray], n_bins: np.ndarray, tree: Tree, allowed: np.ndarray | None = None) -> tuple[float, int, int, bool] | None:
-    """The level's best (gain, fid, bin, default_left) by the order of ``best_of_level``."""
-    l1, l2, total_gain, any_ok = tree.lambda_l1, tree.lambda_l2, 0.0, False
-    for cells in nodes:
-        left, right, total, exists = _sides(cells, n_bins)
-        ok = exists & (left[..., 1] >= tree.min_child_hess) & (right[..., 1] >= tree.min_child_hess)
-        gain = np_score(left[..., 0], left[..., 1], l1, l2) + np_score(right[..., 0], right[..., 1], l1, l2) - np_score(total[:, 0], total[:, 1], l1, l2)[:, None, None]
-        total_gain = total_gain + np.where(ok, gain, 0.0)
-        any_ok = any_ok | ok
-    if allowed is not None:
-        any_ok = any_ok & allowed[:, None, None]
-    total_gain = np.where(any_ok, total_gain, -np.inf)
-    at = int(np.argmax(total_gain))
-    if not total_gain.flat[at] > 0 or total_gain.flat[at] < tree.min_gain_to_split:
+def find_level(nodes: list[np.ndarray], n_bins: np.ndarray, tree: Tree, allowed: np.ndarray | None = None, first: int = 0) -> list[Split] | None:
+    """One cut for all nodes, of the greatest sum of gains, where a node that can't take it adds nothing; each node's sides, the sum as gain."""
+    each = [Candidates.of(cells, n_bins, tree, allowed, gate=False) for cells in nodes]
+    total = np.where(np.any([c.ok for c in each], axis=0), sum(np.where(c.ok, c.gain, 0.0) for c in each), -np.inf)
+    at = int(total.argmax())
+    if not total.flat[at] > 0 or total.flat[at] < tree.min_gain_to_split:
         return None
-    f, b, d = np.unravel_index(at, total_gain.shape)
-    return float(total_gain.flat[at]), int(f), int(b), d == 0
+    f, b, d = np.unravel_index(at, total.shape)
+    return [Split(float(total.flat[at]), first + int(f), int(b), bool(d == 0), *c.sides(f, b, d)) for c in each]

@@ -1,4 +1,4 @@
-"""The boosting loop: the driver keeps trees and frontiers, Spark keeps rows, bins and scores.
+"""The boosting loop: the driver keeps trees and frontiers, Spark keeps blocks of rows with bins and scores.
 
 A level is one job: rows are routed through the tree so far, their gradients are
 summed by node, feature and bin, and only those sums come back.
@@ -9,195 +9,150 @@ from __future__ import annotations
 import logging
 import random
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Config, as_config
+from ..config import Config, as_config, by_position, given_keys
 from ..functions import objectives
-from ..functions.ranking import MODULUS, checkpoint, nearest_rank, order_key, with_rank
-from ..operators.samplers import feature_subset
+from ..functions.ranking import remove, select, sortable, unsorted, written
+from ..operators.routing import leaf_of_bins
+from ..operators.samplers import OneSide, bernoulli, feature_subset
+from . import blocks as B
 from .dataset import BinnedDataset
-from .growers import GROWERS
+from .growers import GROWERS, Ask
 from .model import Model
-from .trees import Tree, leaf_of_bins
+from .search import Prepared, Search
+from .trees import Tree
 
 log = logging.getLogger("coppice")
 
-#: Rounds between checkpoints of the scores: bounds the lineage a lost executor makes Spark repeat.
-CHECKPOINT_ROUNDS = 10
-#: Cells that one job sends to the driver at most; wider frontiers take several jobs.
-MOST_CELLS = 20_000_000
+#: Rounds between tables of the scores: bounds the lineage a lost executor makes Spark repeat.
+TABLE_ROUNDS = 10
+Reader = Callable[[pa.RecordBatch], Iterator[B.Block]]
 
 
-@dataclass
-class _Request:
-    """Nodes of class k's tree so far."""
+def grow(search: Search, config: Config, cuts: Sequence[np.ndarray], selected: list[np.ndarray]) -> list[Tree]:
+    """One tree a class, all grown in step: each round of asks is one job."""
+    runs = [GROWERS[config.grower](config.tree, list(cuts), s) for s in selected]
+    trees: list[Tree | None] = [None] * len(runs)
+    asks: dict[int, Ask] = {}
 
-    k: int
-    tree: Tree
-    nodes: list[int]
+    def advance(k: int, answer) -> None:
+        try:
+            asks[k] = runs[k].send(answer)
+        except StopIteration as done:
+            trees[k] = done.value
+            asks.pop(k, None)
 
+    for k in range(len(runs)):
+        advance(k, None)
+    while asks:
+        for k, answer in search.answer(dict(asks)).items():
+            advance(k, answer)
+    return [t for t in trees if t is not None]
 
-def _bins_of(b: pa.RecordBatch) -> np.ndarray:
-    return b.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
 
+def gradients(b: B.Block, objective: objectives.Objective) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """Gradients and hessians times the weight, by class; no hessians where all are 1."""
+    y, k = b.label.astype(np.float64), objective.n_classes
+    g, h = objective.grad_hess(b.score if k > 1 else b.score[:, 0], y)
+    if b.weight is not None:
+        w = b.weight.astype(np.float64)
+        g, h = (x * (w[:, None] if k > 1 else w) for x in (g, h))
+    if k > 1:
+        return [(g[:, c], h[:, c]) for c in range(k)]
+    return [(g, None if objective.unit_hessian and b.weight is None else h)]
+
+
+def sampler(state: DataFrame, read: Reader, config: Config, objective: objectives.Objective, seed: int, n_rows: int) -> Callable[[B.Block], Prepared]:
+    """Gradients of a block, the rows that are drawn, and those made up for that stand for others."""
+    name, s, k = config.dispatch.sampler_name, config.sampler, objective.n_classes
+    if name == "bernoulli" and s.subsample < 1:
+        return lambda b: [(g, h, np.flatnonzero(bernoulli(b.rid, s.subsample, seed + c))) for c, (g, h) in enumerate(gradients(b, objective))]
+    if name != "goss":
+        return lambda b: [(g, h, None) for g, h in gradients(b, objective)]
+
+    def rows(c: int):
+        def emit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            parts = [(gradients(b, objective)[c][0], b.rid) for b in read(batch)]
+            return tuple(np.concatenate(x) for x in zip(*parts))
+
+        return emit
+
+    sides = [OneSide.fit(state, rows(c), s, seed + c, n_rows) for c in range(k)]
+
+    def prepare(b: B.Block) -> Prepared:
+        out = []
+        for (g, h), side in zip(gradients(b, objective), sides):
+            if side is None:
+                out.append((g, h, None))
+                continue
+            w = side.weights(g, b.rid)
+            out.append((g * w, w if h is None else h * w, np.flatnonzero(w)))
+        return out
 
-def _array(b: pa.RecordBatch, name: str, k: int) -> np.ndarray:
-    return b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k)
+    return prepare
 
 
-def histograms(active: DataFrame, requests: list[_Request], n_bins: np.ndarray, n_classes: int) -> list[dict[int, np.ndarray]]:
-    """Each request's cells by node.  ``active`` has bins, g, h and m (0 or 1: sampled), arrays by class.
+def _mapped(state: DataFrame, read: Reader, change: Callable[[B.Block], B.Block]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in read(batch):
+                yield B.write(change(b))
 
-    A partition sums its rows with one weighted bincount a class; the sums of the
-    partitions, as many as there are cells, are added up by a grouped sum.
-    """
-    width, f = int(n_bins.max()), len(n_bins)
-    slots, at = [], 0
-    for r in requests:
-        slot = np.full(len(r.tree.fid), -1, np.int64)
-        slot[r.nodes] = np.arange(at, at + len(r.nodes))
-        at += len(r.nodes)
-        slots.append(slot)
-    if at * f * width > MOST_CELLS and at > 1:
-        half = []
-        flat = [(i, n) for i, r in enumerate(requests) for n in r.nodes]
-        for part in (flat[: at // 2], flat[at // 2 :]):
-            half.append(histograms(active, [_Request(r.k, r.tree, [n for i, n in part if i == j]) for j, r in enumerate(requests)], n_bins, n_classes))
-        return [{**a, **b} for a, b in zip(*half)]
-    shared = active.sparkSession.sparkContext.broadcast([(r.k, r.tree.arrays(), s) for r, s in zip(requests, slots)])
-    last, total = n_bins - 1, at
+    return state.mapInArrow(run, B.SCHEMA)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, total * f * width))
-        columns = np.arange(f, dtype=np.int64) * width
-        any_row = False
-        for b in batches:
-            if not b.num_rows:
-                continue
-            any_row = True
-            bins, g, h, m = _bins_of(b), _array(b, "g", n_classes), _array(b, "h", n_classes), _array(b, "m", n_classes)
-            for k, tree, slot in shared.value:
-                s = slot[leaf_of_bins(tree, bins, last)]
-                ok = np.flatnonzero((s >= 0) & (m[:, k] > 0))
-                if not len(ok):
-                    continue
-                index = (s[ok, None] * (f * width) + columns + bins[ok]).ravel()
-                for i, w in enumerate((g[ok, k], h[ok, k])):
-                    sums[i] += np.bincount(index, weights=np.repeat(w, f), minlength=total * f * width)
-                sums[2] += np.bincount(index, minlength=total * f * width)
-        if any_row:
-            cells = np.flatnonzero(sums[2])
-            yield pa.RecordBatch.from_arrays([pa.array(cells), *[pa.array(x[cells]) for x in sums]], ["cell", "sg", "sh", "n"])
-
-    got = active.select("bins", "g", "h", "m").mapInArrow(run, "cell long, sg double, sh double, n double").groupBy("cell").agg(F.sum("sg").alias("sg"), F.sum("sh").alias("sh"), F.sum("n").alias("n")).toArrow()
-    out = np.zeros((total * f * width, 3))
-    out[got["cell"].to_numpy()] = np.stack([got[c].to_numpy() for c in ("sg", "sh", "n")], 1)
-    out = out.reshape(total, f, width, 3)
-    answer = []
-    for r, slot in zip(requests, slots):
-        answer.append({n: out[slot[n]] for n in r.nodes})
-    return answer
-
-
-def grow(active: DataFrame, config: Config, cuts: Sequence[np.ndarray], n_classes: int, selected: list[np.ndarray]) -> list[Tree]:
-    """One tree a class, all grown in step: each round of requests is one job."""
-    n_bins = np.array([len(c) for c in cuts])
-    grower = GROWERS[config.grower]
-    runs = [grower(config.tree, list(cuts), s) for s in selected]
-    trees: list[Tree | None] = [None] * n_classes
-    wants: dict[int, tuple[Tree, list[int]]] = {}
 
-    def advance(k: int, answer) -> None:
-        try:
-            wants[k] = runs[k].send(answer)
-        except StopIteration as done:
-            trees[k] = done.value
-            wants.pop(k, None)
+def _adding(parts: list[tuple[int, Tree, float]], last: np.ndarray) -> Callable[[B.Block], B.Block]:
+    """score[k] += factor * value of the row's leaf, for each (k, tree, factor)."""
+    arrays = [(k, t.arrays(), x) for k, t, x in parts]
 
-    for k in range(n_classes):
-        advance(k, None)
-    while wants:
-        requests = [_Request(k, tree, nodes) for k, (tree, nodes) in sorted(wants.items())]
-        for r, cells in zip(requests, histograms(active, requests, n_bins, n_classes)):
-            advance(r.k, cells)
-    return [t for t in trees if t is not None]
+    def add(b: B.Block) -> B.Block:
+        score = b.score.copy()
+        for k, t, x in arrays:
+            score[:, k] += x * t["value"][leaf_of_bins(t, b.bins, last)]
+        return b.with_score(score)
 
+    return add
 
-def _k_th(active: DataFrame, order: list[Column], k: int, cols: list[str]):
-    rows = with_rank(active, order, "_rn").where(F.col("_rn") == k - 1).select(*cols).collect()
-    return rows[0] if rows else None
-
-
-def sampled(state: DataFrame, config: Config, seed: int, n_classes: int, n_rows: int) -> DataFrame:
-    """Adds m, and makes up g and h of the rows that stand for others."""
-    name, s = config.dispatch.sampler_name, config.sampler
-    ones = F.array_repeat(F.lit(1), n_classes)
-    if name == "all_rows" or (name == "bernoulli" and s.subsample >= 1):
-        return state.withColumn("m", ones)
-    if name == "bernoulli":
-        return state.withColumn("m", F.array(*[(order_key("rid", seed + k) < F.lit(s.subsample * MODULUS)).cast("int") for k in range(n_classes)]))
-    top_k, other_k = int(s.top_rate * n_rows + 0.5), int(s.other_rate * n_rows + 0.5)
-    if top_k == 0 or top_k >= n_rows:
-        return state.withColumn("m", ones)
-    g, h, m = [], [], []
-    for k in range(n_classes):
-        size, key = F.abs(F.col("g")[k]), order_key("rid", seed + k)
-        small = state.select(size.alias("size"), "rid", key.alias("key"))
-        edge = _k_th(small, [F.desc("size"), F.asc("rid")], top_k, ["size", "rid"])
-        top = (size > edge["size"]) | ((size == edge["size"]) & (F.col("rid") <= edge["rid"]))
-        inside = small.where(~((F.col("size") > edge["size"]) | ((F.col("size") == edge["size"]) & (F.col("rid") <= edge["rid"]))))
-        cut = _k_th(inside, [F.asc("key"), F.asc("rid")], other_k, ["key", "rid"]) if other_k else None
-        other = (key < cut["key"]) | ((key == cut["key"]) & (F.col("rid") <= cut["rid"])) if cut else F.lit(other_k > 0)
-        scale = F.when(top, 1.0).otherwise((1.0 - s.top_rate) / s.other_rate if s.other_rate else 0.0)
-        g.append(F.col("g")[k] * scale), h.append(F.col("h")[k] * scale), m.append((top | other).cast("int"))
-    return state.withColumns({"g": F.array(*g), "h": F.array(*h), "m": F.array(*m)})
-
-
-def gradients(state: DataFrame, objective: objectives.Objective, n_classes: int) -> DataFrame:
-    """Adds g and h, arrays by class, times the weight."""
-    y, w = F.col("label").cast("double"), F.col("weight").cast("double")
-    if n_classes == 1:
-        p = F.col("score")[0]
-        return state.withColumns({"g": F.array(objective.grad(p, y) * w), "h": F.array(objective.hess(p, y) * w)})
-    q = state.withColumn("_q", objectives.softmax(F.col("score")))
-    g = F.transform("_q", lambda x, k: (x - (k == y.cast("int")).cast("double")) * w)
-    return q.withColumns({"g": g, "h": F.transform("_q", lambda x: F.greatest(x * (1.0 - x), F.lit(1e-6)) * w)}).drop("_q")
-
-
-def _add_trees(state: DataFrame, parts: list[tuple[int, Tree, float]], last: np.ndarray, n_classes: int, leaf: bool = False) -> DataFrame:
-    """score[k] += factor * value of the row's leaf, for each (k, tree, factor); with ``leaf``, the last tree's leaf too."""
-    shared = state.sparkSession.sparkContext.broadcast([(k, t.arrays(), x) for k, t, x in parts])
-    names = [f.name for f in state.schema if f.name not in ("score", "leaf")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bins, score = _bins_of(b), _array(b, "score", n_classes).copy()
-            at = np.zeros(b.num_rows, np.int32)
-            for k, t, x in shared.value:
-                at = leaf_of_bins(t, bins, last)
-                score[:, k] += x * t["value"][at]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, score.size + 1, n_classes, dtype=np.int32)), pa.array(score.ravel()))
-            extra = [pa.array(at)] if leaf else []
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], lists, *extra], [*names, "score", *(["leaf"] if leaf else [])])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name in names)
-    return state.mapInArrow(run, f"{schema}, score array<double>" + (", leaf int" if leaf else ""))
-
-
-def renewed(residuals: DataFrame, objective: objectives.Objective) -> dict[int, float]:
-    """The leaf values that minimise the loss of (leaf, r), over all rows and without weights."""
+def renewed(rows: DataFrame, emit, objective: objectives.Objective, leaves: Sequence[int]) -> dict[int, float]:
+    """The leaf values that minimise the loss over all rows' residuals, without weights; ``emit`` makes leaves and residuals of a batch."""
     alpha = objective.alpha if objective.name == "quantile" else 0.5
-    q = nearest_rank(residuals, "r", alpha, ["leaf"])
+    place = np.full(max(leaves) + 1, -1)
+    place[list(leaves)] = np.arange(len(leaves))
+
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        leaf, r = emit(b)
+        return place[leaf], sortable(r)
+
+    sizes: list[np.ndarray] = []
+
+    def rank(size: np.ndarray) -> np.ndarray:
+        sizes.append(size)
+        return np.minimum(np.floor(alpha * np.maximum(size - 1, 0) + 0.5), np.maximum(size - 1, 0))
+
+    key, *_ = select(rows, keys, rank, len(leaves))
+    q = unsorted(key)
     if objective.name == "huber":
-        d = objective.delta
-        q = residuals.join(F.broadcast(q), "leaf").groupBy("leaf").agg((F.first("q") + F.avg(objectives.clamp(F.col("r") - F.col("q"), -d, d))).alias("q"))
-    return {r["leaf"]: float(r["q"]) for r in q.collect()}
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(leaves))
+            for b in batches:
+                leaf, r = emit(b)
+                at = place[leaf]
+                total += np.bincount(at, np.clip(r - q[at], -objective.delta, objective.delta), len(leaves))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(leaves))), pa.array(total)], ["leaf", "s"])
+
+        got = rows.mapInArrow(near, "leaf long, s double").groupBy("leaf").agg(F.sum("s").alias("s")).toArrow()
+        total = np.zeros(len(leaves))
+        total[got["leaf"].to_numpy()] = got["s"].to_numpy()
+        q = q + total / np.maximum(sizes[0], 1)
+    return {leaf: float(x) for leaf, x, n in zip(leaves, q, sizes[0]) if n}
 
 
 def dart_scales(k: int, rate: float) -> tuple[float, float]:
@@ -220,39 +175,92 @@ class Patience:
 
 
 class _Scores:
-    """A binned table with its running scores: kept in memory and on disk, cut off its past now and then."""
-
-    def __init__(self, table: DataFrame, start: list[float], trees: list[Tree], rate: float, n_bins: np.ndarray):
-        self.last, self.k, self.rate, self.steps = n_bins - 1, len(start), rate, 0
-        first = table.withColumn("score", F.array(*[F.lit(float(x)) for x in start]))
-        self.df = _add_trees(first, [(i % self.k, t, rate) for i, t in enumerate(trees)], self.last, self.k) if trees else first
-        self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Blocks with their running scores: kept in memory and on disk, and written to a table now and then."""
+
+    def __init__(self, ds: BinnedDataset, start: list[float], trees: list[Tree], rate: float):
+        n_bins, k = ds.cuts.n_bins, len(start)
+        self.last, self.k, self.steps, self.path, self.before = n_bins - 1, k, 0, None, None
+        kind, width = B.bin_type(n_bins), len(n_bins)
+        self.read: Reader = lambda batch: B.read(batch, width, kind, k)
+        replay = _adding([(i % k, t, rate) for i, t in enumerate(trees)], self.last)
+        begin = np.array(start)
+        unscored: Reader = lambda batch: B.read(batch, width, kind)
+        self.df = _mapped(ds.blocks, unscored, lambda b: replay(b.with_score(np.repeat(begin[None, :], len(b), 0)))).persist(StorageLevel.MEMORY_AND_DISK)
 
     def add(self, parts: list[tuple[int, Tree, float]]) -> None:
-        before = self.df
-        after = _add_trees(before, parts, self.last, self.k)
-        self.steps += 1
-        if self.steps % CHECKPOINT_ROUNDS == 0:
-            after = checkpoint(after)
-        self.df = after.persist(StorageLevel.MEMORY_AND_DISK)
-        self.df.count()
-        before.unpersist()
+        """The next job that reads the scores also makes them; what they come from is let go one step later."""
+        if self.before is not None:
+            self.before.unpersist()
+        after, self.steps = _mapped(self.df, self.read, _adding(parts, self.last)), self.steps + 1
+        self.before = self.df
+        if self.steps % TABLE_ROUNDS:
+            self.df = after.persist(StorageLevel.MEMORY_AND_DISK)
+            return
+        old, (table, self.path) = self.path, written(after)
+        self.df = table.persist(StorageLevel.MEMORY_AND_DISK)
+        if old:
+            remove(self.df.sparkSession, old)
+
+    def loss(self, objective: objectives.Objective) -> float:
+        read = self.read
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                each = [objective.loss(b.score if objective.n_classes > 1 else b.score[:, 0], b.label.astype(np.float64)) for b in read(batch)]
+                if each:
+                    yield pa.RecordBatch.from_arrays([pa.array([float(sum(x.sum() for x in each))]), pa.array([sum(map(len, each))])], ["s", "n"])
+
+        total, n = self.df.mapInArrow(run, "s double, n long").agg(F.sum("s"), F.sum("n")).first()
+        return float(total / n)
+
+    def close(self) -> None:
+        for df in (self.before, self.df):
+            if df is not None:
+                df.unpersist()
+        if self.path:
+            remove(self.df.sparkSession, self.path)
+
+
+def labels(ds: BinnedDataset) -> DataFrame:
+    """(label, part) of every row of the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("label"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.float32))], ["label"])
+
+    return ds.blocks.mapInArrow(run, "label float").withColumn("part", F.spark_partition_id())
+
+
+def _residuals(tree: Tree, read: Reader, last: np.ndarray):
+    """(leaf, label - score) of a batch's rows."""
+    t = tree.arrays()
+
+    def emit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(leaf_of_bins(t, b.bins, last), b.label.astype(np.float64) - b.score[:, 0]) for b in read(batch)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    return emit
 
 
 def train(params, data: BinnedDataset | DataFrame, features: Sequence[str] | None = None, label: str | None = None, weight: str | None = None, row_id: str | None = None, eval_set: BinnedDataset | DataFrame | None = None, init_model: Model | None = None, on_round: Callable[[int, float | None], None] | None = None, bin_edges=None) -> Model:
     """Boosts ``booster.n_iters`` rounds on a table or a binned dataset.
 
-    Rows with a null label are an error.  With ``init_model`` its cuts are used, its trees
+    Rows with a null label are an error.  ``tree.monotone_constraints`` may map names to signs.  With ``init_model`` its cuts are used, its trees
     replayed and more added.  An evaluation set is scored each round; early stopping keeps
     the rounds up to the best.
     """
-    config = as_config(params).check()
+    names = data.features if isinstance(data, BinnedDataset) else list(features or [])
+    config = as_config(by_position(params, names)).check()
     b = config.booster
     made: list[BinnedDataset] = []
     if isinstance(data, BinnedDataset):
         ds = data
         if init_model is not None and not ds.cuts.same(init_model.cuts):
             raise ValueError("the dataset's cuts are not the initial model's")
+        asked = set(given_keys(by_position(params, names))) if not isinstance(params, Config) else {k for k, v in config.to_dict().items() if v != Config().to_dict()[k]}
+        if odd := sorted(k for k in asked if k.startswith("bin_mapper.") and config.to_dict()[k] != getattr(ds.config, k.split(".")[1])):
+            raise ValueError(f"the dataset is binned already: {', '.join(odd)} would have no effect")
         config.bin_mapper = ds.config
     else:
         if not features or label is None:
@@ -268,7 +276,7 @@ def train(params, data: BinnedDataset | DataFrame, features: Sequence[str] | Non
     if b.dart_drop_rate > 0 and eval_set is not None:
         raise ValueError("dropped trees and an evaluation set don't go together")
     if eval_set is not None and not isinstance(eval_set, BinnedDataset):
-        eval_set = BinnedDataset(eval_set, ds.features, ds.label, None, row_id, cuts=ds.cuts, config=config.bin_mapper)
+        eval_set = BinnedDataset(eval_set, ds.features, ds.label, None, row_id if row_id in eval_set.columns else None, cuts=ds.cuts, config=config.bin_mapper)
         made.append(eval_set)
     if eval_set is not None and not eval_set.cuts.same(ds.cuts):
         raise ValueError("the evaluation set has other cuts")
@@ -276,41 +284,39 @@ def train(params, data: BinnedDataset | DataFrame, features: Sequence[str] | Non
         raise ValueError("an evaluation set takes no weights")
     objective = objectives.of(config)
     k = objective.n_classes
-    n_rows, bad = ds.table.agg(F.count("*"), F.sum((F.col("label").isNull() | F.isnan("label")).cast("int"))).first()
+    own = labels(ds)
+    n_rows, bad, n_parts = own.agg(F.count("*"), F.sum((F.col("label").isNull() | F.isnan("label")).cast("int")), F.count_distinct("part")).first()
     if not n_rows:
         raise ValueError("no rows to train on")
     if bad:
         raise ValueError("labels must not be missing")
-    start = init_model.init if init_model else objectives.softmax_init(ds.table, k) if k > 1 else [objective.init_score(ds.table)]
+    start = init_model.init if init_model else objectives.softmax_init(own, k) if k > 1 else [objective.init_score(own)]
     trees = [Tree(**{n: list(x) for n, x in vars(t).items()}) for t in init_model.trees] if init_model else []
     warm = len(trees) // k
     n_bins = ds.cuts.n_bins
     rng = random.Random(b.random_seed)
-    scores = _Scores(ds.table, start, trees, b.learning_rate, n_bins)
+    scores = _Scores(ds, start, trees, b.learning_rate)
     valid = None
     if eval_set is not None:
-        if not eval_set.table.limit(1).count():
+        if not eval_set.blocks.limit(1).count():
             raise ValueError("the evaluation set is empty")
-        valid = _Scores(eval_set.table, start, trees, b.learning_rate, n_bins)
+        valid = _Scores(eval_set, start, trees, b.learning_rate)
     history = [float("nan")] * warm if valid else []
     patience = Patience(b.early_stopping_rounds)
     try:
         for i in range(b.n_iters):
             dart = b.dart_drop_rate > 0 and k == 1
             dropped = [j for j in range(len(trees)) if rng.random() < b.dart_drop_rate] if dart and trees else []
-            base = _add_trees(scores.df, [(0, trees[j], -b.learning_rate) for j in dropped], scores.last, k) if dropped else scores.df
-            state = sampled(gradients(base, objective, k), config, rng.randrange(1 << 20), k, n_rows)
-            if config.dispatch.sampler_name == "goss" or dropped:
-                state = state.persist(StorageLevel.MEMORY_AND_DISK)
+            base = _mapped(scores.df, scores.read, _adding([(0, trees[j], -b.learning_rate) for j in dropped], scores.last)).persist(StorageLevel.MEMORY_AND_DISK) if dropped else scores.df
             chosen = []
             for c in range(k):
                 sel = np.zeros(len(ds.features), bool)
                 sel[feature_subset(len(ds.features), config.tree.feature_fraction, config.tree.feature_seed + (warm + i) * k + c)] = True
                 chosen.append(sel)
-            new = grow(state, config, ds.cuts.cuts, k, chosen)
+            prepare = sampler(base, scores.read, config, objective, rng.randrange(1 << 20), n_rows)
+            new = grow(Search(base, scores.read, prepare, config.tree, n_bins, chosen, n_parts), config, ds.cuts.cuts, chosen)
             if objective.renews:
-                leaves = _add_trees(base, [(0, new[0], 0.0)], scores.last, k, leaf=True)
-                values = renewed(leaves.select("leaf", (F.col("label").cast("double") - F.col("score")[0]).alias("r")), objective)
+                values = renewed(base, _residuals(new[0], scores.read, scores.last), objective, new[0].leaves)
                 for leaf in new[0].leaves:
                     new[0].value[leaf] = values.get(leaf, new[0].value[leaf])
             rate = b.learning_rate
@@ -323,17 +329,16 @@ def train(params, data: BinnedDataset | DataFrame, features: Sequence[str] | Non
                     parts.append((0, trees[j], rate))
                 new[0].value = [v * fresh for v in new[0].value]
                 parts.append((0, new[0], rate))
+                base.unpersist()
             else:
                 parts = [(c, t, rate) for c, t in enumerate(new)]
-            scores.add(parts)
-            state.unpersist()
             trees += new
+            if i + 1 < b.n_iters:
+                scores.add(parts)
             loss = None
             if valid:
                 valid.add(parts)
-                y = F.col("label").cast("double")
-                each = objectives.softmax_loss(F.col("score"), y) if k > 1 else objective.loss(F.col("score")[0], y)
-                loss = float(valid.df.agg(F.avg(each)).first()[0])
+                loss = valid.loss(objective)
                 history.append(loss)
             if on_round:
                 on_round(i, loss)
@@ -342,9 +347,9 @@ def train(params, data: BinnedDataset | DataFrame, features: Sequence[str] | Non
             if valid and patience.stop(loss):
                 break
     finally:
-        scores.df.unpersist()
+        scores.close()
         if valid:
-            valid.df.unpersist()
+            valid.close()
         for d in made:
             d.unpersist()
     model = Model(config, ds.cuts, start, trees, history)

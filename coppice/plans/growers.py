@@ -1,14 +1,14 @@
-"""Tree growers as coroutines: each yields the nodes whose cells it needs and is sent their histograms.
+"""Tree growers as coroutines: each asks for the best splits of the nodes it has just made, and is sent them.
 
-A request is the tree grown so far and a list of its nodes; the answer maps each to an
-array [features, bins, 3] of grad, hess and count.  The caller may so answer the
-requests of several trees (one a class) with one job.
+What a grower knows of a node are its sums, bounds and path; cells of histograms stay with the search that
+answers.  The caller may answer the asks of several trees (one a class) with one job.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Generator
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -16,144 +16,127 @@ from ..config import Tree as TreeConfig
 from ..operators import split as S
 from .trees import Tree
 
-Cells = dict[int, np.ndarray]
-Request = tuple[Tree, list[int]]
-Grower = Generator[Request, Cells, Tree]
+Sums = tuple[float, float, int]
+#: What a node's search is bound by: features that may split it, and the range of its children's weights.
+Limits = tuple[np.ndarray, float, float]
 
 
-def allowed_features(groups: list[frozenset[int]], path: frozenset[int], selected: np.ndarray) -> np.ndarray:
-    """Features that may split below ``path``: those of the groups that hold it all, and a lone feature itself."""
-    if not groups or not path:
-        return selected
-    ok = np.zeros(len(selected), bool)
-    for g in groups:
-        if path <= g:
-            ok[[f for f in g if f < len(ok)]] = True
-    if len(path) == 1:
-        ok[next(iter(path))] = True
-    return ok & selected
-
-
-def parse_groups(texts: list[str]) -> list[frozenset[int]]:
-    """'0,1' and '0+1' are groups of features."""
-    out = []
-    for t in texts:
-        parts = [p.strip() for p in t.replace("+", ",").split(",") if p.strip()]
-        if not parts or not all(p.isdigit() for p in parts):
-            raise ValueError(f"an interaction group is a list of feature numbers, not {t!r}")
-        out.append(frozenset(map(int, parts)))
-    return out
+@dataclass
+class Ask:
+    """Best splits of the children of ``pairs`` (parent, left, right), or of the root where there are none."""
 
+    tree: Tree
+    pairs: list[tuple[int, int, int]]
+    limits: dict[int, Limits]
+    level: bool = False  # one cut for all of them
 
-class _Frontier:
-    """What the growers know of an open node: cells, bounds and the features on its path."""
 
-    def __init__(self, config: TreeConfig, cuts: list[np.ndarray], selected: np.ndarray):
-        self.config, self.cuts, self.selected = config, cuts, selected
-        self.n_bins = np.array([len(c) for c in cuts])
-        self.groups = parse_groups(config.interaction_constraints)
-        self.sign = [*config.monotone_constraints, *[0] * len(cuts)]
-        self.cells: Cells = {}
-        self.bounds: dict[int, tuple[float, float]] = {}
-        self.path: dict[int, frozenset[int]] = {}
+@dataclass
+class Answer:
+    splits: dict[int, S.Split] = field(default_factory=dict)  # of the nodes that have one
+    total: Sums = (0.0, 0.0, 0)  # of the root, when it is asked for
 
-    def root(self, cells: np.ndarray) -> None:
-        self.cells[0], self.bounds[0], self.path[0] = cells, (-np.inf, np.inf), frozenset()
 
-    def find(self, node: int) -> S.Split | None:
-        lo, hi = self.bounds[node]
-        return S.find(self.cells[node], self.n_bins, self.config, allowed_features(self.groups, self.path[node], self.selected), lo, hi)
+Grower = Generator[Ask, Answer, Tree]
 
-    def weight(self, g: float, h: float, node: int) -> float:
-        return float(S.np_weight(np.float64(g), np.float64(h), self.config.lambda_l1, self.config.lambda_l2, *self.bounds[node]))
 
-    def inherit(self, node: int, s: S.Split, left: int, right: int) -> None:
-        lo, hi = self.bounds[node]
-        self.bounds[left] = self.bounds[right] = (lo, hi)
-        if sign := self.sign[s.fid]:
-            mid = (self.weight(s.left[0], s.left[1], node) + self.weight(s.right[0], s.right[1], node)) / 2
-            low, high = (left, right) if sign > 0 else (right, left)
-            self.bounds[low], self.bounds[high] = (lo, min(hi, mid)), (max(lo, mid), hi)
-        self.path[left] = self.path[right] = self.path[node] | {s.fid}
+def interaction_groups(texts: list[str]) -> list[frozenset[int]]:
+    """Sets of feature numbers from '0,1' or '0+1'."""
+    groups = [t.replace("+", ",").split(",") for t in texts]
+    for text, parts in zip(texts, groups):
+        if not any(p.strip() for p in parts) or not all(p.strip().isdigit() for p in parts if p.strip()):
+            raise ValueError(f"an interaction group is a list of feature numbers, not {text!r}")
+    return [frozenset(int(p) for p in parts if p.strip()) for parts in groups]
 
-    def set_leaf(self, tree: Tree, node: int, bounded: bool = True) -> None:
-        g, h = self.cells[node][0, :, 0].sum(), self.cells[node][0, :, 1].sum()
-        lo, hi = self.bounds[node] if bounded else (-np.inf, np.inf)
-        tree.value[node] = float(S.np_weight(g, h, self.config.lambda_l1, self.config.lambda_l2, lo, hi))
 
+def splittable(groups: list[frozenset[int]], path: frozenset[int]) -> frozenset[int] | None:
+    """Features that may split a node below splits by ``path``; None: all.
 
-def _children(pairs: list[tuple[int, int, int]], tree: Tree, front: _Frontier) -> Generator[Request, Cells, None]:
-    """Cells of (parent, left, right): the smaller child's are asked for, the other's are what is left (ties: left)."""
-    if not pairs:
-        return
-    small = [left if tree.cover[left] <= tree.cover[right] else right for _, left, right in pairs]
-    got = yield tree, small
-    for (parent, left, right), s in zip(pairs, small):
-        front.cells[s] = got[s]
-        rest = front.cells[parent] - got[s]
-        rest[rest[..., 2] < 0.5] = 0  # what rounding leaves in empty cells
-        front.cells[right if s == left else left] = rest
+    They are the union of the groups that hold the whole path, and a path's only feature.
+    """
+    if not groups or not path:
+        return None
+    around = frozenset().union(*(g for g in groups if g >= path))
+    return around | path if len(path) == 1 else around
 
 
-def _commit(tree: Tree, front: _Frontier, node: int, s: S.Split) -> tuple[int, int, int]:
-    left, right = tree.split(node, s.fid, s.bin, float(front.cuts[s.fid][s.bin]), s.default_left, s.gain, (s.left[2], s.right[2]))
-    front.inherit(node, s, left, right)
-    return node, left, right
+class _Frontier:
+    """Sums, bounds and paths of a growing tree's nodes."""
 
+    def __init__(self, config: TreeConfig, cuts: list[np.ndarray], selected: np.ndarray):
+        self.config, self.cuts, self.selected, self.tree = config, cuts, selected, Tree()
+        self.groups = interaction_groups(config.interaction_constraints)
+        self.sign = [*config.monotone_constraints, *[0] * len(cuts)]
+        self.total: dict[int, Sums] = {}
+        self.bounds: dict[int, tuple[float, float]] = {0: (-np.inf, np.inf)}
+        self.path: dict[int, frozenset[int]] = {0: frozenset()}
+        self.tree.add(0.0)
+
+    def begin(self, level: bool = False) -> Generator[Ask, Answer, Answer]:
+        answer = yield Ask(self.tree, [], {0: self.limits(0)}, level)
+        self.total[0] = answer.total
+        self.tree.cover[0] = float(answer.total[2])
+        return answer
+
+    def limits(self, node: int) -> Limits:
+        some = splittable(self.groups, self.path[node])
+        mask = self.selected if some is None else self.selected & np.isin(np.arange(len(self.selected)), list(some))
+        return mask, *self.bounds[node]
+
+    def ask(self, pairs: list[tuple[int, int, int]], level: bool = False) -> Ask:
+        return Ask(self.tree, pairs, {n: self.limits(n) for _, *kids in pairs for n in kids}, level)
+
+    def weight(self, sums: Sums, lo: float = -np.inf, hi: float = np.inf) -> float:
+        return float(S.np_weight(np.float64(sums[0]), np.float64(sums[1]), self.config.lambda_l1, self.config.lambda_l2, lo, hi))
+
+    def split(self, node: int, s: S.Split, gain: float | None = None) -> tuple[int, int, int]:
+        left, right = self.tree.split(node, s.fid, s.bin, float(self.cuts[s.fid][s.bin]), s.default_left, s.gain if gain is None else gain, (float(s.left[2]), float(s.right[2])))
+        self.total[left], self.total[right] = s.left, s.right
+        lo, hi = self.bounds[left] = self.bounds[right] = self.bounds[node]
+        if sign := self.sign[s.fid]:
+            mid = (self.weight(s.left, lo, hi) + self.weight(s.right, lo, hi)) / 2
+            low, high = (left, right) if sign > 0 else (right, left)
+            self.bounds[low], self.bounds[high] = (lo, min(hi, mid)), (max(lo, mid), hi)
+        self.path[left] = self.path[right] = self.path[node] | {s.fid}
+        return node, left, right
 
-def _start(config: TreeConfig, cuts: list[np.ndarray], selected: np.ndarray) -> Generator[Request, Cells, tuple[Tree, _Frontier]]:
-    tree, front = Tree(), _Frontier(config, cuts, selected)
-    tree.add(0.0)
-    got = yield tree, [0]
-    front.root(got[0])
-    tree.cover[0] = float(round(got[0][0, :, 2].sum()))
-    return tree, front
+    def value(self, node: int, bounded: bool = True) -> float:
+        return self.weight(self.total[node], *(self.bounds[node] if bounded else ()))
 
 
 def depthwise(config: TreeConfig, cuts: list[np.ndarray], selected: np.ndarray) -> Grower:
     """Splits the whole frontier, level by level."""
-    tree, front = yield from _start(config, cuts, selected)
-    level = [0]
+    front = _Frontier(config, cuts, selected)
+    found = (yield from front.begin()).splits
     for depth in range(config.max_depth):
-        found = [(n, s) for n in level if (s := front.find(n)) is not None]
-        pairs = [_commit(tree, front, n, s) for n, s in found]
-        if not pairs:
+        pairs = [front.split(n, s) for n, s in sorted(found.items())]
+        if not pairs or depth + 1 == config.max_depth:
             break
-        yield from _children(pairs, tree, front)
-        level = [c for _, left, right in pairs for c in (left, right)]
-    for n in tree.leaves:
-        front.set_leaf(tree, n)
-    return tree
+        found = (yield front.ask(pairs)).splits
+    for n in front.tree.leaves:
+        front.tree.value[n] = front.value(n)
+    return front.tree
 
 
 def levelwise(config: TreeConfig, cuts: list[np.ndarray], selected: np.ndarray) -> Grower:
     """One split a level for all of its nodes, empty ones too; leaves take no bounds."""
-    tree, front = yield from _start(config, cuts, selected)
-    level = [0]
-    for _ in range(config.max_depth):
-        s = S.find_level([front.cells[n] for n in level], front.n_bins, config, selected)
-        if s is None:
+    front = _Frontier(config, cuts, selected)
+    found = (yield from front.begin(level=True)).splits
+    for depth in range(config.max_depth):
+        if not found:
             break
-        gain, fid, at, default_left = s
-        pairs = []
-        for n in level:
-            left, _, _, _ = S._sides(front.cells[n], front.n_bins)
-            c = left[fid, at, 0 if default_left else 1, 2]
-            all_rows = front.cells[n][fid, :, 2].sum()
-            kids = tree.split(n, fid, at, float(cuts[fid][at]), default_left, gain if n == level[0] else 0.0, (float(round(c)), float(round(all_rows - c))))
-            for k in kids:
-                front.bounds[k], front.path[k] = (-np.inf, np.inf), frozenset()
-            pairs.append((n, *kids))
-        tree.levels.append(level[0])
-        yield from _children(pairs, tree, front)
-        level = [c for _, left, right in pairs for c in (left, right)]
-    for n in tree.leaves:
-        front.set_leaf(tree, n, bounded=False)
-    return tree
+        nodes = sorted(found)
+        pairs = [front.split(n, found[n], None if n == nodes[0] else 0.0) for n in nodes]
+        front.tree.levels.append(nodes[0])
+        if depth + 1 < config.max_depth:
+            found = (yield front.ask(pairs, level=True)).splits
+    for n in front.tree.leaves:
+        front.tree.value[n] = front.value(n, bounded=False)
+    return front.tree
 
 
 def leafwise(config: TreeConfig, cuts: list[np.ndarray], selected: np.ndarray) -> Grower:
-    """Best-first by gain up to ``max_leaves`` leaves (0: no bound), in at most ``max_depth`` requests.
+    """Best-first by gain up to ``max_leaves`` leaves (0: no bound), in at most ``max_depth`` asks.
 
     A node's best split doesn't depend on the order in which others are split.  So each
     round replays the heap over the splits known so far and expands, at once, every
@@ -161,46 +144,40 @@ def leafwise(config: TreeConfig, cuts: list[np.ndarray], selected: np.ndarray) -
     only delay a node, so none that the true order splits is missed.  The last replay
     numbers the nodes in the order of their pops; ties go to the lower number.
     """
-    work, front = yield from _start(config, cuts, selected)
-    budget = config.max_leaves - 1 if config.max_leaves > 0 else 1 << 60
-    depth_of, split_of = {0: 0}, {}
-    if config.max_depth > 0 and (s := front.find(0)) is not None:
-        split_of[0] = s
+    front = _Frontier(config, cuts, selected)
+    answer = yield from front.begin()
+    known = dict(answer.splits) if config.max_depth else {}
+    work, budget, depth_of = front.tree, config.max_leaves - 1 if config.max_leaves > 0 else 1 << 60, {0: 0}
 
     def replay() -> tuple[list[int], Tree, dict[int, int]]:
         """(nodes of ``work`` in the order they are split, the tree of that order, node of work of each of its nodes)."""
         out, of = Tree(), {0: 0}
         out.add(work.cover[0])
-        heap = [(-split_of[0].gain, 0)] if 0 in split_of else []
+        heap = [(-known[0].gain, 0)] if 0 in known else []
         order: list[int] = []
         while heap and len(order) < budget:
             _, n = heapq.heappop(heap)
             w = of[n]
             order.append(w)
-            s = split_of[w]
-            kids = out.split(n, s.fid, s.bin, float(cuts[s.fid][s.bin]), s.default_left, s.gain, (s.left[2], s.right[2]))
+            s = known[w]
+            kids = out.split(n, s.fid, s.bin, float(cuts[s.fid][s.bin]), s.default_left, s.gain, (float(s.left[2]), float(s.right[2])))
             for k, c in zip(kids, (work.left[w], work.right[w])):
                 of[k] = c
-                if c >= 0 and c in split_of:
-                    heapq.heappush(heap, (-split_of[c].gain, k))
+                if c in known:
+                    heapq.heappush(heap, (-known[c].gain, k))
         return order, out, of
 
     for depth in range(config.max_depth):
         todo = sorted(n for n in replay()[0] if depth_of[n] == depth and work.left[n] < 0)
         if not todo:
             break
-        pairs = [_commit(work, front, n, split_of[n]) for n in todo]
-        yield from _children(pairs, work, front)
-        for n, left, right in pairs:
-            for k in (left, right):
-                depth_of[k] = depth + 1
-                if depth + 1 < config.max_depth and (s := front.find(k)) is not None:
-                    split_of[k] = s
+        pairs = [front.split(n, known[n]) for n in todo]
+        depth_of |= {k: depth + 1 for _, *kids in pairs for k in kids}
+        if depth + 1 < config.max_depth:
+            known |= (yield front.ask(pairs)).splits
     _, tree, of = replay()
     for n in tree.leaves:
-        w = of[n]
-        front.set_leaf(work, w)
-        tree.value[n] = work.value[w]
+        tree.value[n] = front.value(of[n])
     return tree
 
 

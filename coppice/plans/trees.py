@@ -70,31 +70,3 @@ class Tree:
 
 
 TABLE = "tree int, node int, fid int, threshold float, left int, right int, default_left boolean, value double, gain double, cover double"
-
-
-def leaf_of_bins(t: dict[str, np.ndarray], bins: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The leaf of each row of ``bins`` [rows, features]."""
-    node = np.zeros(len(bins), np.int32)
-    while True:
-        f = t["fid"][node]
-        live = np.flatnonzero(f >= 0)
-        if not len(live):
-            return node
-        n, f = node[live], f[live]
-        b = bins[live, f]
-        left = np.where(b == last[f], t["default_left"][n], b <= t["bin"][n])
-        node[live] = np.where(left, t["left"][n], t["right"][n])
-
-
-def leaf_of_values(t: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """The leaf of each row of float32 values; infinity follows missing values, as it does in bins."""
-    node = np.zeros(len(x), np.int32)
-    while True:
-        f = t["fid"][node]
-        live = np.flatnonzero(f >= 0)
-        if not len(live):
-            return node
-        n, f = node[live], f[live]
-        v = x[live, f]
-        left = np.where(np.isnan(v) | (v == np.inf), t["default_left"][n], v <= t["threshold"][n])
-        node[live] = np.where(left, t["left"][n], t["right"][n])

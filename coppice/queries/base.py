@@ -32,6 +32,20 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 EVENTS = "ev AS (SELECT event_id, CASE WHEN value <= 100 THEN value::FLOAT END AS v, hour(ts)::FLOAT AS h, (props->>'$.k')::FLOAT AS k, value, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS kind, CASE WHEN event_type = 'purchase' THEN 1.0e0 ELSE 0.0e0 END AS buy FROM events)"
 
+PRIORITY = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    """id, a (month), b (a day of the month, missing for every seventh id), c (the customer's last digits), y (price), k (status 0 to 2)."""
+    status = F.array_position(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("o_orderstatus")).cast("int") - 1
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.month("o_orderdate").cast("float").alias("a"), F.when(F.col("o_orderkey") % 7 != 0, F.dayofmonth("o_orderdate").cast("float")).alias("b"),
+        (F.col("o_custkey") % 100).cast("float").alias("c"), F.col("o_totalprice").alias("y"), status.alias("k"),
+    )
+
+
+ORDERS = "ord AS (SELECT o_orderkey AS id, month(o_orderdate) AS a, CASE WHEN o_orderkey % 7 <> 0 THEN day(o_orderdate) END AS b, o_custkey % 100 AS c, o_totalprice::FLOAT::DOUBLE AS y, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS k FROM orders)"
+
 SIGMOID = "(1.0e0 / (1.0e0 + exp(-({}))))"
 
 

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BinMapper, Data
+from ..config import BinMapper, Config, Data
 from ..functions.ranking import order_key, shared_dir
 from ..operators import binning as B
 from ..operators import encoding as E
 from ..operators import samplers
+from ..plans import booster
+from ..plans.dataset import BinnedDataset
 from ..sources import tables, text
 from .base import EVENTS, LINES, Catalog, events, key, lines, table
 
@@ -22,9 +26,16 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
 
 
-@query()
+def _uniform(column: str) -> str:
+    return f"(('0x' || substr(md5(row_id || ':' || {column} || ':42'), 1, 8))::BIGINT / 4294967296.0e0)"
+
+
+@query(f"""WITH x AS (SELECT row_id, {', '.join(f'{_uniform(str(i))}::FLOAT AS f{i}' for i in range(10))}, greatest({_uniform("'a'")}, 1e-12) AS u1, {_uniform("'b'")} AS u2 FROM (SELECT unnest(range(2000)) AS row_id)),
+s AS (SELECT *, {' + '.join(f"{0.6**b}e0 * (10 * sin(pi() * f{5 * b}::DOUBLE * f{5 * b + 1}::DOUBLE) + 20 * pow(f{5 * b + 2}::DOUBLE - 0.5, 2) + 10 * f{5 * b + 3}::DOUBLE + 5 * f{5 * b + 4}::DOUBLE)" for b in range(2))} AS s FROM x)
+SELECT row_id, {', '.join(f'round(f{i}::DOUBLE, 5) AS f{i}' for i in range(10))}, round(s + (SELECT stddev_pop(s) FROM s) / 3 * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2), 3) AS label FROM s""")
 def gen_friedman(spark, d):
-    return tables.friedman(spark, 2000, 10)
+    got = tables.friedman(spark, 2000, 10)
+    return got.select("row_id", *[F.round(F.col(f"f{i}").cast("double"), 5).alias(f"f{i}") for i in range(10)], F.round("label", 3).alias("label"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) > count(*) OVER () - greatest(1, (count(*) OVER () * 2) // 10) AS is_eval FROM orders")
@@ -101,7 +112,18 @@ def cuts_edges(spark, d):
     return _cuts_frame(spark, B.fit_cuts(lines(spark, d), ["q"], BinMapper(), edges={"q": [10.0, 20.0, 40.0]}))
 
 
-@query()
+HEAVY = "CASE WHEN event_id % 3 = 0 THEN 0.0e0 ELSE value END::FLOAT"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM events), v0 AS (SELECT {HEAVY} AS v, count(*) AS c FROM events GROUP BY 1),
+v AS MATERIALIZED (SELECT v, c, row_number() OVER (ORDER BY v) AS i, sum(c) OVER (ORDER BY v) AS ends, c * 63 >= n AS heavy, lead(c * 63 >= n, 1, false) OVER (ORDER BY v) AS before_heavy, lead(v) OVER (ORDER BY v) AS next,
+    sum(CASE WHEN c * 63 >= n THEN 0 ELSE c END) OVER (ORDER BY v) AS light FROM v0, n),
+k AS (SELECT greatest(1, 63 - count(*) FILTER (WHERE heavy)) AS shares, max(light) AS light, max(i) AS last FROM v),
+b(i, shares, size, made) AS (SELECT 0::BIGINT, shares::BIGINT, light::DOUBLE / shares, 0 FROM k UNION ALL
+    SELECT x.i, CASE WHEN NOT x.heavy AND b.shares > 1 THEN b.shares - 1 ELSE b.shares END, CASE WHEN NOT x.heavy AND b.shares > 1 THEN (SELECT light FROM k) - x.light ELSE b.size * CASE WHEN NOT x.heavy AND b.shares > 1 THEN b.shares - 1 ELSE 1 END END / CASE WHEN NOT x.heavy AND b.shares > 1 THEN b.shares - 1 ELSE 1 END, b.made + 1
+    FROM b, v x WHERE b.made < 62 AND x.i < (SELECT last FROM k) AND x.i = (SELECT min(y.i) FROM v y WHERE y.i > b.i AND (y.heavy OR y.ends - coalesce((SELECT z.ends FROM v z WHERE z.i = b.i), 0) >= b.size OR (y.before_heavy AND y.ends - coalesce((SELECT z.ends FROM v z WHERE z.i = b.i), 0) >= greatest(1, b.size / 2))))),
+u AS (SELECT DISTINCT ((v.v::DOUBLE + v.next::DOUBLE) / 2)::FLOAT AS v FROM b JOIN v USING (i) WHERE b.i > 0)
+SELECT 0 AS fid, row_number() OVER (ORDER BY v) - 1 AS bin, v::DOUBLE AS cut FROM u UNION ALL SELECT 0, (SELECT count(*) FROM u), 340282346638528859811704183484516925440.0::FLOAT::DOUBLE UNION ALL SELECT 0, (SELECT count(*) + 1 FROM u), 'inf'::DOUBLE""")
 def cuts_greedy(spark, d):
     src = table(spark, d, "events").select(F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value")).alias("x"))
     return _cuts_frame(spark, B.fit_cuts(src, ["x"], BinMapper(max_bin=64)))
@@ -137,26 +159,40 @@ def bin_range_join(spark, d):
     return e.join(r, (F.col("v") > F.col("lo")) & (F.col("v") <= F.col("hi"))).select("event_id", "bin")
 
 
+def _drawn(spark, d, seed, **sampler):
+    """(event_id, g, h) of the rows that a sampler draws at the score 50 for the label value, as training draws them."""
+    c = Config()
+    for k, v in sampler.items():
+        setattr(c.dispatch if k == "sampler_name" else c.sampler, k, v)
+    ds = BinnedDataset(events(spark, d), ["h"], "value", row_id="event_id")
+    scores, n = booster._Scores(ds, [50.0], [], 1.0), booster.labels(ds).count()
+    prepare, read = booster.sampler(scores.df, scores.read, c, booster.objectives.of(c), seed, n), scores.read
+
+    def run(batches):
+        for batch in batches:
+            for b in read(batch):
+                g, h, rows = prepare(b)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(b.rid[rows]), pa.array(g[rows]), pa.array(np.ones(len(rows)) if h is None else h[rows])], ["event_id", "g", "h"])
+
+    return scores.df.mapInArrow(run, "event_id long, g double, h double")
+
+
 @query(f"SELECT event_id FROM events WHERE {key('event_id', 3)} < 0.3 * 4294967296")
 def sample_bernoulli(spark, d):
-    return samplers.bernoulli(table(spark, d, "events").select("event_id"), "event_id", 0.3, 3)
+    return _drawn(spark, d, 3, sampler_name="bernoulli", subsample=0.3).select("event_id")
 
 
-GRAD = "g0 AS (SELECT event_id, 50.0e0 - value AS g FROM events), n AS (SELECT count(*) AS n FROM g0), r AS (SELECT *, row_number() OVER (ORDER BY abs(g) DESC, event_id) AS rn FROM g0, n)"
+GRAD = "g0 AS (SELECT event_id, 50.0e0 - value::FLOAT::DOUBLE AS g FROM events), n AS (SELECT count(*) AS n FROM g0), r AS (SELECT *, row_number() OVER (ORDER BY abs(g) DESC, event_id) AS rn FROM g0, n)"
 
 
 @query(f"WITH {GRAD} SELECT event_id, round(g, 4) AS g FROM r WHERE rn <= floor(0.2 * n + 0.5)")
 def goss_top(spark, d):
-    g = table(spark, d, "events").select("event_id", (50.0 - F.col("value")).alias("g"), F.lit(1.0).alias("h"))
-    out = samplers.goss(g, "event_id", 0.2, 0.1, 5)
-    return out.where("h = 1").select("event_id", F.round("g", 4).alias("g"))
+    return _drawn(spark, d, 5, sampler_name="goss").where("h = 1").select("event_id", F.round("g", 4).alias("g"))
 
 
 @query(f"WITH {GRAD}, o AS (SELECT *, row_number() OVER (ORDER BY {key('event_id', 5)}, event_id) AS o FROM r WHERE rn > floor(0.2 * n + 0.5)) SELECT event_id, round(g * (1 - 0.2e0) / 0.1e0, 4) AS g, round((1 - 0.2e0) / 0.1e0, 4) AS h FROM o WHERE o <= floor(0.1 * n + 0.5)")
 def goss_rest(spark, d):
-    g = table(spark, d, "events").select("event_id", (50.0 - F.col("value")).alias("g"), F.lit(1.0).alias("h"))
-    out = samplers.goss(g, "event_id", 0.2, 0.1, 5)
-    return out.where("h > 1").select("event_id", F.round("g", 4).alias("g"), F.round("h", 4).alias("h"))
+    return _drawn(spark, d, 5, sampler_name="goss").where("h > 1").select("event_id", F.round("g", 4).alias("g"), F.round("h", 4).alias("h"))
 
 
 @query(f"SELECT fid FROM (SELECT unnest(range(10)) AS fid) ORDER BY {key('fid', 2)} LIMIT 3")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import objectives as J
+from ..functions.ranking import shared_dir
+from ..operators import binning as B
 from ..operators.binning import Cuts, close
 from ..plans import booster, shap
-from ..plans.dataset import BinnedDataset
 from ..plans.model import Model
 from ..plans.trees import Tree
 from .base import EVENTS, SIGMOID, Catalog, events
@@ -89,11 +92,16 @@ def predict_leaf(spark, d):
     return got.select("event_id", F.col("leaf")[0].alias("leaf0"), F.col("leaf")[1].alias("leaf1"))
 
 
-@query(EV + f"round({RAW}, 6) AS raw FROM ev")
+def binned(m: Model, spark, d):
+    return B.bin_arrays(events(spark, d), m.cuts, ["event_id"])
+
+
+@query(EV + f"round({RAW}, 6) AS raw, round({SIGMOID.format(RAW)}, 6) AS probability, CASE WHEN v IS NULL OR v <= 50 THEN CASE WHEN h <= 11 THEN 3 ELSE 4 END ELSE CASE WHEN k <= 50 THEN 5 ELSE 6 END END AS leaf0 FROM ev")
 def predict_binned(spark, d):
-    m = fixed()
-    ds = BinnedDataset(events(spark, d), NAMES, "buy", row_id="event_id", cuts=m.cuts, keep=["event_id"])
-    return _r(m.raw_binned(ds.table), "raw")
+    """Raw scores, probabilities and leaves of a table of bins."""
+    m = fixed("logloss")
+    got = m.predict_leaf(m.predict_proba(m.raw(binned(m, spark, d), binned=True), binned=True), binned=True)
+    return got.select("event_id", F.round("raw", 6).alias("raw"), F.round("probability", 6).alias("probability"), F.col("leaf")[0].alias("leaf0"))
 
 
 # Explanation: the expectation of a tree for each subset of known features, by cover, written out.
@@ -124,6 +132,19 @@ def shap_values(spark, d):
     return got.select("event_id", *[F.round(F.col("contributions")[i], 6).alias(n) for i, n in enumerate(("phi_v", "phi_h", "phi_k", "bias"))])
 
 
+@query(EV + ", ".join(f"round({shapley(f)}, 6) AS phi_{f}" for f in NAMES) + f", round({BIAS}, 6) AS bias FROM ev")
+def shap_binned(spark, d):
+    m = fixed()
+    got = m.contributions(binned(m, spark, d), binned=True)
+    return got.select("event_id", *[F.round(F.col("contributions")[i], 6).alias(n) for i, n in enumerate(("phi_v", "phi_h", "phi_k", "bias"))])
+
+
+@query(f"WITH {EVENTS} SELECT event_id, 1 AS iteration, round(0.125e0 + 0.5e0 * ({T0}), 6) AS raw FROM ev UNION ALL SELECT event_id, 2, round({RAW}, 6) FROM ev")
+def staged_binned(spark, d):
+    m = fixed()
+    return m.predict_staged(binned(m, spark, d), "event_id", binned=True).withColumn("raw", F.round("raw", 6))
+
+
 @query(EV + "true AS additive FROM ev")
 def shap_additivity(spark, d):
     m = fixed()
@@ -137,9 +158,17 @@ def shap_expected(spark, d):
     return spark.createDataFrame([(i, round(t.expected(), 6)) for i, t in enumerate(two_trees())], "tree int, expected double")
 
 
-@query()
+INF = "'infinity'::DOUBLE"
+
+
+@query(f"""SELECT path::INT AS path, fid::INT AS fid, lo::DOUBLE AS lo, hi::DOUBLE AS hi, missing, round(zero, 6) AS zero, value::DOUBLE AS value FROM (VALUES
+    (0, 0, -{INF}, 50.0, true, 0.6e0, 1.5), (0, 1, -{INF}, 11.0, true, 40 / 60e0, 1.5), (1, 0, -{INF}, 50.0, true, 0.6e0, -0.5), (1, 1, 11.0, {INF}, false, 20 / 60e0, -0.5),
+    (2, 0, 50.0, {INF}, false, 0.4e0, 2.0), (2, 2, -{INF}, 50.0, true, 0.25e0, 2.0), (3, 0, 50.0, {INF}, false, 0.4e0, -1.0), (3, 2, 50.0, {INF}, false, 0.75e0, -1.0),
+    (4, 1, -{INF}, 5.0, false, 0.25e0, 0.25), (5, 0, -{INF}, 80.0, false, 50 / 75e0, -0.75), (5, 1, 5.0, {INF}, true, 0.75e0, -0.75), (6, 0, 80.0, {INF}, true, 25 / 75e0, 0.5), (6, 1, 5.0, {INF}, true, 0.75e0, 0.5))
+    t(path, fid, lo, hi, missing, zero, value)""")
 def shap_paths(spark, d):
-    return spark.createDataFrame(list(shap.path_rows(shap.pack(two_trees(), 3))), "path int, fid int, lo double, hi double, missing boolean, zero double, value double")
+    rows = list(shap.path_rows(shap.pack(two_trees())))
+    return spark.createDataFrame(rows, "path int, fid int, lo double, hi double, missing boolean, zero double, value double").withColumn("zero", F.round("zero", 6))
 
 
 query("SELECT unnest([0, 1, 2]) AS fid, unnest([2.0e0, 2.0e0, 1.0e0]) AS importance", "importance_split")(lambda s, d: s.createDataFrame(list(enumerate(fixed().importance("split"))), "fid int, importance double"))
@@ -156,7 +185,7 @@ def ranked(alpha: float) -> str:
 
 def _renew(spark, d, objective):
     got = fixed().predict_leaf(events(spark, d)).select(F.col("leaf")[0].alias("leaf"), (F.col("value") - 30.0).alias("r"))
-    values = booster.renewed(got, objective)
+    values = booster.renewed(got, lambda b: (b.column("leaf").to_numpy(), b.column("r").to_numpy()), objective, [3, 4, 5, 6])
     return spark.createDataFrame([(k, round(v, 4)) for k, v in values.items()], "leaf int, value double")
 
 
@@ -190,25 +219,6 @@ query(stumps("buy", "ln(avg(y) / (1 - avg(y)))", f"{SIGMOID.format('p')} - y", f
 query(stumps("k::DOUBLE", "ln(avg(y))", "exp(p) - y", "exp(p)", "5"), "boost_poisson")(lambda s, d: _boost(s, d, "poisson", "k", 5))
 
 
-@query()
-def boost_softmax(spark, d):
-    e = events(spark, d)
-    m = booster.train({"dispatch.objective_name": "softmax", "objective.n_classes": 5, "booster.n_iters": 2, "tree.max_depth": 2}, e, NAMES, "kind", row_id="event_id")
-    return m.predict(e).select("event_id", "prediction")
-
-
-def _flagship(spark, d, grower, sampler="all_rows"):
-    p = {"dispatch.grower_name": grower, "dispatch.sampler_name": sampler, "sampler.subsample": 0.7, "booster.n_iters": 5, "booster.learning_rate": 0.3, "tree.max_depth": 4}
-    e = events(spark, d)
-    return booster.train(p, e, NAMES, "value", row_id="event_id").predict(e).select("event_id", "prediction")
-
-
-for _g in ("depthwise", "levelwise", "leafwise"):
-    query(None, f"fit_{_g}")(lambda s, d, g=_g: _flagship(s, d, g))
-for _s in ("bernoulli", "goss"):
-    query(None, f"fit_{_s}")(lambda s, d, x=_s: _flagship(s, d, "depthwise", x))
-
-
 @query("SELECT 0 AS tree, round(1.5e0 * 1 / (1 + 0.5e0), 6) AS value UNION ALL SELECT 1, round(2.5e0 / (1 + 0.5e0), 6)")
 def dart_round(spark, d):
     """One tree of value 1.5 dropped, a new one of value 2.5 grown: both scaled."""
@@ -216,13 +226,6 @@ def dart_round(spark, d):
     return spark.createDataFrame([(0, round(1.5 * old, 6)), (1, round(2.5 * fresh, 6))], "tree int, value double")
 
 
-@query()
-def fit_dart(spark, d):
-    e = events(spark, d)
-    m = booster.train({"booster.dart_drop_rate": 0.5, "booster.n_iters": 4, "tree.max_depth": 2, "booster.learning_rate": 0.3}, e, NAMES, "value", row_id="event_id")
-    return m.raw(e).select("event_id", "raw")
-
-
 @query(EV + "true AS same FROM ev")
 def warm_start(spark, d):
     """Two rounds, then two more from there, against four at once."""
@@ -250,13 +253,6 @@ def early_stop_trace(spark, d):
     return spark.createDataFrame(rows, "i long, loss double, best_round long")
 
 
-@query()
-def fit_early_stopping(spark, d):
-    e = events(spark, d)
-    m = booster.train({"booster.early_stopping_rounds": 2, "booster.n_iters": 12, "booster.learning_rate": 0.5, "tree.max_depth": 3}, e.where("event_id % 5 <> 0"), NAMES, "value", row_id="event_id", eval_set=e.where("event_id % 5 = 0"))
-    return spark.createDataFrame([(i, x) for i, x in enumerate(m.eval_history)], "i int, loss double")
-
-
 @query("""WITH r(lib, seed, task, score) AS (VALUES ('a', 0, 't', 0.9), ('a', 1, 't', 0.8), ('b', 0, 't', 0.7), ('b', 1, 't', 0.95), ('c', 0, 't', 0.1), ('a', 0, 'u', 0.5), ('b', 0, 'u', 0.6), ('c', 0, 'u', 0.7)),
 m AS (SELECT lib, task, avg(score) AS score FROM r GROUP BY lib, task), k AS (SELECT lib, task, rank() OVER (PARTITION BY task ORDER BY score DESC) AS rk FROM m)
 SELECT lib, round(avg(rk), 4) AS mean_rank, count(*) FILTER (WHERE rk = 1) AS wins FROM k GROUP BY lib""")
@@ -269,12 +265,9 @@ def bench_standings(spark, d):
 
 @query(EV + f"round({RAW}, 6) AS raw FROM ev")
 def model_roundtrip(spark, d):
-    import os
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as top:  # the driver alone writes and reads it
-        fixed().save(path := os.path.join(top, "model.json"))
-        m = Model.load(path)
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    fixed().save(path)
+    m = Model.load(path)
     return _r(m.raw(events(spark, d)), "raw")
 
 

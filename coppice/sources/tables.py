@@ -7,12 +7,13 @@ from math import pi
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranking import order_key, with_rank
+from ..functions.ranking import with_rank
 
 
-def _uniform(row: Column, column: int, seed: int) -> Column:
-    mixed = F.pmod(F.xxhash64(row, F.lit(column), F.lit(seed)), F.lit(1 << 40))
-    return (mixed.cast("double") / F.lit(float(1 << 40))).cast("float")
+def _uniform(row: Column, column: str, seed: int) -> Column:
+    """A number in [0, 1) from the first 32 bits of an md5, so that any engine can make the same."""
+    text = F.concat_ws(":", row.cast("string"), F.lit(column), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def friedman(spark: SparkSession, rows: int, columns: int, seed: int = 42, informative: int = 20) -> DataFrame:
@@ -21,16 +22,16 @@ def friedman(spark: SparkSession, rows: int, columns: int, seed: int = 42, infor
     if columns < 5:
         raise ValueError("five columns at least")
     r = spark.range(rows).withColumnRenamed("id", "row_id")
-    df = r.select("row_id", *[_uniform(F.col("row_id"), i, seed).alias(f"f{i}") for i in range(columns)])
+    df = r.select("row_id", *[_uniform(F.col("row_id"), str(i), seed).cast("float").alias(f"f{i}") for i in range(columns)])
     signal = F.lit(0.0)
     for b in range(min(informative, columns) // 5):
         x = [F.col(f"f{5 * b + i}").cast("double") for i in range(5)]
         signal = signal + F.lit(0.6**b) * (10 * F.sin(F.lit(pi) * x[0] * x[1]) + 20 * (x[2] - 0.5) * (x[2] - 0.5) + 10 * x[3] + 5 * x[4])
     df = df.withColumn("_s", signal)
     sigma = (df.agg(F.stddev_pop("_s")).first()[0] or 0.0) / 3
-    u1, u2 = (F.greatest(_uniform(F.col("row_id"), -k, seed).cast("double"), F.lit(1e-12)) for k in (1, 2))
-    noise = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * pi * u2)
-    return df.withColumn("label", (F.col("_s") + F.lit(sigma) * noise).cast("float")).drop("_s")
+    u1, u2 = (_uniform(F.col("row_id"), k, seed) for k in "ab")
+    noise = F.sqrt(-2 * F.ln(F.greatest(u1, F.lit(1e-12)))) * F.cos(2 * pi * u2)
+    return df.withColumn("label", F.col("_s") + F.lit(sigma) * noise).drop("_s")
 
 
 def holdout(df: DataFrame, row_id: str, share: float) -> DataFrame:
@@ -49,8 +50,3 @@ def category_codes(df: DataFrame, column: str, out: str = "code", most: int = 1_
     codes = with_rank(values, [F.col(column).asc()], out)
     few = values.limit(most + 1).count() <= most
     return df.join(F.broadcast(codes) if few else codes, column, "left")
-
-
-def random_split(df: DataFrame, row_id: str, share: float, seed: int = 0) -> DataFrame:
-    """Adds is_eval for about ``share`` of the rows, by order key."""
-    return df.withColumn("is_eval", order_key(row_id, seed) < F.lit(share * (1 << 32)))

@@ -11,8 +11,7 @@ from coppice.__main__ import main
 from coppice.config import Config, default_config_toml, dump_config
 from coppice.operators import binning as B
 from coppice.operators import split as S
-from coppice.plans.booster import Patience, histograms, _Request
-from coppice.plans.trees import Tree
+from coppice.plans.booster import Patience
 
 
 def frame(spark, n=400, seed=0):
@@ -67,25 +66,115 @@ def test_bins_agree(spark, df):
     assert (one["b0"].to_numpy()[::11] == len(cuts.cuts[0]) - 1).all()
 
 
-def test_split_search_agrees_with_plan(spark, df):
-    cuts = B.fit_cuts(df, X, Config().bin_mapper, edges={0: [0.2, 0.5], 1: [0.3], 2: [0.5, 0.7]})
-    from coppice.operators import histogram as H
-
-    b = B.bin_table(df, cuts, ["y"]).withColumns({"node": F.lit(0), "g": 1.5 - F.col("y"), "h": F.lit(1.0)})
-    h = H.build(b, 3)
-    nb = spark.createDataFrame([(i, int(n)) for i, n in enumerate(cuts.n_bins)], "fid int, n_bins int")
-    t = Config().tree
-    row = S.best(S.candidates(S.prefixes(h, nb), t), t).first()
-    cells = np.zeros((3, int(cuts.n_bins.max()), 3))
-    for r in h.collect():
-        cells[r["fid"], r["bin"]] = r["sg"], r["sh"], r["cnt"]
-    s = S.find(cells, cuts.n_bins, t)
-    assert (row["fid"], row["bin"], row["default_left"]) == (s.fid, s.bin, s.default_left)
-    assert row["gain"] == pytest.approx(s.gain)
-    arrow = B.bin_arrays(df, cuts, ["y"]).select("bins", F.array(1.5 - F.col("y")).alias("g"), F.array(F.lit(1.0)).alias("h"), F.array(F.lit(1)).alias("m"))
-    root = Tree()
-    root.add(0)
-    assert np.allclose(histograms(arrow, [_Request(0, root, [0])], cuts.n_bins, 1)[0][0], cells)
+def plain_split(cells, n_bins, t, allowed=None, lo=-np.inf, hi=np.inf, sign=(0, 0, 0)):
+    """The best candidate, tried one by one in the order of ties."""
+    score = lambda g, h: max(abs(g) - t.lambda_l1, 0) ** 2 / (h + t.lambda_l2) if h + t.lambda_l2 > 0 else 0.0
+    weight = lambda g, h: min(hi, max(lo, -np.sign(g) * max(abs(g) - t.lambda_l1, 0) / (h + t.lambda_l2)))
+    best = None
+    for f, n in enumerate(n_bins):
+        total, miss = cells[f].sum(0), cells[f, n - 1]
+        if total[2] < 2 * t.min_data_in_leaf or (allowed is not None and not allowed[f]):
+            continue
+        for b in range(n - 2):
+            for default_left in (True, False) if miss.any() else (True,):
+                left = cells[f, : b + 1].sum(0) + (miss if default_left else 0)
+                right = total - left
+                if min(left[1], right[1]) < t.min_child_hess or min(left[2], right[2]) < 0.5:
+                    continue
+                if sign[f] * (weight(*right[:2]) - weight(*left[:2])) < 0:
+                    continue
+                gain = score(*left[:2]) + score(*right[:2]) - score(*total[:2])
+                if gain > 0 and gain >= t.min_gain_to_split and (best is None or gain > best[0] + 1e-12):
+                    best = gain, f, b, default_left
+    return best
+
+
+def test_split_search_against_brute_force():
+    rng = np.random.default_rng(1)
+    for i in range(60):
+        n_bins = np.array([8, 5, 3])
+        cells = np.zeros((3, 8, 3))
+        for _ in range(40):
+            g = rng.integers(-3, 4)
+            for f, n in enumerate(n_bins):
+                cells[f, rng.choice([*range(n - 2), n - 1] if i % 2 else range(n - 2))] += (g, 1, 1)
+        t = Config().tree
+        t.min_data_in_leaf, t.lambda_l1, t.min_child_hess, t.min_gain_to_split = 5, float(i % 3), float(1 + i % 4), float(i % 2)
+        bounds = (-0.2, 0.2) if i % 5 == 0 else (-np.inf, np.inf)
+        sign, allowed = np.array([1, -1, 0]) * (i % 2), np.array([True, i % 3 > 0, True])
+        want, got = plain_split(cells, n_bins, t, allowed, *bounds, sign), S.find(cells, n_bins, t, allowed, *bounds, sign)
+        assert (got is None) == (want is None)
+        if got:
+            assert (got.fid, got.bin, got.default_left) == want[1:] and got.gain == pytest.approx(want[0])
+
+
+@pytest.mark.parametrize("grower", ["depthwise", "levelwise", "leafwise"])
+def test_search_on_executors_grows_the_same_trees(df, grower, monkeypatch):
+    """Cells that outgrow the driver are summed and searched by tiles of features on the executors."""
+    from coppice.plans import search
+
+    p = SMALL | {"dispatch.grower_name": grower, "tree.max_leaves": 6}
+    here = train(p, df, X, "y", row_id="id")
+    monkeypatch.setattr(search.Search.__init__, "__defaults__", (0,))
+    monkeypatch.setattr(search, "TILE_CELLS", 300)
+    there = train(p, df, X, "y", row_id="id")
+    for a, b in zip(here.trees, there.trees):
+        assert (a.fid, a.bin, a.default_left, a.cover) == (b.fid, b.bin, b.default_left, b.cover)
+        assert np.allclose(a.value, b.value)
+
+
+def test_greedy_cuts_against_a_scan():
+    """The rule, a value at a time."""
+
+    def scan(values, counts, budget):
+        n = counts.sum()
+        heavy = counts * (budget + 1) >= n
+        rest, groups = int(counts[~heavy].sum()), max(1, budget + 1 - int(heavy.sum()))
+        size, held, cuts = rest / groups, 0, []
+        for i in range(len(values) - 1):
+            held += counts[i]
+            rest -= 0 if heavy[i] else counts[i]
+            if not (heavy[i] or held >= size or (heavy[i + 1] and held >= max(1.0, size / 2))):
+                continue
+            cut = np.float32((float(values[i]) + float(values[i + 1])) / 2)
+            if not cuts or cut > cuts[-1]:
+                cuts.append(cut)
+            if len(cuts) >= budget:
+                break
+            held = 0
+            if not heavy[i] and groups > 1:
+                groups -= 1
+                size = rest / groups
+        return cuts
+
+    rng = np.random.default_rng(2)
+    for i in range(200):
+        n = int(rng.integers(5, 80))
+        values, counts = np.sort(rng.choice(1000, n, replace=False)).astype(np.float32), rng.integers(1, 6, n)
+        counts[rng.integers(0, n, int(rng.integers(1, 4)))] += int(rng.integers(10, 400))
+        budget = int(rng.integers(2, 20))
+        assert B.greedy_cuts(values, counts, budget).tolist() == scan(values, counts, budget), i
+
+
+def test_selection_against_sorting(spark):
+    from coppice.functions import ranking as R
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal(500), np.full(300, 0.25), [-0.0, 0.0, 1e300, -1e300, 5e-324]])
+    g = rng.integers(0, 3, len(x))
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)], "g long, x double").repartition(3)
+    emit = lambda b: (b.column("g").to_numpy(), R.sortable(b.column("x").to_numpy()))
+    for few in (50_000, 0):
+        R.FEW_KEYS, kept = few, R.FEW_KEYS
+        try:
+            key, below, equal = R.select(df, emit, lambda n: n // 2, 4)
+        finally:
+            R.FEW_KEYS = kept
+        for k in range(3):
+            own = np.sort(x[g == k])
+            v = own[len(own) // 2]
+            assert R.unsorted(key)[k] == v and below[k] == (own < v).sum() and equal[k] == (own == v).sum()
+        assert equal[3] == 0
 
 
 def test_four_rows_split_and_three_do_not():
@@ -111,9 +200,9 @@ def test_loss_falls(df, grower, sampler):
 def test_objectives(df, objective):
     label = "z" if objective in ("logloss", "poisson") else "y"
     m = train(SMALL | {"dispatch.objective_name": objective}, df, X, label, row_id="id")
-    o, y = m.objective, F.col(label).cast("double")
-    a, b = m.raw(df).agg(F.avg(o.loss(F.col("raw"), y)), F.avg(o.loss(F.lit(m.init[0]), y))).first()
-    assert a < b
+    rows = m.raw(df).select("raw", label).toPandas()
+    y = rows[label].to_numpy(float)
+    assert m.objective.loss(rows["raw"].to_numpy(), y).mean() < m.objective.loss(np.full(len(y), m.init[0]), y).mean()
 
 
 def test_monotone_curve(spark, df):
@@ -141,18 +230,70 @@ def test_leafwise_budget_and_depthwise_agree(df):
     assert len(c.leaves) == 3
 
 
-def test_shap_sums_and_brute_force(spark, df):
+def plain_expectation(t, x, known, node=0):
+    """The tree's mean over the rows that agree with ``x`` on the features in ``known``, by cover."""
+    if t.fid[node] < 0:
+        return t.value[node]
+    f, kids = t.fid[node], (t.left[node], t.right[node])
+    if f in known:
+        left = t.default_left[node] if np.isnan(x[f]) else x[f] <= np.float32(t.threshold[node])
+        return plain_expectation(t, x, known, kids[0] if left else kids[1])
+    total = sum(t.cover[k] for k in kids)
+    return sum(t.cover[k] / total * plain_expectation(t, x, known, k) for k in kids if t.cover[k])
+
+
+def test_shap_sums_and_brute_force(df):
+    """Shapley values from all subsets of features."""
+    from itertools import combinations
+    from math import factorial
+
     m = train(SMALL, df, X, "y", row_id="id")
-    got = m.raw(m.contributions(df)).select("contributions", "raw").toPandas()
+    got = m.raw(m.contributions(df)).orderBy("id").limit(12).toPandas()
     assert np.allclose(got["contributions"].map(sum), got["raw"], atol=1e-9)
+    for _, r in got.iterrows():
+        x = np.array([r[c] for c in X], np.float32)
+        for i in range(3):
+            others, phi = [j for j in range(3) if j != i], 0.0
+            for k in range(3):
+                for some in combinations(others, k):
+                    w = factorial(k) * factorial(2 - k) / factorial(3)
+                    phi += w * sum(plain_expectation(t, x, {*some, i}) - plain_expectation(t, x, set(some)) for t in m.trees)
+            assert r["contributions"][i] == pytest.approx(m.rate * phi, abs=1e-9)
+
+
+def test_binned_twins_equal_values(df):
+    m = train(SMALL | {"booster.n_iters": 12, "tree.max_depth": 4, "dispatch.objective_name": "logloss"}, BinnedDataset(df, X, "z", row_id="id"))
+    bins = B.bin_arrays(df, m.cuts, ["id"])
+    for name in ("raw", "predict", "predict_proba", "predict_leaf", "contributions"):
+        a, b = (getattr(m, name)(t, "out", binned=binned).orderBy("id").toPandas()["out"].tolist() for t, binned in ((df, False), (bins, True)))
+        assert np.allclose(np.array(a, float), np.array(b, float), atol=1e-12), name
+    a, b = (m.predict_staged(t, "id", binned=binned).orderBy("id", "iteration").toPandas()["raw"] for t, binned in ((df, False), (bins, True)))
+    assert np.allclose(a, b) and len(a) == 12 * df.count()
+    last = m.raw(df).orderBy("id").toPandas()["raw"]
+    assert np.allclose(a[11::12], last)
+
+
+def test_columns_of_any_name(df):
+    m = train(SMALL, df, X, "y", row_id="id")
+    big = train(SMALL | {"booster.n_iters": 20}, df, X, "y", row_id="id")
+    odd = df.withColumns({c: F.lit(7) for c in ("_raw", "_x0", "raw", "features", "_c", "_p", "code", "stages", "Prediction_")})
+    for model in (m, big):
+        got = model.contributions(model.predict_leaf(model.predict(odd)))
+        assert got.columns == [*odd.columns, "prediction", "leaf", "contributions"] and got.where("_raw = 7 and _x0 = 7 and raw = 7").count() == df.count()
+    c = Classifier(n_iters=2).fit(odd, X, "k")
+    assert c.predict(c.predict_proba(odd)).where("code = 7 and _c = 7").count() == df.count() and c.score(odd, "k") > 0.5
+
 
+def test_small_ids_and_strings_sample_alike(spark, df):
+    """Ids of any kind draw about the share that is asked for."""
+    from coppice.operators.samplers import bernoulli
 
-def test_binned_walk_equals_value_walk(df):
-    ds = BinnedDataset(df, X, "y", row_id="id", keep=["id"])
-    m = train(SMALL, ds)
-    a = m.raw_binned(ds.table).select("id", "raw").toPandas().sort_values("id")
-    b = m.raw(df).select("id", "raw").toPandas().sort_values("id")
-    assert np.array_equal(a["raw"], b["raw"]) or np.allclose(a["raw"], b["raw"], atol=1e-12)
+    for ids in (np.arange(-1000, 0), np.arange(2**62, 2**62 + 1000), np.arange(1000)):
+        assert abs(bernoulli(ids, 0.3, 1).mean() - 0.3) < 0.05
+    named = df.withColumn("id", F.concat(F.lit("row "), "id"))
+    assert train(SMALL | {"dispatch.sampler_name": "bernoulli", "sampler.subsample": 0.5}, named, X, "y", row_id="id").trees[0].cover[0] == pytest.approx(200, abs=40)
+    few = B.sample_rows(df.withColumn("id", F.col("id") * (1 << 32)), 50, "id")  # keys that are all alike
+    assert few.count() == 50
 
 
 def test_early_stopping_and_history(df):
@@ -194,16 +335,86 @@ def test_interop():
 def test_estimators(tmp_path, df):
     r = Regressor(n_iters=3, learning_rate=0.3, max_depth=3).fit(df, X, "y", row_id="id")
     assert r.score(df, "y") > 0.3 and abs(sum(r.feature_importances_) - 1) < 1e-9
-    r.save(str(tmp_path / "m"))
-    again = Regressor.from_file(str(tmp_path / "m"))
-    assert again.dump() == r.dump()
+    r.engine.save(str(tmp_path / "engine"))
+    assert Regressor.from_file(str(tmp_path / "engine")).dump() == r.dump()
     c = Classifier(n_iters=3, learning_rate=0.3, max_depth=3).fit(df, X, "k", row_id="id")
     assert c.classes_ == ["c0", "c1", "c2"] and c.score(df, "k") > 0.5
-    p = c.predict_proba(df).first()["probability"]
-    assert abs(sum(p) - 1) < 1e-9
+    assert abs(sum(c.predict_proba(df).first()["probability"]) - 1) < 1e-9
+    for bad in ("bad", "none"):
+        with pytest.raises(ValueError):
+            (tmp_path / "bad").mkdir(exist_ok=True)
+            (tmp_path / "bad" / "model.json").write_text("{}")
+            Model.load(str(tmp_path / bad))
+
+
+def test_estimators_are_stages(tmp_path, df):
+    """Pipelines, cross-validation, parameter maps and persistence."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    r = Regressor(n_iters=2, learning_rate=0.3, max_depth=2, inputCols=X, labelCol="y", row_id="id", params={"tree.min_data_in_leaf": 5})
+    fitted = Pipeline(stages=[r]).fit(df)
+    fitted.write().overwrite().save(str(tmp_path / "p"))
+    again = PipelineModel.load(str(tmp_path / "p"))
+    a, b = (m.transform(df).orderBy("id").toPandas()["prediction"] for m in (fitted, again))
+    assert np.allclose(a, b) and again.stages[0].getOrDefault("n_iters") == 2
+    grid = ParamGridBuilder().addGrid(r.n_iters, [1, 4]).build()
+    best = CrossValidator(estimator=r, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y"), numFolds=2).fit(df).bestModel
+    assert best.n_iters_ == 4
+    r.save(str(tmp_path / "e"))
+    assert Regressor.load(str(tmp_path / "e")).get_params() == r.get_params()
+    c = Classifier(n_iters=2, inputCols=X, labelCol="k").fit(df)
+    c.save(str(tmp_path / "c"))
+    assert type(c).load(str(tmp_path / "c")).classes_ == c.classes_ and "probability" in c.transform(df).columns
+    enc = OrderedTargetEncoder(["c"], labelCol="y", keep_codes=False)
+    both = Pipeline(stages=[enc, Regressor(n_iters=1, inputCols=["a", "b", "c_te"], labelCol="y")]).fit(df)
+    assert "prediction" in both.transform(df).columns
+
+
+def test_estimator_contracts(df):
+    r = Regressor(n_iters=6, learning_rate=1.0, early_stopping_rounds=1).fit(df.where("id % 4 > 0"), X, "y", eval_set=df.where("id % 4 = 0"), row_id="id")
+    losses = r.evals_result()["valid"]["mse"]
+    assert r.best_iteration == int(np.argmin(losses)) and r.best_score == min(losses) and r.n_iters_ == r.best_iteration + 1
+    plain = Regressor(n_iters=1).fit(df, X, "y")
+    assert plain.evals_result() == {}
+    for name in ("best_iteration", "best_score"):
+        with pytest.raises(AttributeError):
+            getattr(plain, name)
+    with pytest.raises(ValueError, match="missing"):
+        plain.predict(df.drop("a"))
+    with pytest.warns(UserWarning), pytest.raises(ValueError):
+        Regressor(n_iters=1).fit(df, X[::-1], "y", init_model=plain)
+    with pytest.raises(ValueError):
+        Regressor(n_iters=1).set_params(nothing=1)
+
+
+def test_constraints_by_name_and_refusals_of_datasets(df):
+    a = train(SMALL | {"tree.monotone_constraints": {"b": -1}}, df, X, "y", row_id="id")
+    b = train(SMALL | {"tree.monotone_constraints": [0, -1, 0]}, df, X, "y", row_id="id")
+    assert a.dump() == b.dump() and a.config.tree.monotone_constraints == [0, -1, 0]
+    for bad in ({"nothing": 1}, {"a": 2}, {"a": True}):
+        with pytest.raises(ValueError):
+            train(SMALL | {"tree.monotone_constraints": bad}, df, X, "y")
+    ds = BinnedDataset(df, X, "y", max_bin=32)
+    with pytest.raises(ValueError, match="max_bin"):
+        train(SMALL | {"bin_mapper.max_bin": 64}, ds)
+    assert train(SMALL | {"bin_mapper.max_bin": 32}, ds).n_iters == 3
+    for bad in ({"max_bin": 16}, {"n_samples": 5}, {"seed": 3}, {"bin_edges": {0: [1.0]}}):
+        with pytest.raises(ValueError):
+            BinnedDataset(df, X, "y", reference=ds, **bad)
+    with pytest.raises(ValueError):
+        BinnedDataset(df, ["a", "zz"], "y")
+
+
+def test_datasets_by_name(spark, sf):
+    from coppice.sources.registry import dataset, of_tier
+
+    for tier in ("scale", "quality"):
+        for d in of_tier(tier):
+            assert {*d.features, d.label} <= set(d.load(spark, sf).columns)
     with pytest.raises(ValueError):
-        (tmp_path / "bad").write_text("{}")
-        Model.load(str(tmp_path / "bad"))
+        dataset("none")
 
 
 def test_encoder_is_causal(spark, df):

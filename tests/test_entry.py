@@ -37,4 +37,4 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     out = e.entry(spark)
-    assert out.columns == ["event_id", "prediction"] and out.count() == 1000
+    assert out.columns == ["id", "prediction"] and out.count() == 1500
