@@ -106,8 +106,12 @@ def scan(docs: DataFrame, least: float = 0.8, templates=TEMPLATES, id_col: str =
     names = docs.sparkSession.createDataFrame([(i, name) for i, (name, _) in enumerate(templates)], "template int, name string")
     m = matches(table.where("digest is not null"), least, templates, text).join(F.broadcast(names), "template")  # a row for each template
     best = m.groupBy("digest").agg(F.max(F.struct("dice", -F.col("template"), "name")).alias("best"), F.array_sort(F.collect_set("name")).alias("licenses"))
-    out = table.select("doc_id", "digest").join(best, "digest", "left")
-    return out.select("doc_id", F.col("best.name").alias("license"), F.coalesce("best.dice", F.lit(0.0)).alias("dice"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"))
+    none = F.array().cast("array<string>")
+    some = table.where("digest is not null").select("doc_id", "digest").join(best, "digest", "left")
+    some = some.select("doc_id", F.col("best.name").alias("license"), F.coalesce("best.dice", F.lit(0.0)).alias("dice"), F.coalesce("licenses", none).alias("licenses"))
+    # Rows without a hit stay out of the join, where they would be one key.
+    rest = table.where("digest is null").select("doc_id", F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("dice"), none.alias("licenses"))
+    return some.unionByName(rest)
 
 
 def oracle(least: float = 0.8) -> str:
