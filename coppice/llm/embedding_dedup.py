@@ -222,5 +222,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     of = one.select("k1", "k2", "rep", "n", "least").join(sums, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     of = cut(of.select("k1", "k2", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("root")))
     of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root", "least")
-    out = rows.join(of, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = rows.where("k1 is not null").join(of, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    # Vectors that link with nothing stay out of the join, where they would be one key.
+    out = out.unionByName(rows.where("k1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
