@@ -1,21 +1,41 @@
-"""Gradient-boosted trees as Spark plans."""
+"""Gradient-boosted trees as Spark plans.
 
-from .config import Config, Params, default_config_toml, load_config
-from .operators.encoding import OrderedTargetEncoder
-from .plans import interop
-from .plans.booster import train
-from .plans.dataset import BinnedDataset
-from .plans.estimators import Classifier, Regressor
-from .plans.model import Model
+Names are imported when they are first used: Python workers, which import modules of this package one by one,
+load nothing that their function doesn't need.
+"""
 
+from __future__ import annotations
 
-def load(path: str) -> Model:
-    return Model.load(path)
+from importlib import import_module
+
+_WHERE = {
+    "BinnedDataset": "plans.dataset",
+    "Classifier": "plans.estimators",
+    "Config": "config",
+    "Model": "plans.model",
+    "OrderedTargetEncoder": "operators.encoding",
+    "Params": "config",
+    "Regressor": "plans.estimators",
+    "default_config_toml": "config",
+    "load_config": "config",
+    "train": "plans.booster",
+}
+
+__all__ = [*_WHERE, "cuda_available", "interop", "load"]
+
+
+def __getattr__(name: str):
+    if name == "interop":
+        return import_module(".plans.interop", __name__)
+    if name not in _WHERE:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f".{_WHERE[name]}", __name__), name)
+
+
+def load(path: str):
+    return import_module(".plans.model", __name__).Model.load(path)
 
 
 def cuda_available() -> bool:
     """Trees are grown by Spark executors; names with a device prefix mean the same growers."""
     return False
-
-
-__all__ = ["BinnedDataset", "Classifier", "Config", "Model", "OrderedTargetEncoder", "Params", "Regressor", "cuda_available", "default_config_toml", "interop", "load", "load_config", "train"]

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coppice.functions.ranking import remove, shared_dir
 from coppice.llm import langid, mixing, packing, secrets, simhash
-from coppice.llm.common import fresh, shared_dir, table
+from coppice.llm.common import fresh, made, release, table
 from coppice.llm.queries import tokenizer_path
 
 #: Documents whose language is less certain than this go.
@@ -68,9 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage is written and reread, and what it was made from is deleted then."""
     docs = table(spark, sf_dir, "documents")
-    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    top, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
-        docs = spark.read.parquet(f"{top}/{k}-{name}")
+        path, since = f"{top}/{k}-{name}", made()
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        release(spark, since)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
