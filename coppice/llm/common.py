@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import remove, shared_dir
+
 #: Words are maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
@@ -22,20 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; in a single process, where it may be unset, a private one."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if path is None:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="checkpoint-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as no column of ``df`` has, in any case of letters."""
     taken = {c.lower() for c in df.columns}
@@ -59,9 +44,26 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that ``written`` has made and nothing has deleted.
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many tables there are: what ``release`` takes."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Deletes the tables made after ``since``: for callers whose results are written, and no longer read them."""
+    for path in _made[since:]:
+        remove(spark, path)
+    del _made[since:]
+
+
 def text_col(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

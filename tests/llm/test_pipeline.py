@@ -1,11 +1,14 @@
 """The pipeline's stages on small tables."""
 
+from pathlib import Path
+
 import corpus_pipeline as P
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coppice.llm import secrets, simhash
+from coppice.functions.ranking import shared_dir
+from coppice.llm import common, secrets, simhash
 
 
 def test_stages(spark, sf, tmp_path):
@@ -63,4 +66,9 @@ def test_packing_of_odd_tables(spark, sf):
 
 
 def test_run(spark, sf):
+    """Only the result is left of what the stages write."""
+    top, made = Path(shared_dir(spark).removeprefix("file:")), common.made()
+    before = set(top.glob("table-*"))
     assert P.run(spark, sf).count() > 0
+    assert set(top.glob("table-*")) == before and common.made() == made
+    assert [p.name for p in max(top.glob("pipeline-*"), key=lambda p: p.stat().st_mtime).iterdir()] == ["4-packing"]
