@@ -562,7 +562,9 @@ def test_language_model_against_brute_force(docs, empty, most_pairs, monkeypatch
 def random_net(rng, n_ids, texts, context=8, **how):
     """A small model trained on random texts, without a table."""
     ids, edge = np.concatenate(texts).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-    w, first = attention_lm.windows_of(ids, edge, np.full(len(texts), 30), rng.integers(0, 1 << 40, len(texts)), context)
+    stream = [np.concatenate([[attention_lm.BOUNDARY], ids[a:b], [-1] * context]) for a, b in zip(edge, edge[1:])]
+    at = [(x, int(k)) for x in stream for k in rng.integers(0, max(1, len(x) - 2 * context), 30)]
+    w, first = np.array([x[k : k + context + 1] for x, k in at]), np.array([k == 0 for _, k in at])
     by_id = np.bincount(ids, minlength=attention_lm.VOCABULARY).astype(float)
     cells, n = attention_lm.neighbours(w, attention_lm.sides_of(by_id))
     class_of, order = attention_lm.classes_of(by_id, (cells // (2 * attention_lm.SIDES), cells % (2 * attention_lm.SIDES), n.astype(float)), **({"singles": 10, "groups": 5} | how))
@@ -570,6 +572,23 @@ def random_net(rng, n_ids, texts, context=8, **how):
     return attention_lm.passes(net, w, first, 1), by_id, w, first
 
 
+def test_windows_are_pieces_of_texts():
+    """Ids of a window follow one another in its text, from a word's first on; BOUNDARY is before a text and behind it."""
+    from tokenizers import Tokenizer
+
+    tok, b = Tokenizer.from_file(TOKENIZER), attention_lm.BOUNDARY
+    t = ["", "one", "a  few short words\n", "x" * 3000, " ".join(f"word{i} of text," for i in range(500)), "漢字 " * 400]
+    found = attention_lm.pieces(t, np.array([1, 2, 2, 2, 40, 10]), np.arange(6) * 977, 48)
+    w, first = attention_lm.windows(found, tokens.encoder_of(TOKENIZER), 48)
+    whole = [" ".join(map(str, [b, *tok.encode(x, add_special_tokens=False).ids, b])) for x in t]
+    of = np.repeat(np.arange(6), [1, 2, 2, 2, 40, 10])
+    for k, x, begins in zip(of, w.tolist(), first):
+        ids = [i for i in x if i >= 0]
+        assert x == ids + [-1] * (49 - len(ids)) and len(ids) > 1
+        assert f" {' '.join(map(str, ids))} " in f" {whole[k]} " and begins == (ids[0] == b)
+    assert sum(first) < 30 and attention_lm.pieces(t, np.zeros(6, int), np.arange(6), 48) == []
+
+
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(5)
     seqs = [rng.integers(0, 300, 60) for _ in range(20)]
