@@ -5,9 +5,9 @@ within its class follows counts over all training texts, given the id before it
 word.  Frequent ids are classes of their own.  Probabilities of all ids sum to one at
 every position.
 
-What is learnt grows with the corpus: counts of words, ids and pairs of ids cover all
-training texts, and the attention layer sees a fixed share of all windows, in passes
-that every partition makes from the same weights and whose results are averaged.
+All training texts are learnt from, whole and copies included: counts of words, ids and
+pairs of ids cover them, and the attention layer has every id of them as a target, in
+passes that every partition makes from the same weights and whose results are averaged.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .embedding_dedup import spherical_kmeans
 #: Id of the text boundary: begins every input, ends every text.
 BOUNDARY = 49407
 VOCABULARY = 49408
+#: No id, among ids of 16 bits.
+NONE = 65535
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -46,26 +48,30 @@ class Net:
     context: int
 
     def forward(self, x: np.ndarray, keep: slice = slice(None)):
-        """Class log-probabilities after each position of ``x`` [batch, context] that ``keep`` selects."""
+        """Class log-probabilities, up to a number a position, after each position of ``x`` [batch, context] that ``keep`` selects."""
         p, d = self.p, self.p["wq"].shape[1]
         row = self.row_of[x]
         e = p["emb"][row] + p["pos"][: x.shape[1]]
         ek = e[:, keep]
-        q, k, v = ek @ p["wq"], e @ p["wk"], e @ p["wv"]
+        q, k, v = (_times(a, p[m]) for a, m in ((ek, "wq"), (e, "wk"), (e, "wv")))
         s = q @ k.transpose(0, 2, 1)
         s *= np.float32(d**-0.5)
-        t = np.arange(x.shape[1])
-        s += np.where(t[None, :] > t[keep][:, None], np.float32(-1e9), np.float32(0))
-        s -= s.max(2, keepdims=True)
+        before = self.before[keep, : x.shape[1]]
+        if _large(s):
+            s += np.where(before > 0, np.float32(0), np.float32(-1e9))
+            s -= s.max(2, keepdims=True)
         a = np.exp(s, out=s)
-        a /= a.sum(2, keepdims=True)
+        a *= before
+        a /= _sums(a)[..., None]
         c = a @ v
-        z = ek + c @ p["wo"]
-        u = np.tanh(z @ p["w1"])
-        y = (z + u @ p["w2"]) @ p["out"]
+        z = ek + _times(c, p["wo"])
+        u = _times(z, p["w1"])
+        np.tanh(u, out=u)
+        y = _times(z + _times(u, p["w2"]), p["out"])
         y += p["bias"]
-        y += p["near"][row[:, keep]]
-        y -= y.max(2, keepdims=True)
+        y += p["near"].take(row[:, keep], axis=0)
+        if _large(y):
+            y -= y.max(2, keepdims=True)
         return y, (row, e, q, k, v, a, c, z, u)
 
     def log_class(self, x: np.ndarray, target: np.ndarray, keep: slice) -> np.ndarray:
@@ -118,73 +124,119 @@ class Net:
         parts = lambda e, one: np.concatenate([e @ p["wq"] * scale, e @ p["wk"], e @ p["wv"] @ p["wo"], np.full((len(e), 1), one, np.float32), e], 1)
         return parts(p["emb"], 1), parts(p["pos"], 0)
 
-    def gradients(self, x: np.ndarray, target: np.ndarray, mask: np.ndarray):
-        """(loss a token, gradients) of the masked positions."""
+    def gradients(self, x: np.ndarray, target: np.ndarray, mask: np.ndarray, keep: slice = slice(None)):
+        """(loss a token, gradients) of the masked positions among those that ``keep`` selects; target and mask are of these.
+
+        Of ``emb`` and ``near`` the gradients are (rows, values): all other rows have none.
+        """
         p, d = self.p, self.p["wq"].shape[1]
-        y, (row, e, q, k, v, a, c, z, u) = self.forward(x)
-        prob = np.exp(y)
-        prob /= prob.sum(2, keepdims=True)
+        y, (row, e, q, k, v, a, c, z, u) = self.forward(x, keep)
         n = max(1, mask.sum())
-        own = np.take_along_axis(prob, target[..., None], 2)[..., 0]
-        loss = float(-(np.log(np.maximum(own, 1e-30)) * mask).sum() / n)
-        np.put_along_axis(prob, target[..., None], own[..., None] - 1, 2)
-        dy = prob * (mask[..., None] / n).astype(np.float32)
+        np.exp(y, out=y)
+        sums = _sums(y)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"bias": flat(dy).sum(0)}
-        top = z + u @ p["w2"]
-        g["out"] = flat(top).T @ flat(dy)
-        g["near"] = _scatter(row, dy, p["near"].shape)
+        own = np.arange(sums.size), target.reshape(-1)
+        loss = float(-(np.log(np.maximum(flat(y)[own] / sums.reshape(-1), 1e-30)) * mask.reshape(-1)).sum() / n)
+        weight = (mask / n).astype(np.float32)
+        y *= (weight / sums)[..., None]
+        dy = flat(y)
+        dy[own] -= weight.reshape(-1)
+        g = {"bias": dy.sum(0)}
+        top = flat(z) + flat(u) @ p["w2"]
+        g["out"] = top.T @ dy
+        g["near"] = _scatter(row[:, keep], dy)
         dtop = dy @ p["out"].T
-        g["w2"] = flat(u).T @ flat(dtop)
-        du = (dtop @ p["w2"].T) * (1 - u * u)
-        g["w1"] = flat(z).T @ flat(du)
+        g["w2"] = flat(u).T @ dtop
+        du = (dtop @ p["w2"].T) * (1 - flat(u) ** 2)
+        g["w1"] = flat(z).T @ du
         dz = dtop + du @ p["w1"].T
-        g["wo"] = flat(c).T @ flat(dz)
-        dc = dz @ p["wo"].T
+        g["wo"] = flat(c).T @ dz
+        dc = (dz @ p["wo"].T).reshape(c.shape)
         da = dc @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(d**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["wq"], g["wk"], g["wv"] = flat(e).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dz + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
+        dv = flat(a.transpose(0, 2, 1) @ dc)
+        da -= (flat(dc) * flat(c)).sum(1).reshape(*c.shape[:2], 1)  # the sum of da * a, as c is a @ v
+        da *= a
+        da *= np.float32(d**-0.5)
+        dq, dk = flat(da @ k), flat(da.transpose(0, 2, 1) @ q)
+        g["wq"], g["wk"], g["wv"] = flat(e[:, keep]).T @ dq, flat(e).T @ dk, flat(e).T @ dv
+        de = (dk @ p["wk"].T + dv @ p["wv"].T).reshape(e.shape)
+        de[:, keep] += (dz + dq @ p["wq"].T).reshape(c.shape)
         g["pos"] = np.zeros_like(p["pos"])
         g["pos"][: x.shape[1]] = de.sum(0)
-        g["emb"] = _scatter(row, de, p["emb"].shape)
+        g["emb"] = _scatter(row, de)
         return loss, g
 
 
-def _scatter(row: np.ndarray, x: np.ndarray, shape) -> np.ndarray:
-    """Sums of the rows of x by ``row``."""
-    out = np.zeros(shape, np.float32)
-    r, f = row.ravel(), x.reshape(-1, shape[1])
+def _times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """x @ m as one product, whatever axes come before the last."""
+    return (x.reshape(-1, x.shape[-1]) @ m).reshape(*x.shape[:-1], m.shape[1])
+
+
+def _large(x: np.ndarray) -> bool:
+    """Whether exponents of ``x`` can overflow, or all of a sum vanish."""
+    return bool(x.size) and not (x.max() < 60 and x.min() > -60)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis."""
+    return x @ np.ones(x.shape[-1], x.dtype)
+
+
+def _scatter(row: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in ``row``, sums of the rows of x by them)."""
+    r, f = row.ravel().astype(np.uint16), x.reshape(-1, x.shape[-1])  # short integers sort by digits
     order = np.argsort(r, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], np.diff(r[order]) > 0]))
-    out[r[order][at]] = np.add.reduceat(f[order], at)
-    return out
+    r, f = r[order], f.take(order, axis=0)
+    at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    n, out, k = np.diff(np.append(at, len(r))), f.take(at, axis=0), 1
+    more = np.flatnonzero(n > 1)
+    while len(more) > 24:  # the k-th of each row that has one
+        out[more] += f.take(at[more] + k, axis=0)
+        k += 1
+        more = more[n[more] > k]
+    for i in more.tolist():
+        rest = f[at[i] + k : at[i] + n[i]]
+        out[i] += np.ones(len(rest), f.dtype) @ rest
+    return r[at].astype(np.int64), out
+
+
+def by_frequency(by_id: np.ndarray) -> np.ndarray:
+    """The ids that occur, the most frequent first behind BOUNDARY."""
+    ids = np.argsort(-by_id, kind="stable")
+    ids = ids[by_id[ids] > 0]
+    return np.concatenate([[BOUNDARY], ids[ids != BOUNDARY]])
+
+
+#: So many ids a group, the most frequent, make its centroids; all others are assigned.
+PER_GROUP = 64
 
 
-def classes_of(by_id: np.ndarray, near: tuple[np.ndarray, np.ndarray, np.ndarray], singles: int, groups: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def classes_of(by_id: np.ndarray, near: tuple[np.ndarray, np.ndarray, np.ndarray], singles: int, groups: int, seed: int = 0, assign=None) -> tuple[np.ndarray, np.ndarray]:
     """(class of each id, ids by frequency): frequent ids alone, the others grouped by the ids beside them.
 
-    ``near`` are arrays of ids, places (2 * SIDES of them) and counts.
+    ``near`` are arrays of ids, places (2 * SIDES of them) and counts.  With ``assign``, from centroids to
+    (ids, their groups), they are only of the ids that make centroids.
     """
-    ids = np.argsort(-by_id, kind="stable")
-    ids = ids[by_id[ids] > 0]
-    ids = np.concatenate([[BOUNDARY], ids[ids != BOUNDARY]])
+    ids = by_frequency(by_id)
     class_of = np.full(VOCABULARY, min(singles, len(ids)), np.int64)  # ids that training lacks share the first group
     class_of[ids[:singles]] = np.arange(min(singles, len(ids)))
     rest = ids[singles:]
     if len(rest):
+        make = rest if assign is None else rest[: PER_GROUP * groups]
         place = np.full(VOCABULARY, -1)
-        place[rest] = np.arange(len(rest))
+        place[make] = np.arange(len(make))
         who, side, n = near
         ok = place[who] >= 0
-        x = np.full((len(rest), 2 * SIDES), 1e-9, np.float32)
+        x = np.full((len(make), 2 * SIDES), 1e-9, np.float32)
         x[place[who[ok]], side[ok]] = np.sqrt(n[ok])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        # Centroids from the most frequent ids; all are assigned.
-        c = spherical_kmeans(x[: 64 * groups], min(groups, len(rest)), 10, seed)
-        class_of[rest] = singles + (x @ c.T).argmax(1)
+        c = spherical_kmeans(x[: PER_GROUP * groups], min(groups, len(rest)), 10, seed)
+        class_of[make] = singles + (x @ c.T).argmax(1)
+        if assign is not None and len(make) < len(rest):
+            class_of[rest[len(make) :]] = singles + c.sum(1).argmax()  # those that nothing stands beside
+            who, group = assign(c)
+            ok = (by_id[who] > 0) & (class_of[who] >= singles) & (place[who] < 0)
+            class_of[who[ok]] = singles + group[ok]
     return class_of, ids
 
 
@@ -201,9 +253,9 @@ def sides_of(by_id: np.ndarray) -> np.ndarray:
 
 
 def neighbours(w: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id * 2 * SIDES + place, count): the ids before and behind each id in windows ``w``, padded with -1."""
+    """(id * 2 * SIDES + place, count): the ids before and behind each id in the rows of ``w``; -1 is no id."""
     x, y = w[:, :-1], w[:, 1:]
-    ok = y >= 0
+    ok = (x >= 0) & (y >= 0)
     a, b = x[ok].astype(np.int64), y[ok].astype(np.int64)
     return np.unique(np.concatenate([b * 2 * SIDES + side[a], a * 2 * SIDES + SIDES + side[b]]), return_counts=True)
 
@@ -225,33 +277,46 @@ def begin(by_id: np.ndarray, class_of: np.ndarray, ids: np.ndarray, follow, cont
 
 
 def follows(w: np.ndarray, row_of: np.ndarray, n_rows: int, class_of: np.ndarray, n_class: int) -> np.ndarray:
-    """[rows, classes] how often a class follows a row in windows ``w``, padded with -1."""
+    """[rows, classes] how often a class follows a row in the rows of ``w``; -1 is no id."""
     x, y = w[:, :-1], w[:, 1:]
-    ok = y >= 0
+    ok = (x >= 0) & (y >= 0)
     return np.bincount(row_of[x[ok]] * n_class + class_of[y[ok]], minlength=n_rows * n_class).reshape(n_rows, n_class).astype(float)
 
 
-def passes(net: Net, w: np.ndarray, first: np.ndarray, n_passes: int = 1, batch: int = 48, rate: float = 8e-3, last_rate: float = 8e-4, seed: int = 0, steps: int | None = None) -> Net:
-    """A model trained further with Adam on windows ``w`` [windows, context + 1], padded with -1, in shuffled batches.
+def passes(net: Net, w: np.ndarray, first: np.ndarray, n_passes: int = 1, batch: int = 48, rate: float = 8e-3, last_rate: float = 8e-4, seed: int = 0) -> Net:
+    """A model trained further with Adam on windows ``w`` [windows, context + 1], padded with -1 or NONE, in shuffled batches.
 
-    Positions count that have a quarter of a context before them, or the text's begin (``first``).
+    Positions count that have a quarter of a context before them, or the text's begin (``first``): batches
+    hold windows of one kind, so that the others' first positions are inputs alone.  Rows of ``emb`` and
+    ``near`` move with the batches that hold them.
     """
     rng = np.random.default_rng(seed)
     p = {k: x.copy() for k, x in net.p.items()}
     out = Net(p, net.row_of, net.class_of, net.context)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    total = steps or max(1, n_passes * -(-len(w) // batch))
-    order = np.concatenate([rng.permutation(len(w)) for _ in range(-(-total * batch // max(1, len(w))))]) if len(w) else np.zeros(0, int)
-    for step in range(1, total + 1 if len(w) else 1):
-        at = order[(step - 1) * batch : step * batch]
-        x, y = w[at, :-1], w[at, 1:]
-        mask = (y >= 0) & (first[at, None] | (np.arange(net.context) >= net.context // 4))
-        _, g = out.gradients(np.maximum(x, 0), net.class_of[np.maximum(y, 0)], mask.astype(np.float32))
-        lr = min(1, step / 20) * (rate + (last_rate - rate) * step / total)
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            p[k] -= (lr * (0.1 if k == "near" else 1) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    quarter, kinds = net.context // 4, (np.flatnonzero(first), np.flatnonzero(~first))
+    total, step = n_passes * sum(-(-len(at) // batch) for at in kinds), 0
+    for _ in range(n_passes):
+        drawn = [(x[i : i + batch], keep) for at, keep in zip(kinds, (slice(0, None), slice(quarter, None))) for x in [rng.permutation(at)] for i in range(0, len(x), batch)]
+        for k in rng.permutation(len(drawn)).tolist():
+            at, keep = drawn[k]
+            step += 1
+            own = w[at].astype(np.int64)
+            own[own == NONE] = -1
+            x, y = own[:, :-1], own[:, 1 + keep.start :]
+            _, g = out.gradients(np.maximum(x, 0), net.class_of[np.maximum(y, 0)], (y >= 0).astype(np.float32), keep)
+            lr = min(1, step / 20) * (rate + (last_rate - rate) * step / total)
+            for name, grad in g.items():
+                rows, grad = grad if isinstance(grad, tuple) else (slice(None), grad)
+                m1 = 0.9 * m[name][rows] + 0.1 * grad
+                v1 = 0.99 * v[name][rows] + 0.01 * grad**2
+                m[name][rows], v[name][rows] = m1, v1
+                m1 *= np.float32(lr * (0.1 if name == "near" else 1) / (1 - 0.9**step))
+                v1 /= np.float32(1 - 0.99**step)
+                np.sqrt(v1, out=v1)
+                v1 += np.float32(1e-8)
+                m1 /= v1
+                p[name][rows] -= m1
     return out
 
 
@@ -485,86 +550,150 @@ def lexicon(counts: DataFrame, pairs: DataFrame, within: Within, tokenizer: str,
     return counts.join(sums, "word", "left").select("word", "c", F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
-def _packed(b: pa.RecordBatch, context: int) -> tuple[np.ndarray, np.ndarray]:
-    w = np.frombuffer(b"".join(b.column("w").to_pylist()), np.int32).reshape(-1, context + 1)
-    return w, b.column("first").to_numpy(zero_copy_only=False)
+def whole(coded: T.Coded) -> pa.BinaryArray:
+    """The ids of each text as little-endian unsigned 16-bit numbers, BOUNDARY before and behind: ``coded`` ends texts with it."""
+    n = len(coded.edge) - 1
+    ids = np.insert(coded.ids.astype("<u2"), coded.edge[:-1], BOUNDARY)
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * (coded.edge + np.arange(n + 1))).astype(np.int32)), pa.py_buffer(ids)])
+
+
+def _held(blob: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids one after another, edges) of a column that ``whole`` made."""
+    edge = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64) // 2
+    return np.frombuffer(blob.buffers()[2], "<u2")[edge[0] : edge[-1]], edge - edge[0]
+
+
+def coded_texts(src: DataFrame, tokenizer: str) -> DataFrame:
+    """The rows of ``src`` with ids (``whole``) and key, a hash of the text, in a table in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = T.encoder_of(tokenizer)
+        for b in slices(batches, size=4 << 20):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], whole(T.encode(b.column("text"), encoder, BOUNDARY)), b.columns[-1]], [*b.schema.names[:-1], "ids", "key"])
+
+    keyed = src.withColumn("key", F.pmod(F.xxhash64("text"), F.lit(1 << 20)))
+    kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in src.schema)
+    return written(keyed.mapInArrow(run, f"{kinds}, ids binary, key long"))
+
+
+def streams(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[np.ndarray]:
+    """The ids of texts in one row, a -1 between texts, from batches of ``size`` bytes."""
+    for b in slices(batches, "ids", 1 << 14, size):
+        ids, edge = _held(b.column("ids"))
+        yield np.insert(ids.astype(np.int64), edge[1:-1], -1)[None]
+
+
+def cover(ids: np.ndarray, edge: np.ndarray, key: np.ndarray, context: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(windows [n, context + 1], whether each begins its text) of whole texts: windows as ``class_scores`` has them.
+
+    Each id after a text's BOUNDARY is once a target of ``passes``: of the text's first window, or of a later
+    one behind its first quarter.  Places behind a text's end
+    are NONE.  Of ``parts`` a window is in the one that its number and its text's ``key`` give.
+    """
+    stride = context - context // 4
+    n = np.diff(edge) - 1
+    count = 1 + np.maximum(0, -(-(n - context) // stride))
+    doc = np.repeat(np.arange(len(n)), count)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    own = np.flatnonzero((key[doc] + k) % parts == part)
+    doc, k = doc[own], k[own]
+    at = (edge[doc] + k * stride)[:, None] + np.arange(context + 1)
+    out = ids.take(np.minimum(at, max(0, len(ids) - 1)))
+    out[at >= edge[doc + 1][:, None]] = NONE
+    return out, k == 0
 
 
 def _averaged(rows: DataFrame, shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray] | None:
-    """The mean of (part, weight, p) rows by weight; groups of partitions are summed before the driver sees 32 rows."""
+    """The mean of (part, weight, p) rows by weight; groups of partitions are summed before the driver sees 32 rows, a few at a time."""
 
     def total(table: pa.Table) -> pa.Table:
         x = sum(np.frombuffer(p, np.float64) for p in table["p"].to_pylist())
         return pa.table({"weight": pa.array([float(pc.sum(table["weight"]).as_py())]), "p": pa.array([x.tobytes()], pa.binary())})
 
-    got = rows.groupBy((F.col("part") % 32).alias("g")).applyInArrow(total, "weight double, p binary").collect()
-    weight = sum(r["weight"] for r in got)
+    weight, flat, out, at = 0.0, 0.0, {}, 0
+    for r in rows.groupBy((F.col("part") % 32).alias("g")).applyInArrow(total, "weight double, p binary").toLocalIterator():
+        weight += r["weight"]
+        flat = flat + np.frombuffer(r["p"], np.float64)
     if not weight:
         return None
-    flat, out, at = sum(np.frombuffer(r["p"], np.float64) for r in got) / weight, {}, 0
+    flat = flat / weight
     for k, shape in shapes.items():
         n = int(np.prod(shape))
         out[k], at = flat[at : at + n].reshape(shape).astype(np.float32), at + n
     return out
 
 
-def fit(train: DataFrame, tokenizer: str, by_id: np.ndarray, context: int = 48, width: int = 24, singles: int = 64, groups: int = 48, rows: int = 2048, share: float = 0.01, least_windows: int = 16_000, rounds: int = 4, seed: int = 0) -> Net:
-    """The attention model of ``train`` (text), whose ids occur ``by_id`` times.
+def fit(train: DataFrame, tokenizer: str, by_id: np.ndarray, context: int = 48, width: int = 24, singles: int = 64, groups: int = 48, rows: int = 2048, least_windows: int = 16_000, rounds: int = 4, seed: int = 0) -> Net:
+    """The attention model of ``train`` (text, or what ``coded_texts`` made of it), whose ids occur ``by_id`` times.
 
-    ``share`` of all windows of distinct texts are drawn, ``least_windows`` if that is more, and
-    written to a table.  In each of ``rounds`` every partition of it trains the model on its own
-    windows once, and the models are averaged by their windows: no window reaches the driver.
+    Classes, class bigrams and the layer learn from every text.  In each of
+    ``rounds`` every partition trains the model on its own windows, and the models are averaged by their
+    windows: no window reaches the driver, and a partition holds 16-bit ids of those of a round.  The rounds
+    deal all windows out among them, so that each id is a target once, if each round has ``least_windows``
+    then; with fewer windows a round takes a larger part, up to all, and repeats those until it has had so many.
     """
     spark = train.sparkSession
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # Sizes are bytes, so that texts which draw nothing aren't sent to Python, and no text is encoded whole.
-    rate = max(share * by_id.sum() / context, least_windows) / max(1, size)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = T.encoder_of(tokenizer)
-        for b in slices(batches, size=4 << 20):
-            w, first = windows(pieces(b.column("text").to_pylist(), b.column("due").to_numpy(), b.column("key").to_numpy(), context), encoder, context)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in w], pa.binary()), pa.array(first)], ["w", "first"])
-
-    drawn = written(train.select("text", F.xxhash64("text").alias("key"), due_windows(F.col("text"), rate).alias("due")).where("due > 0").mapInArrow(draw, "w binary, first boolean").distinct().sortWithinPartitions("w"))
+    coded = (train if "ids" in train.columns else coded_texts(train, tokenizer)).select("ids", "key")
     side = sides_of(by_id)
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells, n = neighbours(_packed(b, context)[0], side)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
+        for w in streams(batches):
+            cells, n = neighbours(w, side)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(n)], ["cell", "n"])
+
+    near = cut(coded.select("ids").mapInArrow(beside, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))  # at most 2 * SIDES rows an id
+    of = F.expr(f"cell div {2 * SIDES}").cast("int").alias("id")
+    make = spark.createDataFrame([(int(i),) for i in by_frequency(by_id)[singles : singles + PER_GROUP * groups]], "id int")
+    known = near.select(of, "cell", "n").join(F.broadcast(make), "id").select("cell", "n").toArrow()
+    cell = known["cell"].to_numpy().astype(np.int64)
 
-    near = drawn.mapInArrow(beside, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * SIDES rows an id
-    cell = near["cell"].to_numpy(np.int64)
-    class_of, ids = classes_of(by_id, (cell // (2 * SIDES), cell % (2 * SIDES), near["n"].to_numpy(float)), singles, groups, seed)
+    def assign(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cells, n = b.column("cells"), np.sqrt(b.column("ns").flatten().to_numpy().astype(np.float32))
+                who = np.repeat(np.arange(b.num_rows), pc.list_value_length(cells).to_numpy())
+                x = np.zeros((b.num_rows, 2 * SIDES), np.float32)
+                x[who, cells.flatten().to_numpy() % (2 * SIDES)] = n
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array((x @ c.T).argmax(1).astype(np.int32))], ["id", "group"])
+
+        lists = near.groupBy(of).agg(F.collect_list(F.struct("cell", "n")).alias("l")).select("id", F.col("l.cell").alias("cells"), F.col("l.n").alias("ns"))
+        got = lists.mapInArrow(run, "id int, group int").toArrow()  # a row for each id
+        return got["id"].to_numpy(), got["group"].to_numpy()
+
+    class_of, ids = classes_of(by_id, (cell // (2 * SIDES), cell % (2 * SIDES), known["n"].to_numpy().astype(float)), singles, groups, seed, assign)
+    del known, cell
 
     def follow(row_of: np.ndarray, n_rows: int, n_class: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((n_rows, n_class))
-            for b in batches:
-                total += follows(_packed(b, context)[0], row_of, n_rows, class_of, n_class)
+            for w in streams(batches):
+                total += follows(w, row_of, n_rows, class_of, n_class)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["cell", "n"])
 
-        got = drawn.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most n_rows * n_class rows
+        got = coded.select("ids").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most n_rows * n_class rows
         out = np.zeros(n_rows * n_class)
-        out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy()
+        out[got["cell"].to_numpy()] = got["n"].to_numpy()
         return out.reshape(n_rows, n_class)
 
     net = begin(by_id, class_of, ids, follow, context, width, rows, seed)
+    n_windows = max(1.0, by_id.sum() / (context - context // 4))
+    parts = int(min(rounds, max(1, n_windows // least_windows)))
+    again = max(1, round(least_windows / n_windows))
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(net)
         high, low = (8e-3 * (1 - 0.9 * x / rounds) for x in (r, r + 1))
 
         def run(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared, high: float = high, low: float = low) -> Iterator[pa.RecordBatch]:
-            parts = [_packed(b, context) for b in batches if b.num_rows]
-            if parts:
-                w, first = (np.concatenate(x) for x in zip(*parts))
-                got = passes(shared.value, w, first, 1, 48, high, low, seed + r)
+            found = [cover(*_held(b.column("ids")), b.column("key").to_numpy(), context, r % parts, parts) for b in slices(batches, "ids", 1 << 14, 1 << 22)]
+            if sum(len(first) for _, first in found):
+                w, first = (np.concatenate(x) for x in zip(*found))
+                got = passes(shared.value, w, first, again, 48, high, low, seed + r)
                 p = np.concatenate([x.ravel().astype(np.float64) for x in got.p.values()]) * len(w)
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(len(w))]), pa.array([p.tobytes()], pa.binary())], ["part", "weight", "p"])
 
-        p = _averaged(drawn.mapInArrow(run, "part int, weight double, p binary"), {k: x.shape for k, x in net.p.items()})
+        p = _averaged(coded.mapInArrow(run, "part int, weight double, p binary"), {k: x.shape for k, x in net.p.items()})
         if p is None:
             break
         net = Net(p, net.row_of, net.class_of, context)
@@ -581,8 +710,7 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, often:
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), text_col(text).alias("text"), (fold(id_col, folds) == held).alias("held_out"))
-    train = src.where(~F.col("held_out"))
-    n_texts = train.select("held_out").count()
+    n_texts = src.where(~F.col("held_out")).count()
     counts = written(word_counts(src))
     sums = counts.agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
     n, v = (sums["n"] or 0) + n_texts, sums["v"] + (n_texts > 0)
@@ -593,7 +721,8 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, often:
     by_id = np.zeros(VOCABULARY)
     by_id[ids["id"].to_numpy(np.int64)] = ids["n"].to_numpy()
     by_id[BOUNDARY] += n_texts
-    net = fit(train.select("text"), tokenizer, by_id, **how)
+    coded = coded_texts(src, tokenizer)
+    net = fit(coded.where(~F.col("held_out")), tokenizer, by_id, **how)
     within = Within.of(by_id, net.class_of)
     lex = written(lexicon(counts, pairs, within, tokenizer, most_pairs))
     often_used = lex.where(F.col("c") >= hot_at).toPandas()
@@ -605,16 +734,16 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, often:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, within_end, hot, (base_of, within_of) = shared.value
-        encoder, part, row = T.encoder_of(tokenizer), TaskContext.get().partitionId(), 0
+        part, row = TaskContext.get().partitionId(), 0
         for b in slices(batches, size=2 << 20):
-            coded = T.encode(b.column("text"), encoder, BOUNDARY)
-            c, n_rows = coded.chunks, b.num_rows
+            ids, edge = _held(b.column("ids"))
+            c, n_rows = T.chunked(T.strings(b.column("text"))), b.num_rows
             low = pc.ascii_lower(c.distinct)
             at = np.fromiter(map(hot.get, low.to_pylist(), repeat(-1)), np.int64, len(low))
             known = at >= 0
             doc = np.repeat(np.arange(n_rows), np.diff(c.first))
             per = lambda x: np.bincount(doc, weights=x, minlength=n_rows)  # noqa: E731, B023
-            scores = class_scores(net, coded.ids, coded.edge, stride) + per(within_of[at][c.index]) + within_end
+            scores = class_scores(net, np.delete(ids, edge[:-1]), edge - np.arange(n_rows + 1), stride) + per(within_of[at][c.index]) + within_end
             n_tokens = np.diff(c.first) + 1
             rare = ~known[c.index]
             # A row's rare words once each, with how often they occur.
@@ -627,7 +756,7 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, often:
             yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    part = written(src.mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,k:long>>"))
+    part = written(coded.drop("key").mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,k:long>>"))
     rare = part.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.k")
     cold = lex.where(F.col("c") < hot_at).select("word", F.when(F.col("c") > 0, 1).otherwise(0).alias("seen"), F.log10((F.col("c") + 1) / F.lit(float(over))).alias("b"), "w")
     found = rare.join(cold, "word").groupBy("key").agg(F.sum(F.col("k") * F.col("seen")).alias("more_known"), F.sum(F.col("k") * F.col("b")).alias("more_base"), F.sum(F.col("k") * F.col("w")).alias("more_within"))
