@@ -12,8 +12,10 @@ passes that every partition makes from the same weights and whose results are av
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import repeat
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
@@ -38,6 +40,51 @@ NONE = 65535
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Batches], Batches], encodes: bool = False) -> Callable[[Batches], Batches]:
+    """``run`` in Python workers that Spark keeps for later tasks, waiting ones too: they hold nothing that is not in use.
+
+    Tasks that don't encode drop the encoder that one before them has left.
+    """
+
+    def held(batches: Batches) -> Batches:
+        if not encodes:
+            T.encoder_of.cache_clear()
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
+#: Rows of an Arrow batch: without it a whole partition's texts cross at once, in buffers of the next power of two.
+BATCH_ROWS = 2048
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Actions in here pass at most ``rows`` rows at once to Python; the session's own limit holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name, "10000"))
+    spark.conf.set(name, str(rows if before <= 0 else min(rows, before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 @dataclass
 class Net:
     """One attention layer over ``context`` positions; ``row_of`` maps an id to its input row, ``class_of`` to its class."""
@@ -47,32 +94,38 @@ class Net:
     class_of: np.ndarray
     context: int
 
-    def forward(self, x: np.ndarray, keep: slice = slice(None)):
-        """Class log-probabilities, up to a number a position, after each position of ``x`` [batch, context] that ``keep`` selects."""
+    def forward(self, x: np.ndarray, keep: slice = slice(None), checked: bool = True):
+        """Class log-probabilities, up to a number a position, after each position of ``x`` [batch, context] that ``keep`` selects.
+
+        Unless ``checked``, exponents go without a look at their size: what comes of those too large is not finite.
+        """
         p, d = self.p, self.p["wq"].shape[1]
         row = self.row_of[x]
-        e = p["emb"][row] + p["pos"][: x.shape[1]]
+        e = p["emb"].take(row, axis=0)
+        e += p["pos"][: x.shape[1]]
         ek = e[:, keep]
-        q, k, v = (_times(a, p[m]) for a, m in ((ek, "wq"), (e, "wk"), (e, "wv")))
+        q, k, v = _times(ek, p["wq"] * np.float32(d**-0.5)), _times(e, p["wk"]), _times(e, p["wv"])
         s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(d**-0.5)
         before = self.before[keep, : x.shape[1]]
-        if _large(s):
+        if checked and _large(s):
             s += np.where(before > 0, np.float32(0), np.float32(-1e9))
             s -= s.max(2, keepdims=True)
         a = np.exp(s, out=s)
         a *= before
-        a /= _sums(a)[..., None]
+        sums = _sums(a)[..., None]
         c = a @ v
-        z = ek + _times(c, p["wo"])
-        u = _times(z, p["w1"])
-        np.tanh(u, out=u)
-        y = _times(z + _times(u, p["w2"]), p["out"])
-        y += p["bias"]
-        y += p["near"].take(row[:, keep], axis=0)
-        if _large(y):
+        c /= sums
+        z = _times(c, p["wo"])
+        z += ek
+        u = _tanh_of_half(_times(z, 2 * p["w1"]))
+        top = np.empty((z.shape[0] * z.shape[1], d + 1), np.float32)  # the last column meets the bias
+        np.add(z.reshape(-1, d), u.reshape(-1, u.shape[-1]) @ p["w2"], out=top[:, :d])
+        top[:, d] = 1
+        y = p["near"].take(row[:, keep], axis=0)
+        y += (top @ np.concatenate([p["out"], p["bias"][None]])).reshape(y.shape)
+        if checked and _large(y):
             y -= y.max(2, keepdims=True)
-        return y, (row, e, q, k, v, a, c, z, u)
+        return y, (row, e, q, k, v, a, sums, c, z, u, top)
 
     def log_class(self, x: np.ndarray, target: np.ndarray, keep: slice) -> np.ndarray:
         """Log-probability of each target class: ``forward`` in fewer passes over the large arrays.
@@ -94,8 +147,7 @@ class Net:
             z = c[..., :d] / c[..., d:]
             z += hk[..., 3 * d + 1 :]
             z = z.reshape(-1, d)
-            u = z @ p["w1"]
-            np.tanh(u, out=u)
+            u = _tanh_of_half(z @ (2 * p["w1"]))
             z += u @ p["w2"]
             y = z @ p["out"]
             y += self.direct.take(row[:, keep].reshape(-1), axis=0)
@@ -130,10 +182,15 @@ class Net:
         Of ``emb`` and ``near`` the gradients are (rows, values): all other rows have none.
         """
         p, d = self.p, self.p["wq"].shape[1]
-        y, (row, e, q, k, v, a, c, z, u) = self.forward(x, keep)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            y, (row, e, q, k, v, a, weights, c, z, u, top) = self.forward(x, keep, checked=False)
+            np.exp(y, out=y)
+            sums = _sums(y)
+        if not all(t.min() > 1e-20 and t.max() < 1e30 for t in (sums, weights)):  # nor if one is no number
+            y, (row, e, q, k, v, a, weights, c, z, u, top) = self.forward(x, keep)
+            np.exp(y, out=y)
+            sums = _sums(y)
         n = max(1, mask.sum())
-        np.exp(y, out=y)
-        sums = _sums(y)
         flat = lambda m: m.reshape(-1, m.shape[-1])
         own = np.arange(sums.size), target.reshape(-1)
         loss = float(-(np.log(np.maximum(flat(y)[own] / sums.reshape(-1), 1e-30)) * mask.reshape(-1)).sum() / n)
@@ -141,23 +198,27 @@ class Net:
         y *= (weight / sums)[..., None]
         dy = flat(y)
         dy[own] -= weight.reshape(-1)
-        g = {"bias": dy.sum(0)}
-        top = flat(z) + flat(u) @ p["w2"]
-        g["out"] = top.T @ dy
-        g["near"] = _scatter(row[:, keep], dy)
+        both = top.T @ dy
+        g = {"bias": both[d], "out": both[:d], "near": _scatter(row[:, keep], dy)}
         dtop = dy @ p["out"].T
         g["w2"] = flat(u).T @ dtop
-        du = (dtop @ p["w2"].T) * (1 - flat(u) ** 2)
+        du = dtop @ p["w2"].T
+        u *= u
+        np.subtract(1, u, out=u)
+        du *= flat(u)
         g["w1"] = flat(z).T @ du
-        dz = dtop + du @ p["w1"].T
+        dz = dtop
+        dz += du @ p["w1"].T
         g["wo"] = flat(c).T @ dz
         dc = (dz @ p["wo"].T).reshape(c.shape)
+        dc /= weights  # a is up to these sums
         da = dc @ v.transpose(0, 2, 1)
         dv = flat(a.transpose(0, 2, 1) @ dc)
-        da -= (flat(dc) * flat(c)).sum(1).reshape(*c.shape[:2], 1)  # the sum of da * a, as c is a @ v
+        c *= dc
+        da -= _sums(c)[..., None]  # the sum of da * a, as c is a @ v
         da *= a
-        da *= np.float32(d**-0.5)
         dq, dk = flat(da @ k), flat(da.transpose(0, 2, 1) @ q)
+        dq *= np.float32(d**-0.5)
         g["wq"], g["wk"], g["wv"] = flat(e[:, keep]).T @ dq, flat(e).T @ dk, flat(e).T @ dv
         de = (dk @ p["wk"].T + dv @ p["wv"].T).reshape(e.shape)
         de[:, keep] += (dz + dq @ p["wq"].T).reshape(c.shape)
@@ -172,6 +233,16 @@ def _times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ m).reshape(*x.shape[:-1], m.shape[1])
 
 
+def _tanh_of_half(x: np.ndarray) -> np.ndarray:
+    """tanh(x / 2), in the place of ``x``."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
+
+
 def _large(x: np.ndarray) -> bool:
     """Whether exponents of ``x`` can overflow, or all of a sum vanish."""
     return bool(x.size) and not (x.max() < 60 and x.min() > -60)
@@ -188,6 +259,8 @@ def _scatter(row: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(r, kind="stable")
     r, f = r[order], f.take(order, axis=0)
     at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    if f.shape[1] <= 32:
+        return r[at].astype(np.int64), np.add.reduceat(f, at, axis=0)
     n, out, k = np.diff(np.append(at, len(r))), f.take(at, axis=0), 1
     more = np.flatnonzero(n > 1)
     while len(more) > 24:  # the k-th of each row that has one
@@ -291,9 +364,12 @@ def passes(net: Net, w: np.ndarray, first: np.ndarray, n_passes: int = 1, batch:
     ``near`` move with the batches that hold them.
     """
     rng = np.random.default_rng(seed)
-    p = {k: x.copy() for k, x in net.p.items()}
-    out = Net(p, net.row_of, net.class_of, net.context)
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    by_rows, dense = ("emb", "near"), [k for k in net.p if k not in ("emb", "near")]
+    flat = np.concatenate([net.p[k].ravel() for k in dense])  # all that moves with every batch is one array
+    edge = np.cumsum([0, *(net.p[k].size for k in dense)])
+    p = {k: net.p[k].copy() for k in by_rows} | {k: flat[a:b].reshape(net.p[k].shape) for k, a, b in zip(dense, edge, edge[1:])}
+    out = Net({k: p[k] for k in net.p}, net.row_of, net.class_of, net.context)
+    state = {k: (x, np.zeros_like(x), np.zeros_like(x)) for k, x in (("", flat), *((k, p[k]) for k in by_rows))}
     quarter, kinds = net.context // 4, (np.flatnonzero(first), np.flatnonzero(~first))
     total, step = n_passes * sum(-(-len(at) // batch) for at in kinds), 0
     for _ in range(n_passes):
@@ -306,17 +382,26 @@ def passes(net: Net, w: np.ndarray, first: np.ndarray, n_passes: int = 1, batch:
             x, y = own[:, :-1], own[:, 1 + keep.start :]
             _, g = out.gradients(np.maximum(x, 0), net.class_of[np.maximum(y, 0)], (y >= 0).astype(np.float32), keep)
             lr = min(1, step / 20) * (rate + (last_rate - rate) * step / total)
-            for name, grad in g.items():
-                rows, grad = grad if isinstance(grad, tuple) else (slice(None), grad)
-                m1 = 0.9 * m[name][rows] + 0.1 * grad
-                v1 = 0.99 * v[name][rows] + 0.01 * grad**2
-                m[name][rows], v[name][rows] = m1, v1
+            moves = [(k, *g[k]) for k in by_rows] + [("", slice(None), np.concatenate([g[k].ravel() for k in dense]))]
+            for name, rows, grad in moves:
+                x, m, v = state[name]
+                m1, v1 = m[rows], v[rows]
+                m1 *= np.float32(0.9)
+                m1 += np.float32(0.1) * grad
+                v1 *= np.float32(0.99)
+                grad *= grad
+                grad *= np.float32(0.01)
+                v1 += grad
+                if name:
+                    m[rows], v[rows] = m1, v1
+                else:
+                    m1, v1 = m1.copy(), v1.copy()
                 m1 *= np.float32(lr * (0.1 if name == "near" else 1) / (1 - 0.9**step))
-                v1 /= np.float32(1 - 0.99**step)
+                v1 *= np.float32(1 / (1 - 0.99**step))
                 np.sqrt(v1, out=v1)
                 v1 += np.float32(1e-8)
                 m1 /= v1
-                p[name][rows] -= m1
+                x[rows] -= m1
     return out
 
 
@@ -481,7 +566,7 @@ def word_counts(src: DataFrame) -> DataFrame:
         if held:
             yield from _summed(held).to_batches()
 
-    return src.select("text", "held_out").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return src.select("text", "held_out").mapInArrow(lean(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _summed(parts: list[pa.Table]) -> pa.Table:
@@ -501,7 +586,7 @@ def pair_counts(counts: DataFrame, tokenizer: str) -> DataFrame:
                 n = np.bincount(at, weights=s.column(1).to_numpy()[word], minlength=len(pair))
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
 
-    return counts.where("c > 0").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return counts.where("c > 0").mapInArrow(lean(run, True), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def lexicon(counts: DataFrame, pairs: DataFrame, within: Within, tokenizer: str, most_pairs: int = 2_000_000) -> DataFrame:
@@ -523,7 +608,7 @@ def lexicon(counts: DataFrame, pairs: DataFrame, within: Within, tokenizer: str,
                     got = np.bincount(word, weights=w.log(keys % VOCABULARY, *p.look(keys, w.class_of)), minlength=s.num_rows)
                     yield pa.RecordBatch.from_arrays([s.column("word"), s.column("c"), pa.array(got)], ["word", "c", "w"])
 
-        return counts.select("word", "c").mapInArrow(run, "word string, c long, w double")
+        return counts.select("word", "c").mapInArrow(lean(run, True), "word string, c long, w double")
     shared = spark.sparkContext.broadcast(within)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -544,7 +629,7 @@ def lexicon(counts: DataFrame, pairs: DataFrame, within: Within, tokenizer: str,
     class_of = F.broadcast(spark.createDataFrame(list(enumerate(within.class_of.tolist())), "id long, class long"))  # a row for each id
     coded = pairs.withColumn("id", F.col("pair") % VOCABULARY).join(class_of, "id")
     totals = coded.groupBy((F.expr(f"pair div {VOCABULARY}") * VOCABULARY + F.col("class")).alias("of")).agg(F.sum("n").alias("total"))
-    spread = counts.select("word").mapInArrow(expand, "word string, pair long, of long")
+    spread = counts.select("word").mapInArrow(lean(expand, True), "word string, pair long, of long")
     found = spread.join(pairs, "pair", "left").join(totals, "of", "left").select("word", "pair", "n", "total")
     sums = found.mapInArrow(finish, "word string, w double").groupBy("word").agg(F.sum("w").alias("w"))
     return counts.join(sums, "word", "left").select("word", "c", F.coalesce("w", F.lit(0.0)).alias("w"))
@@ -573,7 +658,7 @@ def coded_texts(src: DataFrame, tokenizer: str) -> DataFrame:
 
     keyed = src.withColumn("key", F.pmod(F.xxhash64("text"), F.lit(1 << 20)))
     kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in src.schema)
-    return written(keyed.mapInArrow(run, f"{kinds}, ids binary, key long"))
+    return written(keyed.mapInArrow(lean(run, True), f"{kinds}, ids binary, key long"))
 
 
 def streams(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[np.ndarray]:
@@ -642,7 +727,7 @@ def fit(train: DataFrame, tokenizer: str, by_id: np.ndarray, context: int = 48,
             cells, n = neighbours(w, side)
             yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(n)], ["cell", "n"])
 
-    near = cut(coded.select("ids").mapInArrow(beside, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))  # at most 2 * SIDES rows an id
+    near = cut(coded.select("ids").mapInArrow(lean(beside), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))  # at most 2 * SIDES rows an id
     of = F.expr(f"cell div {2 * SIDES}").cast("int").alias("id")
     make = spark.createDataFrame([(int(i),) for i in by_frequency(by_id)[singles : singles + PER_GROUP * groups]], "id int")
     known = near.select(of, "cell", "n").join(F.broadcast(make), "id").select("cell", "n").toArrow()
@@ -658,7 +743,7 @@ def fit(train: DataFrame, tokenizer: str, by_id: np.ndarray, context: int = 48,
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array((x @ c.T).argmax(1).astype(np.int32))], ["id", "group"])
 
         lists = near.groupBy(of).agg(F.collect_list(F.struct("cell", "n")).alias("l")).select("id", F.col("l.cell").alias("cells"), F.col("l.n").alias("ns"))
-        got = lists.mapInArrow(run, "id int, group int").toArrow()  # a row for each id
+        got = lists.mapInArrow(lean(run), "id int, group int").toArrow()  # a row for each id
         return got["id"].to_numpy(), got["group"].to_numpy()
 
     class_of, ids = classes_of(by_id, (cell // (2 * SIDES), cell % (2 * SIDES), known["n"].to_numpy().astype(float)), singles, groups, seed, assign)
@@ -672,7 +757,7 @@ def fit(train: DataFrame, tokenizer: str, by_id: np.ndarray, context: int = 48,
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["cell", "n"])
 
-        got = coded.select("ids").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most n_rows * n_class rows
+        got = coded.select("ids").mapInArrow(lean(run), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most n_rows * n_class rows
         out = np.zeros(n_rows * n_class)
         out[got["cell"].to_numpy()] = got["n"].to_numpy()
         return out.reshape(n_rows, n_class)
@@ -693,7 +778,7 @@ def fit(train: DataFrame, tokenizer: str, by_id: np.ndarray, context: int = 48,
                 p = np.concatenate([x.ravel().astype(np.float64) for x in got.p.values()]) * len(w)
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(len(w))]), pa.array([p.tobytes()], pa.binary())], ["part", "weight", "p"])
 
-        p = _averaged(coded.mapInArrow(run, "part int, weight double, p binary"), {k: x.shape for k, x in net.p.items()})
+        p = _averaged(coded.mapInArrow(lean(run), "part int, weight double, p binary"), {k: x.shape for k, x in net.p.items()})
         if p is None:
             break
         net = Net(p, net.row_of, net.class_of, context)
@@ -711,7 +796,8 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, often:
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), text_col(text).alias("text"), (fold(id_col, folds) == held).alias("held_out"))
     n_texts = src.where(~F.col("held_out")).count()
-    counts = written(word_counts(src))
+    with small_batches(spark):
+        counts = written(word_counts(src))
     sums = counts.agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
     n, v = (sums["n"] or 0) + n_texts, sums["v"] + (n_texts > 0)
     over = n + v + 1
@@ -721,8 +807,9 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, often:
     by_id = np.zeros(VOCABULARY)
     by_id[ids["id"].to_numpy(np.int64)] = ids["n"].to_numpy()
     by_id[BOUNDARY] += n_texts
-    coded = coded_texts(src, tokenizer)
-    net = fit(coded.where(~F.col("held_out")), tokenizer, by_id, **how)
+    with small_batches(spark):
+        coded = coded_texts(src, tokenizer)
+        net = fit(coded.where(~F.col("held_out")), tokenizer, by_id, **how)
     within = Within.of(by_id, net.class_of)
     lex = written(lexicon(counts, pairs, within, tokenizer, most_pairs))
     often_used = lex.where(F.col("c") >= hot_at).toPandas()
@@ -756,7 +843,8 @@ def score(docs: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, often:
             yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    part = written(coded.drop("key").mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,k:long>>"))
+    with small_batches(spark):
+        part = written(coded.drop("key").mapInArrow(lean(run), f"key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,k:long>>"))
     rare = part.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.k")
     cold = lex.where(F.col("c") < hot_at).select("word", F.when(F.col("c") > 0, 1).otherwise(0).alias("seen"), F.log10((F.col("c") + 1) / F.lit(float(over))).alias("b"), "w")
     found = rare.join(cold, "word").groupBy("key").agg(F.sum(F.col("k") * F.col("seen")).alias("more_known"), F.sum(F.col("k") * F.col("b")).alias("more_base"), F.sum(F.col("k") * F.col("w")).alias("more_within"))
