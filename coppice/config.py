@@ -52,7 +52,7 @@ class Data:
 @dataclass
 class BinMapper:
     max_bin: int = 255
-    n_samples: int = 200_000
+    n_samples: int = 0  # cuts come from all rows; other numbers ask for a sample of so many
     seed: int = 0
     min_data_in_bin: int = 1  # read and kept, without effect
 

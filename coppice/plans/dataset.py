@@ -28,7 +28,7 @@ class BinnedDataset:
         if missing:
             raise ValueError(f"columns are missing: {', '.join(missing)}")
         base = config or BinMapper()
-        self.config = BinMapper(max_bin or base.max_bin, n_samples or base.n_samples, base.seed if seed is None else seed, min_data_in_bin or base.min_data_in_bin)
+        self.config = BinMapper(max_bin or base.max_bin, base.n_samples if n_samples is None else n_samples, base.seed if seed is None else seed, min_data_in_bin or base.min_data_in_bin)
         if not 3 <= self.config.max_bin <= 65_535:
             raise ValueError("max_bin must be between 3 and 65535")
         if reference is not None:
